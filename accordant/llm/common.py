@@ -30,6 +30,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one or two numbers that a join may broadcast (16 MB); more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, marked as the side of a join that is broadcast if a count shows that it is small, else hashed after a shuffle."""
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df.hint("shuffle_hash")
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import materialize, table
+from .common import materialize, sized, table
 from .components import components
 from .decontaminate import words
 from .exact_dedup import digest
@@ -195,10 +195,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     shared = places.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     places = materialize(places.join(shared, "bucket"))
     members = materialize(places.join(places.groupBy("node").agg(F.sum("size").alias("mass")), "node"))
-    some = members.select("node").distinct().join(nodes.select("node", F.col("digest").alias("own")), "node")
-    # one text of each node: rows that hold the node's doc_id, or any row of a text that no numbered document has
-    texts = docs.select("doc_id", "text", digest().alias("digest")).join(some.hint("shuffle_hash"), (F.col("digest") == F.col("own")) & ((F.col("doc_id") == F.col("node")) | (F.col("node") < 0)))
-    texts = materialize(texts.select("node", "text").dropDuplicates(["node"]))
+    some = materialize(members.select("node").distinct())
+    # one text of each node: a row that holds the node's doc_id, or the number of a text that no numbered document has
+    keyed = docs.select(F.coalesce("doc_id", -1 - F.abs(F.xxhash64(digest()) / 2).cast("long")).alias("node"), "text")
+    texts = materialize(keyed.join(sized(some), "node", "left_semi").dropDuplicates(["node"]))
     verified, labels = links(members, texts)
     degree = verified.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = nodes.join(labels, "node", "left").join(degree, "node", "left")
@@ -211,8 +211,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, that of the least doc_id; rows without doc_id stay. Same columns."""
-    gone = near_classes(docs.select("doc_id", "text")).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(near_classes(docs.select("doc_id", "text")).filter("doc_id <> class_id").select("doc_id").distinct())
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
