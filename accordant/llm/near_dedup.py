@@ -16,9 +16,11 @@ overlap of all shingles, LEAST or more) in a way that stays linear for large gro
 2. In every bucket one leader is compared with all others: the node with the most neighbours in all its buckets, which
    in a family of mutated copies is the original or the copy nearest to it. All buckets of a family tend to have the
    same leader, so a pair comes up once.
-3. Buckets that still hold several classes get further leaders, twice as many every round, which are compared with the
-   members of the other classes, until every member has been a leader. So each link is found that the bands offer or
-   that could join two classes; no group is ever expanded into all its pairs at once, and nothing is capped.
+3. Buckets that still hold several classes get another leader each round, one that is not yet in the first leader's
+   class, picked by a hash, and it is compared with the members of all other classes. Rounds go on as long as they find
+   links, and at least LEAST_ROUNDS times. A round costs no more comparisons than there are members. A pair at 0.8
+   shares about six of its 24 buckets, so it has as many chances a round; it is lost only where all leaders of these
+   buckets are unlike both of its texts.
 
 Bands of 6 x 24 miss a pair at 0.8 with a probability of 0.0007, at 0.9 below 1e-7.
 
@@ -30,6 +32,7 @@ gives no rows; further columns are ignored (`drop_near_copies` carries them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -43,7 +46,7 @@ from .components import components
 from .decontaminate import words
 from .exact_dedup import digest
 
-SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 24, 6
+SHINGLE, LEAST, BANDS, ROWS, LEAST_ROUNDS = 5, 0.8, 24, 6, 2
 SIZE = BANDS * ROWS
 SLICE_CHARS = 2_000_000
 #: Bits of a shingle's hash beside the number of its document in a slice.
@@ -162,26 +165,27 @@ def links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     members(bucket, node, size, mass): buckets of `size` nodes; mass is the sum of the sizes of a node's buckets.
     """
-    lead = members.groupBy("bucket").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("lead"))
-    found = members.join(lead, "bucket").filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    tried = materialize(found)
+    lead = materialize(members.groupBy("bucket").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("lead")))
+    pair = (F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    tried = materialize(members.join(lead, "bucket").filter("node <> lead").select(*pair).distinct())
     verified = materialize(similar(tried, texts))
     labels = components(verified)
-    largest, leaders = members.agg(F.max("size")).first()[0] or 0, 2
-    while True:
-        known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        open_ = materialize(known.join(open_, "bucket"))
-        heads = open_.filter(F.pmod(F.xxhash64("bucket", "node"), F.col("size")) < leaders).select("bucket", F.col("node").alias("lead"), F.col("label").alias("lead_label"))
-        found = open_.join(heads, "bucket").filter("label <> lead_label").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    for k in count(1):
+        known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        first = lead.join(labels.withColumnRenamed("node", "lead"), "lead", "left").select("bucket", F.coalesce("label", "lead").alias("first_label"))
+        others = known.join(first, "bucket").filter("label <> first_label")
+        heads = others.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "bucket", F.lit(k))).alias("h"))
+        heads = heads.select("bucket", F.col("h.node").alias("lead"), F.col("h.label").alias("lead_label"))
+        found = known.join(heads, "bucket").filter("label <> lead_label").select(*pair).distinct()
         found = materialize(found.join(tried, ["a", "b"], "left_anti"))
         new = materialize(similar(found, texts))
-        if new.limit(1).count():
+        more = new.limit(1).count() > 0
+        if more:
             verified = verified.unionByName(new)
             labels = components(verified)
-        if leaders >= largest:
+        if not more and k >= LEAST_ROUNDS:
             return verified, labels
-        tried, leaders = tried.unionByName(found), leaders * 2
+        tried = tried.unionByName(found)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
