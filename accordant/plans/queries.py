@@ -307,10 +307,10 @@ board as (select pos, id, points, sd_pts, floor, ceiling, sources, pos_rank, coa
 """
 
 
-@query(LINES + BOARD + "select pos, id, pos_rank, tier, round(dropoff, 8) as dropoff from board")
+@query(LINES + BOARD + "select pos, id, pos_rank, tier, round(dropoff, 6) as dropoff from board")
 def rank_tier_dropoff(spark, sf):
     out = rank.rank_and_tier(cut(summary(spark, sf)).filter("points > 0").withColumn("avg_type", F.lit("average")), {})
-    return rounded(out.select("pos", "id", "pos_rank", "tier", "dropoff"))
+    return rounded(out.select("pos", "id", "pos_rank", "tier", F.round("dropoff", 6).alias("dropoff")))
 
 
 @query(LINES + BOARD + "select pos, id, round(points_vor, 8) as points_vor, round(floor_vor, 8) as floor_vor, round(ceiling_vor, 8) as ceiling_vor, rank from board")
@@ -475,6 +475,6 @@ def entity_drilldown(spark, sf):
 SQL["entity_drilldown"] = LINES + "select * from (select id, data_src, unnest(['qty', 'yds', 'disc']) as stat, unnest([qty, yds, disc]) as value from lines) where value is not null"
 
 
-@query(LINES + BOARD + "select pos, id, round(points, 8) as points, round(sd_pts, 8) as sd_pts, round(floor, 8) as floor, round(ceiling, 8) as ceiling, sources, pos_rank, tier, round(dropoff, 8) as dropoff, round(points_vor, 8) as points_vor from board")
+@query(LINES + BOARD + "select pos, id, round(points, 8) as points, round(sd_pts, 8) as sd_pts, round(floor, 8) as floor, round(ceiling, 8) as ceiling, sources, pos_rank, tier, round(dropoff, 6) as dropoff, round(points_vor, 8) as points_vor from board")
 def consensus_board(spark, sf):
-    return rounded(board(spark, sf).select("pos", "id", "points", "sd_pts", "floor", "ceiling", "sources", "pos_rank", "tier", "dropoff", "points_vor"))
+    return rounded(board(spark, sf).select("pos", "id", "points", "sd_pts", "floor", "ceiling", "sources", "pos_rank", "tier", F.round("dropoff", 6).alias("dropoff"), "points_vor"))
