@@ -16,11 +16,16 @@ overlap of all shingles, LEAST or more) in a way that stays linear for large gro
 2. In every bucket one leader is compared with all others: the node with the most neighbours in all its buckets, which
    in a family of mutated copies is the original or the copy nearest to it. All buckets of a family tend to have the
    same leader, so a pair comes up once.
-3. Buckets that still hold several classes get another leader each round, one that is not yet in the first leader's
-   class, picked by a hash, and it is compared with the members of all other classes. Rounds go on as long as they find
-   links, and at least LEAST_ROUNDS times. A round costs no more comparisons than there are members. A pair at 0.8
-   shares about six of its 24 buckets, so it has as many chances a round; it is lost only where all leaders of these
-   buckets are unlike both of its texts.
+3. In buckets that still hold several classes, a bound rules out most pairs exactly. Shingles that no other node of
+   these buckets has cannot be shared: with u of them in a text of n shingles, the overlap of two texts is at most the
+   lesser n - u, their union at least the greater n + u of the other one. Most copies that are unlike each other have
+   too many shingles of their own, and leave the bucket.
+4. The buckets left get further leaders each round, one in the first, MORE times as many in each that follows: nodes
+   outside the first leader's class, those with the least share of shingles of their own first. A node leads
+   once in a bucket, and is compared with those members of other classes that the bound allows, a pair in one bucket only.
+   Rounds end where every such node has led (then no link within a bucket is lost), or after LEAST_ROUNDS once a round
+   finds no link. A pair at 0.8 shares about six of its 24 buckets; it can be lost only in buckets with more classes
+   than leaders, where the last round's leaders, of all nodes the likeliest to have links, had none.
 
 Bands of 6 x 24 miss a pair at 0.8 with a probability of 0.0007, at 0.9 below 1e-7.
 
@@ -37,7 +42,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -46,7 +51,7 @@ from .components import components
 from .decontaminate import words
 from .exact_dedup import digest
 
-SHINGLE, LEAST, BANDS, ROWS, LEAST_ROUNDS = 5, 0.8, 24, 6, 2
+SHINGLE, LEAST, BANDS, ROWS, LEAST_ROUNDS, MORE = 5, 0.8, 24, 6, 2, 4
 SIZE = BANDS * ROWS
 SLICE_CHARS = 2_000_000
 #: Bits of a shingle's hash beside the number of its document in a slice.
@@ -160,6 +165,29 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "text", "text_b").mapInPandas(run, "a long, b long")
 
 
+def alone(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n, u) for nodes(node, lead): shingles of the text, and those that no other of the nodes has.
+
+    lead is another of the nodes, itself without a lead. A text gives out only the shingles that its lead lacks, as all
+    others are shared, so little is shuffled for a family of copies.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, SLICE_CHARS):
+                (doc, element, weight), lead = bags(*shingles(part.text.tolist())), bags(*shingles(part.text_lead.tolist()))
+                key, other = (d.astype("u8") << np.uint64(HASH_BITS) | e for d, e in ((doc, element), lead[:2]))
+                own, node = ~np.isin(key, other), part.node.to_numpy()
+                yield pd.DataFrame({"node": node, "element": None, "weight": np.bincount(doc, weight, minlength=len(part)).astype("i8")})
+                yield pd.DataFrame({"node": node[doc[own]], "element": element[own].view("i8"), "weight": weight[own]})
+
+    both = nodes.join(texts, "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead", "left")
+    rows = materialize(both.select("node", "text", "text_lead").mapInPandas(run, "node long, element long, weight long"))
+    single = rows.filter("element is not null").groupBy("element").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.max("weight").alias("weight")).filter("times = 1")
+    u = single.groupBy("node").agg(F.sum("weight").alias("u"))
+    return rows.filter("element is null").select("node", F.col("weight").alias("n")).join(u, "node", "left").fillna(0, ["u"])
+
+
 def links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between nodes that share a bucket, and the classes (node, label) that they form.
 
@@ -170,13 +198,39 @@ def links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = materialize(members.join(lead, "bucket").filter("node <> lead").select(*pair).distinct())
     verified = materialize(similar(tried, texts))
     labels = components(verified)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # buckets of several classes, and in them the nodes that can still have a link there
+    known = labelled(members.select("bucket", "node"))
+    several = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    open_ = materialize(known.join(several, "bucket").join(lead, "bucket").select("bucket", "node", "lead"))
+    leads = open_.select(F.col("lead").alias("node")).distinct().withColumn("leads", F.lit(True))
+    nodes = open_.groupBy("node").agg(F.min("lead").alias("lead")).join(leads, "node", "left")
+    size = materialize(alone(materialize(nodes.select("node", F.when(F.col("leads").isNull(), F.col("lead")).alias("lead"))), texts))
+    own = open_.join(size, "node")
+    least = own.groupBy("bucket").agg(F.min("u").alias("least"))
+    own = own.join(least, "bucket").filter(F.col("n") - F.col("u") >= LEAST * (F.col("n") + F.col("least")))
+    own = materialize(own.select("bucket", "node", "lead", "n", "u"))
+    open_ = materialize(own.join(own.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node"))
+    # of the buckets in which a pair meets under the same leader, the least one yields it
+    spent = None
+    possible = F.least(F.col("n") - F.col("u"), F.col("h.n") - F.col("h.u")) >= LEAST * F.greatest(F.col("n") + F.col("h.u"), F.col("h.n") + F.col("u"))
+    once = F.array_min(F.array_intersect("buckets", "h.led")) == F.col("bucket")
+    likeliest = Window.partitionBy("bucket").orderBy(F.col("u") / F.col("n"), "node")
     for k in count(1):
-        known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        first = lead.join(labels.withColumnRenamed("node", "lead"), "lead", "left").select("bucket", F.coalesce("label", "lead").alias("first_label"))
-        others = known.join(first, "bucket").filter("label <> first_label")
-        heads = others.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.xxhash64("node", "bucket", F.lit(k))).alias("h"))
-        heads = heads.select("bucket", F.col("h.node").alias("lead"), F.col("h.label").alias("lead_label"))
-        found = known.join(heads, "bucket").filter("label <> lead_label").select(*pair).distinct()
+        known = labelled(open_.drop("lead"))
+        first = labelled(open_.select("bucket", F.col("lead").alias("node")).distinct()).select("bucket", F.col("label").alias("first_label"))
+        others = known.join(first, "bucket").filter("label <> first_label").select("bucket", "node", "n", "u")
+        if spent is not None:
+            others = others.join(spent, ["bucket", "node"], "left_anti")
+        heads = materialize(others.withColumn("place", F.row_number().over(likeliest)).filter(F.col("place") <= MORE ** (k - 1)).select("bucket", "node"))
+        if not heads.limit(1).count():
+            return verified, labels
+        led = heads.groupBy("node").agg(F.collect_list("bucket").alias("led"))
+        lent = known.join(heads, ["bucket", "node"]).join(led, "node").select("bucket", F.struct("node", "label", "n", "u", "led").alias("h"))
+        found = known.join(lent, "bucket").filter((F.col("label") != F.col("h.label")) & possible & once).withColumn("lead", F.col("h.node")).select(*pair).distinct()
         found = materialize(found.join(tried, ["a", "b"], "left_anti"))
         new = materialize(similar(found, texts))
         more = new.limit(1).count() > 0
@@ -186,6 +240,7 @@ def links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not more and k >= LEAST_ROUNDS:
             return verified, labels
         tried = tried.unionByName(found)
+        spent = heads if spent is None else spent.unionByName(heads)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
