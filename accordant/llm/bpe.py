@@ -223,7 +223,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
 
 
-def slices(batch: pd.DataFrame, chars: int = 8_000_000) -> Iterator[pd.DataFrame]:
+def slices(batch: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Parts of a batch with about so many characters: bounds what one step holds besides the largest text."""
     begun = size = 0
     for k, text in enumerate(batch.text):

@@ -33,7 +33,7 @@ from .common import table
 WINDOW = 10
 #: Most bytes of test text in one broadcast.
 BLOCK_BYTES = 16 << 20
-SHARD_CHARS = 16_000_000
+SHARD_CHARS = 1_000_000
 #: Bytes of words to themselves (A-Z to a-z), others to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

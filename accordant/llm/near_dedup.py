@@ -53,7 +53,7 @@ from .exact_dedup import digest
 
 SHINGLE, LEAST, BANDS, ROWS, LEAST_ROUNDS, MORE = 5, 0.8, 24, 6, 2, 4
 SIZE = BANDS * ROWS
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: Bits of a shingle's hash beside the number of its document in a slice.
 HASH_BITS = 44
 
