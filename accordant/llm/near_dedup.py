@@ -23,9 +23,7 @@ overlap of all shingles, LEAST or more) in a way that stays linear for large gro
 4. The buckets left get further leaders each round, one in the first, MORE times as many in each that follows: nodes
    outside the first leader's class, those with the least share of shingles of their own first. A node leads
    once in a bucket, and is compared with those members of other classes that the bound allows, a pair in one bucket only.
-   Rounds end where every such node has led (then no link within a bucket is lost), or after LEAST_ROUNDS once a round
-   finds no link. A pair at 0.8 shares about six of its 24 buckets; it can be lost only in buckets with more classes
-   than leaders, where the last round's leaders, of all nodes the likeliest to have links, had none.
+   Rounds end where every such node has led, so no link within a bucket is lost.
 
 Bands of 6 x 24 miss a pair at 0.8 with a probability of 0.0007, at 0.9 below 1e-7.
 
@@ -51,7 +49,7 @@ from .components import components
 from .decontaminate import words
 from .exact_dedup import digest
 
-SHINGLE, LEAST, BANDS, ROWS, LEAST_ROUNDS, MORE = 5, 0.8, 24, 6, 2, 4
+SHINGLE, LEAST, BANDS, ROWS, MORE = 5, 0.8, 24, 6, 4
 SIZE = BANDS * ROWS
 SLICE_CHARS = 1_000_000
 #: Bits of a shingle's hash beside the number of its document in a slice.
@@ -233,12 +231,9 @@ def links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = known.join(lent, "bucket").filter((F.col("label") != F.col("h.label")) & possible & once).withColumn("lead", F.col("h.node")).select(*pair).distinct()
         found = materialize(found.join(tried, ["a", "b"], "left_anti"))
         new = materialize(similar(found, texts))
-        more = new.limit(1).count() > 0
-        if more:
+        if new.limit(1).count():
             verified = verified.unionByName(new)
             labels = components(verified)
-        if not more and k >= LEAST_ROUNDS:
-            return verified, labels
         tried = tried.unionByName(found)
         spent = heads if spent is None else spent.unionByName(heads)
 

@@ -188,3 +188,26 @@ def test_pipeline(spark, sf):
             assert out.columns == docs.columns
             docs = out
     assert out.filter(F.size("ids") != F.col("n_tokens")).count() == 0 and out.count() == docs.count() > 0
+
+
+def test_hidden_pair_in_a_bucket_of_unlike_nodes(spark):
+    """The bound rules none out, and the pair comes after more leaders than two rounds have."""
+    draw = random.Random(5)
+    page = [f"w{draw.randrange(10**9)}" for _ in range(900)]
+    blocks = [range(k, k + 20) for k in range(0, 900, 20)]
+
+    def without(*gone):
+        drop = {j for b in gone for j in blocks[b]}
+        return [w for j, w in enumerate(page) if j not in drop]
+
+    texts = [without(*draw.sample(range(45), 10)) for _ in range(52)]
+    hidden = without(*range(20, 30)) + [f"a{k}" for k in range(12)]
+    texts += [hidden, hidden[:-12] + [f"b{k}" for k in range(12)]]
+    plain = [" ".join(t) for t in texts]
+    every = [(i, j) for i in range(54) for j in range(i)]
+    like = near_dedup.overlap([plain[i] for i, _ in every], [plain[j] for _, j in every]) >= near_dedup.LEAST
+    assert [p for p, x in zip(every, like) if x] == [(53, 52)]
+    members = spark.createDataFrame([(1, k, 54, 54) for k in range(54)], "bucket long, node long, size long, mass long")
+    got, labels = near_dedup.links(members, spark.createDataFrame(list(enumerate(plain)), "node long, text string"))
+    assert [(r.a, r.b) for r in got.collect()] == [(52, 53)]
+    assert {(r.node, r.label) for r in labels.collect()} == {(52, 52), (53, 52)}
