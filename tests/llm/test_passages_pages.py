@@ -69,6 +69,34 @@ def test_passages(spark, odd):
     assert passages.passage_classes(odd).count() == len(ODD) and passages.passage_classes(odd.limit(0)).count() == 0
 
 
+def test_verification_of_changed_passages():
+    """One word changed or lost or up to four put in, at every place, from every anchor, against the Jaccard of the planted passage."""
+    draw = random.Random(4)
+    fresh = lambda n: [draw.choice("bcdfgh") + str(draw.randrange(10**6)) for _ in range(n)]
+    tokens = lambda w: passages.shingles([" ".join(w)])[1]
+    seen = Counter()
+    for size in (50, 60, 80):
+        own, old = fresh(30), fresh(size)
+        a, inner = tokens(own + old + fresh(20)), tokens(old)
+        for k in range(size):
+            for new in (fresh(1) + old[k + 1 :], old[k + 1 :], *(fresh(n) + old[k:] for n in (1, 2, 3, 4))):
+                new = old[:k] + new
+                planted = tokens(new)
+                same = len(set(inner) & set(planted))
+                b = tokens(fresh(9) + new + fresh(25))
+                if len(new) < 50 or same < 0.8 * (len(inner) + len(planted) - same):
+                    continue
+                for c in np.flatnonzero(np.isin(a, b))[:: 7 if k % 5 else 1]:
+                    p = passages.aligned(a, b, int(c), int(np.flatnonzero(b == a[c])[0]))[2]
+                    assert p and p[0] <= c < p[1] and min(p[1] - p[0], p[3] - p[2]) >= passages.WIDTH, (size, k, c)
+                    assert len(set(a[p[0] : p[1]]) & set(b[p[2] : p[3]])) >= 0.8 * len(set(a[p[0] : p[1]]) | set(b[p[2] : p[3]]))
+                    seen[size] += 1
+    assert all(seen[n] for n in (50, 60, 80))
+    half = fresh(44)
+    a, b = tokens(fresh(40) + half + fresh(40)), tokens(fresh(30) + half + fresh(50))
+    assert passages.aligned(a, b, 50, 40)[2] is None and passages.aligned(a[:45], b, 42, 32)[2] is None
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><a href=/>Site name</a></header>
       <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class="cookie-notice">We use cookies, a lot of them, really.</div>
