@@ -97,6 +97,21 @@ def test_verification_of_changed_passages():
     assert passages.aligned(a, b, 50, 40)[2] is None and passages.aligned(a[:45], b, 42, 32)[2] is None
 
 
+def test_pairs_that_meet_in_one_hash_function(spark):
+    draw = random.Random(6)
+    fresh = lambda n: [draw.choice("bcdfgh") + str(draw.randrange(10**6)) for _ in range(n)]
+    docs = []
+    while len(docs) < 24:
+        p = fresh(60)
+        pair = [" ".join(fresh(20) + w + fresh(20)) for w in (p, p[:30] + fresh(1) + p[31:])]
+        own, fn, key, *_ = passages.keyed_windows(pair)
+        met = np.intersect1d(key[own == 0], key[own == 1])
+        if len(np.unique(fn[np.isin(key, met)])) == 1:
+            docs += pair
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in passages.passage_classes(rows).collect()} == {i: i - i % 2 for i in range(24)}
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><a href=/>Site name</a></header>
       <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class="cookie-notice">We use cookies, a lot of them, really.</div>
