@@ -4,8 +4,9 @@ The standard library's parser is read as a stream of events. Block tags end a li
 with its text, its number of tags and the section that it stands in. Its ratio is characters of text over tags; lines
 in navigation, headers, footers, asides, forms, scripts and the like have none. Ratios are smoothed with a Gaussian
 over neighbouring lines and clustered by a threshold (half their mean). The sections that hold the lines above the
-threshold, each with at least SHARE of the best section's text, are the content regions; all lines of a region that
-are not boilerplate are the text, short ones too.
+threshold lead to the content regions: the lowest article or main that holds all of those in such elements (each one's
+outermost if there is none), and, of other sections with at least SHARE of the best one's text, the lowest common
+ancestor. All lines of a region that are not boilerplate are the text, short ones too.
 
 Defined cases: null html is empty and gives an empty text; pages are independent rows, so repeats and ties have no
 influence; unclosed tags end with their parents; pages of any length are parsed whole; further columns are ignored.
@@ -36,6 +37,7 @@ MARKS = frozenset(
 )
 WHOLE = frozenset("html body article main".split())
 PARTS = re.compile(r"[^a-z0-9]+")
+SITE = re.compile(r"^(site|page)[-_]+")
 
 
 class Lines(HTMLParser):
@@ -45,7 +47,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, section, boilerplate
         self.sections, self.lines, self.links = 0, [], 0
-        self.parents = {0: 0}
+        self.parents, self.tags = {0: 0}, {0: ""}
         self.line()
 
     def line(self) -> None:
@@ -73,7 +75,7 @@ class Lines(HTMLParser):
             noise = tag in NOISE or tag == "header" and not inside or tag not in WHOLE and self.marked(attrs)
         if tag in SECTION:
             self.sections += 1
-            self.parents[self.sections] = section
+            self.parents[self.sections], self.tags[self.sections] = section, tag
             section = self.sections
         self.stack.append((tag, section, noise))
         self.links += tag == "a"
@@ -87,7 +89,8 @@ class Lines(HTMLParser):
     def marked(attrs: list) -> bool:
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                if not MARKS.isdisjoint(PARTS.split(value.lower())) or value.lower() in ("header", "site-header", "page-header", "complementary", "contentinfo", "search"):
+                # the whole token or its head, so that "has-sidebar" or "no-comments" marks nothing
+                if any(t in MARKS or PARTS.split(SITE.sub("", t))[0] in MARKS for t in value.lower().split()) or value.lower() in ("header", "site-header", "page-header", "complementary", "contentinfo", "search"):
                     return True
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -152,15 +155,28 @@ def main_text(html: str | None) -> str:
     for (text, _, section, noise, menu), x in zip(rows, ratio):
         if not noise and not menu and x >= cut:
             held[section] = held.get(section, 0) + len(text)
-    least = SHARE * max(held.values(), default=0)
-    chosen = {s for s, n in held.items() if n >= least}
 
-    def inside(section: int) -> bool:
-        while section not in chosen and section:
-            section = parser.parents[section]
-        return section in chosen
+    def up(section: int) -> list[int]:
+        """The section and all around it."""
+        path = [section]
+        while path[-1]:
+            path.append(parser.parents[path[-1]])
+        return path
+
+    def whole(path: list[int]) -> list[int]:
+        return [s for s in path if parser.tags[s] in ("article", "main")]
 
-    return "\n\n".join(r[0] for r in clean if not r[4] and inside(r[2]))
+    def common(sections: list[int]) -> list[int]:
+        paths = [up(s) for s in sections]
+        return [s for s in paths[0] if all(s in p for p in paths)]
+
+    articles = [s for s in held if whole(up(s))]
+    least = SHARE * max(held.values(), default=0)
+    others = [s for s, n in held.items() if n >= least and s not in articles]
+    chosen = set(common(others)[:1]) if others else set()
+    if articles:
+        chosen |= set(whole(common(articles))[:1]) or {whole(up(s))[-1] for s in articles}
+    return "\n\n".join(r[0] for r in clean if not r[4] and not chosen.isdisjoint(up(r[2])))
 
 
 def extract(pages: DataFrame) -> DataFrame:

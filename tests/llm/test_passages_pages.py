@@ -125,6 +125,17 @@ def test_main_text():
     assert html_text.main_text("<div><p>" + "word " * 200_000 + "</div>").count("word") == 200_000
 
 
+def test_main_text_keeps_all_of_an_article():
+    long, short = "word " * 200 + "end.", "other " * 30 + "end."
+    assert html_text.main_text(f"<article><h1>T</h1><div><p>{long}</p></div></article>") == f"T\n\n{long}"
+    assert html_text.main_text(f"<article><section>{long}</section><section>{short}</section></article>") == f"{long}\n\n{short}"
+    assert html_text.main_text(f"<body><article><p>{long}</article><article><p>{short}</article></body>") == f"{long}\n\n{short}"
+    assert html_text.main_text(f"<main><div>Yes.</div><div>{long}</div><div>No.</div></main>") == f"Yes.\n\n{long}\n\nNo."
+    for mark in ("has-sidebar", "layout no-comments", "with_related"):
+        assert html_text.main_text(f"<body><div class='{mark}'><article><p>{long}</article></div></body>") == long
+    assert html_text.main_text(f"<article><p>{long}<div class='x comments-list'>{short}</div></article><div class=site-footer>{short}</div>") == long
+
+
 def test_pages_have_their_article(spark, sf):
     import html
 
