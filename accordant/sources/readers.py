@@ -100,7 +100,7 @@ def tables(pages: DataFrame) -> DataFrame:
                     rows += [(page, t, k, r + [""] * (width - len(r))) for k, r in enumerate(table)]
             yield pd.DataFrame(rows, columns=["page_id", "table_no", "row_no", "cells"])
 
-    return pages.select("page_id", "html").filter(F.contains("html", F.lit("<table"))).mapInPandas(run, "page_id long, table_no int, row_no int, cells array<string>")
+    return pages.select("page_id", "html").filter(F.col("html").rlike("(?i)<table")).mapInPandas(run, "page_id long, table_no int, row_no int, cells array<string>")
 
 
 def joined_headers(first: Column, second: Column) -> Column:

@@ -171,3 +171,8 @@ def test_entry_without_the_subpackage():
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_tables_in_upper_case(spark):
+    pages = spark.createDataFrame([(1, "<TABLE><TR><TD>a</TD><TD>b</TD></TR></TABLE>"), (2, "none"), (3, None)], "page_id long, html string")
+    assert [(r.page_id, r.cells) for r in readers.tables(pages).collect()] == [(1, ["a", "b"])]
