@@ -180,9 +180,9 @@ def score_lines(spark, sf):
     return rounded(scored(spark, sf))
 
 
-def supplier_rules(spark, sf):
+def supplier_rules(spark, sf, suppliers="s_suppkey <= 20"):
     """A rule set per supplier: base rules, and an overlay for one group."""
-    supp = table(spark, sf, "supplier").filter("s_suppkey <= 20")
+    supp = table(spark, sf, "supplier").filter(suppliers)
     base = supp.select(F.col("s_suppkey").alias("scope"), F.explode(F.create_map(F.lit("qty"), F.col("s_suppkey") / 10.0, F.lit("yds"), F.lit(0.001), F.lit("disc"), F.col("s_nationkey") * 1.0)).alias("stat", "points"))
     own = supp.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("scope"), F.lit("ECONOMY").alias("p"), F.lit("qty").alias("stat"), F.lit(9.0).alias("points"))
     first = table(spark, sf, "part").agg(F.min("p_type").alias("pos"))
@@ -196,6 +196,12 @@ def score_many_rules(spark, sf):
     return rounded(score.many_rule_points(lines(spark, sf), supplier_rules(spark, sf), ["qty", "yds", "disc"], ["id", "data_src"]))
 
 
+@query()
+def score_all_rules(spark, sf):
+    """score_many_rules for all suppliers: rows grow with lines times suppliers, so it has no SQL."""
+    return rounded(score.many_rule_points(lines(spark, sf), supplier_rules(spark, sf, "true"), ["qty", "yds", "disc"], ["id", "data_src"]))
+
+
 @query("select l_orderkey, l_linenumber, case when q is null then null when q <= 5 then 10.0 when q <= 15 then 7.0 when q <= 25 then 4.0 when q <= 35 then 1.0 else -1.0 end::double as points from (select *, case when l_linenumber % 4 <> 0 then l_quantity end as q from lineitem)")
 def bracket_points(spark, sf):
     q = F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity"))
@@ -467,6 +473,17 @@ def null_last_sort(spark, sf):
     return lines(spark, sf).select("id", "pos", "data_src", "qty").orderBy(F.col("qty").desc_nulls_last(), "id", "data_src").limit(100)
 
 
+@query()
+def null_last_sort_down(spark, sf):
+    """All rows, without the limit of null_last_sort."""
+    return lines(spark, sf).select("id", "pos", "data_src", "qty").orderBy(F.col("qty").desc_nulls_last(), "id", "data_src")
+
+
+@query()
+def null_last_sort_up(spark, sf):
+    return lines(spark, sf).select("id", "pos", "data_src", "qty").orderBy(F.col("qty").asc_nulls_last(), "id", "data_src")
+
+
 @query(LINES + "select id, data_src, unnest(['qty', 'yds', 'disc']) as stat, unnest([qty, yds, disc]) as value from lines qualify value is not null")
 def entity_drilldown(spark, sf):
     return publish.drill_down(lines(spark, sf), ["qty", "yds", "disc"])

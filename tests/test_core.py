@@ -176,3 +176,20 @@ def test_entry_without_the_subpackage():
 def test_tables_in_upper_case(spark):
     pages = spark.createDataFrame([(1, "<TABLE><TR><TD>a</TD><TD>b</TD></TR></TABLE>"), (2, "none"), (3, None)], "page_id long, html string")
     assert [(r.page_id, r.cells) for r in readers.tables(pages).collect()] == [(1, ["a", "b"])]
+
+
+def test_all_rules_and_whole_sorts(spark, sf):
+    rows = queries.lines(spark, sf).collect()
+    n = queries.table(spark, sf, "supplier").count()
+    first = queries.table(spark, sf, "part").agg(F.min("p_type")).first()[0]
+    nation = {r.s_suppkey: r.s_nationkey for r in queries.table(spark, sf, "supplier").collect()}
+    got = {(r.scope, r.id, r.data_src): r.points for r in queries.QUERIES["score_all_rules"](spark, sf).collect()}
+    assert len(got) == n * len(rows)
+    for r in rows[::7]:
+        for s, k in nation.items():
+            qty = 9.0 if s % 3 == 0 and r.pos == first else s / 10
+            assert got[s, r.id, r.data_src] == pytest.approx((r.qty or 0) * qty + r.yds * 0.001 + (r.disc or 0) * k, abs=1e-6)
+    for name, sign in (("null_last_sort_down", -1), ("null_last_sort_up", 1)):
+        want = sorted(rows, key=lambda r: (r.qty is None, sign * (r.qty or 0), r.id, r.data_src))
+        assert [(r.id, r.data_src, r.qty) for r in queries.QUERIES[name](spark, sf).collect()] == [(r.id, r.data_src, r.qty) for r in want]
+        assert want[-1].qty is None
