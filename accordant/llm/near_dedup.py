@@ -9,60 +9,61 @@ shingle's weight, and component k of the signature is the least point given to k
 with a probability equal to their weighted Jaccard similarity, and a process is left as soon as its next point is above
 all components, which needs few points a shingle.
 
-Signatures are cut into BANDS bands of ROWS components. Documents that agree in a band are compared exactly (multiset
-overlap of all shingles, LEAST or more) in a way that stays linear for large groups:
-
-1. Equal texts are one node, however many they are.
-2. In every bucket one leader is compared with all others: the node with the most neighbours in all its buckets, which
-   in a family of mutated copies is the original or the copy nearest to it. All buckets of a family tend to have the
-   same leader, so a pair comes up once.
-3. In buckets that still hold several classes, a bound rules out most pairs exactly. Shingles that no other node of
-   these buckets has cannot be shared: with u of them in a text of n shingles, the overlap of two texts is at most the
-   lesser n - u, their union at least the greater n + u of the other one. Most copies that are unlike each other have
-   too many shingles of their own, and leave the bucket.
-4. The buckets left get further leaders each round, one in the first, MORE times as many in each that follows: nodes
-   outside the first leader's class, those with the least share of shingles of their own first. A node leads
-   once in a bucket, and is compared with those members of other classes that the bound allows, a pair in one bucket only.
-   Rounds end where every such node has led, so no link within a bucket is lost.
-
-Bands of 6 x 24 miss a pair at 0.8 with a probability of 0.0007, at 0.9 below 1e-7.
-
-Defined cases: null text is the empty text; texts without words are linked only to equal texts; a null doc_id gets the
-class of its text, null if no numbered document has or resembles it; repeated rows get the same class; an empty table
-gives no rows; further columns are ignored (`drop_near_copies` carries them).
+Signatures are cut into BANDS bands of ROWS components. Documents that agree in a band share a bucket, and are compared
+exactly (multiset overlap of all shingles, LEAST or more) in a way that stays linear for large groups of copies:
+
+1. Equal texts are one node, however many they are; a node is numbered by its digest's row, whatever its doc_id is.
+2. Every bucket has one leader: the node with the most neighbours in all its buckets, which in a family of mutated copies
+   is the original or the copy nearest to it. All buckets of a family tend to have the same leader. The nodes that share
+   a bucket led by L are the cell of L. Each is compared with L on the texts, once, and its difference is kept: what it
+   has more than L, and what L has more than it, as a set of tokens (a shingle n times more gives n tokens).
+3. The size of the symmetric difference of two nodes A and B of a cell follows from their differences d(A), d(B) to L:
+   |d(A)| + |d(B)| - 2 |d(A) and d(B) in common|. They are similar if that is at most (|A| + |B|) (1 - LEAST) / (1 + LEAST).
+   If A is not similar to L, A and B must then have tokens of their differences in common, so an equi join on
+   (cell, token) finds all such pairs. It is kept small by a prefix filter with places: tokens of each node are ordered
+   from rare to frequent in the cell, and the first common token of a similar pair stands early enough in both for the
+   rest to suffice. Tokens that a single node has (most changed words) only move the others back.
+4. Before that, while it links at least an eighth of them, the nodes outside their leader's class are compared with one
+   further leader each cell and round, so that a family without a centre leaves few pairs to the join.
+
+Every pair of one bucket whose classes differ is thus compared or excluded exactly. Bands of 6 x 24 miss a pair at 0.8 with
+a probability of 0.0007, at 0.9 below 1e-7. The join can only grow with the square of a family where many pairs outside
+the leader's class have a similarity close to 0.8.
+
+Defined cases: null text is the empty text; texts without words are linked only to equal texts; a class's number is its
+least doc_id (which may be negative), null if no row of it has one; different texts under one doc_id are different nodes,
+so its rows can have different classes; repeated rows get the same class; an empty table gives no rows; further columns
+are ignored (`drop_near_copies` carries them).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import mix, ranges
 from .bpe import slices
 from .common import materialize, sized, table
 from .components import components
 from .decontaminate import words
 from .exact_dedup import digest
 
-SHINGLE, LEAST, BANDS, ROWS, MORE = 5, 0.8, 24, 6, 4
+SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 24, 6
+#: (1 + LEAST) / (1 - LEAST): multisets are similar if their difference times TOP is at most the sum of their sizes.
+TOP = 9
+#: A further leader is worth a round if it links more than one in FEW of the nodes left.
+FEW = 8
 SIZE = BANDS * ROWS
 SLICE_CHARS = 1_000_000
 #: Bits of a shingle's hash beside the number of its document in a slice.
 HASH_BITS = 44
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: equal chances for every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the text and 64-bit hash of each shingle, repeats included, in the order of the texts."""
     docs = [words(t) for t in texts]
@@ -139,134 +140,159 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", digest().alias("digest"), "text").mapInPandas(run, "doc_id long, digest binary, bands array<long>")
 
 
-def overlap(a: list[str], b: list[str]) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of the texts a[k] and b[k]."""
-    (da, ha), (db, hb) = shingles(a), shingles(b)
-    keys = [d.astype("u8") << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS) for d, h in ((da, ha), (db, hb))]
+def difference(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sizes of the shingle multisets of a[k] and b[k], and their difference as tokens."""
+    place = {t: k for k, t in enumerate(dict.fromkeys(b))}  # a leader comes with many of its nodes
+    (da, ha), (own, h) = shingles(a), shingles(list(place))
+    which = np.array([place[t] for t in b], "i8")
+    count = np.bincount(own, minlength=len(place))
+    db, at = ranges((np.cumsum(count) - count)[which], np.cumsum(count)[which])
+    keys = [d.astype("u8") << np.uint64(HASH_BITS) | x >> np.uint64(64 - HASH_BITS) for d, x in ((da, ha), (db, h[at]))]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = [np.bincount(x, minlength=len(every)) for x in (at[: len(da)], at[len(da) :])]
-    doc = (every >> np.uint64(HASH_BITS)).astype("i8")
-    low, high = (np.bincount(doc, f(*counts), minlength=len(a)) for f in (np.minimum, np.maximum))
-    return low / np.maximum(high, 1)
+    more = np.bincount(at[: len(da)], minlength=len(every)) - np.bincount(at[len(da) :], minlength=len(every))
+    key, level = ranges(np.zeros(len(more), "i8"), np.abs(more))
+    element = every[key] & np.uint64((1 << HASH_BITS) - 1)
+    token = mix(element * np.uint64(0x9E3779B97F4A7C15) + (2 * level + (more[key] > 0)).astype("u8")).view("i8")
+    doc = (every[key] >> np.uint64(HASH_BITS)).astype("i8")
+    edges = np.searchsorted(doc, np.arange(1, len(a)))
+    return np.bincount(da, minlength=len(a)), count[which], np.split(token, edges)
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose texts are similar; texts(node, text)."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, lead, n, n_lead, diff) of pairs(node, lead): numbers of shingles, and the difference as tokens; texts(node, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch, SLICE_CHARS):
-                yield part.loc[overlap(part.text.tolist(), part.text_b.tolist()) >= LEAST, ["a", "b"]]
+                n, n_lead, diff = difference(part.text.tolist(), part.text_lead.tolist())
+                yield pd.DataFrame({"node": part.node.to_numpy(), "lead": part.lead.to_numpy(), "n": n, "n_lead": n_lead, "diff": diff})
 
-    one = pairs.join(texts.withColumnRenamed("node", "a"), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text", "text_b").mapInPandas(run, "a long, b long")
+    one = pairs.join(texts, "node")
+    two = one.join(texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead")
+    return two.select("node", "lead", "text", "text_lead").mapInPandas(run, "node long, lead long, n int, n_lead int, diff array<long>")
 
 
-def alone(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, n, u) for nodes(node, lead): shingles of the text, and those that no other of the nodes has.
+def alike(apart: Column, n: Column, m: Column) -> Column:
+    """Whether multisets of n and m shingles that differ in `apart` have a Jaccard similarity of LEAST or more."""
+    return TOP * apart <= n + m
 
-    lead is another of the nodes, itself without a lead. A text gives out only the shingles that its lead lacks, as all
-    others are shared, so little is shuffled for a family of copies.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in slices(batch, SLICE_CHARS):
-                (doc, element, weight), lead = bags(*shingles(part.text.tolist())), bags(*shingles(part.text_lead.tolist()))
-                key, other = (d.astype("u8") << np.uint64(HASH_BITS) | e for d, e in ((doc, element), lead[:2]))
-                own, node = ~np.isin(key, other), part.node.to_numpy()
-                yield pd.DataFrame({"node": node, "element": None, "weight": np.bincount(doc, weight, minlength=len(part)).astype("i8")})
-                yield pd.DataFrame({"node": node[doc[own]], "element": element[own].view("i8"), "weight": weight[own]})
+def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """rows with the label of a node, which is the node itself if it has no link."""
+    return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def renewed(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels after further links found(label_a, label_b) between classes."""
+    new = components(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    moved = new.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialize(old.unionByName(new).groupBy("node").agg(F.min("label").alias("label")))
+
+
+def rivals(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of cells(lead, node, n, diff, label, other) that can be similar: of different labels, one of them at least `other` (of another class than its lead)."""
+    size = F.size("diff")
+    rows = materialize(cells.select("lead", "node", "label", "other", "n", size.alias("d"), (TOP * size - F.col("n")).alias("x"), F.explode("diff").alias("token")))
+    shared = rows.groupBy("lead", "token").agg(F.count("*").alias("times"), F.min("x").alias("x_any"), F.min(F.when(F.col("other"), F.col("x"))).alias("x_other"), F.min("label").alias("low"), F.max("label").alias("high")).filter("times > 1")
+    own = Window.partitionBy("lead", "node")
+    # tokens of this node only come first; `before` counts them and the rarer ones of several nodes
+    placed = rows.join(shared, ["lead", "token"])
+    before = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "token")) - 1
+    placed = placed.withColumn("y", TOP * (F.col("d") - 2 * before) + F.col("n")).filter("low <> high and x_other is not null and y >= least(x_any, x_other)")
+    placed = materialize(placed.select("lead", "token", "node", "label", "other", "x", "y", "x_any", "x_other"))
+    left = placed.filter("other and y >= x_any").select("lead", "token", F.struct("node", "label", "x", "y").alias("l"))
+    right = placed.filter("y >= x_other").select("lead", "token", F.struct("node", "label", "x", "y", "other").alias("r"))
+    fits = (F.col("l.label") != F.col("r.label")) & (F.col("l.x") <= F.col("r.y")) & (F.col("r.x") <= F.col("l.y")) & (~F.col("r.other") | (F.col("l.node") < F.col("r.node")))
+    return left.join(right, ["lead", "token"]).filter(fits).select("lead", F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
-    both = nodes.join(texts, "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead", "left")
-    rows = materialize(both.select("node", "text", "text_lead").mapInPandas(run, "node long, element long, weight long"))
-    single = rows.filter("element is not null").groupBy("element").agg(F.count("*").alias("times"), F.min("node").alias("node"), F.max("weight").alias("weight")).filter("times = 1")
-    u = single.groupBy("node").agg(F.sum("weight").alias("u"))
-    return rows.filter("element is null").select("node", F.col("weight").alias("n")).join(u, "node", "left").fillna(0, ["u"])
+
+def met(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Those of pairs(lead, a, b) that are similar by their differences to the lead: (a, b, label_a, label_b)."""
+    side = lambda c: cells.select("lead", F.col("node").alias(c), F.struct("n", "diff", "label").alias(f"of_{c}"))
+    both = pairs.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"])
+    apart = F.size("of_a.diff") + F.size("of_b.diff") - 2 * F.size(F.array_intersect("of_a.diff", "of_b.diff"))
+    return both.filter(alike(apart, F.col("of_a.n"), F.col("of_b.n"))).select("a", "b", F.col("of_a.label").alias("label_a"), F.col("of_b.label").alias("label_b")).distinct()
 
 
 def links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between nodes that share a bucket, and the classes (node, label) that they form.
 
-    members(bucket, node, size, mass): buckets of `size` nodes; mass is the sum of the sizes of a node's buckets.
+    members(bucket, node, size, mass): buckets of `size` nodes; mass is the sum of the sizes of a node's buckets. Only
+    links that join different classes at the time are looked for, so the links are not all there are; the classes are.
     """
-    lead = materialize(members.groupBy("bucket").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("lead")))
-    pair = (F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    tried = materialize(members.join(lead, "bucket").filter("node <> lead").select(*pair).distinct())
-    verified = materialize(similar(tried, texts))
+    lead = members.groupBy("bucket").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("lead"))
+    pairs = materialize(members.join(lead, "bucket").filter("node <> lead").groupBy("node", "lead").agg(F.first("mass").alias("mass")))
+    tried = materialize(compared(pairs.select("node", "lead"), texts))
+    verified = tried.filter(alike(F.size("diff"), F.col("n"), F.col("n_lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     labels = components(verified)
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    # buckets of several classes, and in them the nodes that can still have a link there
-    known = labelled(members.select("bucket", "node"))
-    several = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    open_ = materialize(known.join(several, "bucket").join(lead, "bucket").select("bucket", "node", "lead"))
-    leads = open_.select(F.col("lead").alias("node")).distinct().withColumn("leads", F.lit(True))
-    nodes = open_.groupBy("node").agg(F.min("lead").alias("lead")).join(leads, "node", "left")
-    size = materialize(alone(materialize(nodes.select("node", F.when(F.col("leads").isNull(), F.col("lead")).alias("lead"))), texts))
-    own = open_.join(size, "node")
-    least = own.groupBy("bucket").agg(F.min("u").alias("least"))
-    own = own.join(least, "bucket").filter(F.col("n") - F.col("u") >= LEAST * (F.col("n") + F.col("least")))
-    own = materialize(own.select("bucket", "node", "lead", "n", "u"))
-    open_ = materialize(own.join(own.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node"))
-    # of the buckets in which a pair meets under the same leader, the least one yields it
-    spent = None
-    possible = F.least(F.col("n") - F.col("u"), F.col("h.n") - F.col("h.u")) >= LEAST * F.greatest(F.col("n") + F.col("h.u"), F.col("h.n") + F.col("u"))
-    once = F.array_min(F.array_intersect("buckets", "h.led")) == F.col("bucket")
-    likeliest = Window.partitionBy("bucket").orderBy(F.col("u") / F.col("n"), "node")
-    for k in count(1):
-        known = labelled(open_.drop("lead"))
-        first = labelled(open_.select("bucket", F.col("lead").alias("node")).distinct()).select("bucket", F.col("label").alias("first_label"))
-        others = known.join(first, "bucket").filter("label <> first_label").select("bucket", "node", "n", "u")
-        if spent is not None:
-            others = others.join(spent, ["bucket", "node"], "left_anti")
-        heads = materialize(others.withColumn("place", F.row_number().over(likeliest)).filter(F.col("place") <= MORE ** (k - 1)).select("bucket", "node"))
-        if not heads.limit(1).count():
+    def cells(of: DataFrame) -> DataFrame:
+        """The cells that still hold several classes, with their labels."""
+        known = labelled(labelled(of, labels), labels, "lead", "lead_label").withColumn("other", F.col("label") != F.col("lead_label")).drop("lead_label")
+        open_ = known.groupBy("lead").agg(F.max("other").alias("open")).filter("open").select("lead")
+        return materialize(known.join(open_, "lead"))
+
+    open_, spent = cells(tried.join(pairs, ["node", "lead"]).select("lead", "node", "mass", "n", "diff")), None
+    while True:
+        others = open_.filter("other")
+        n = others.count()
+        if not n:
             return verified, labels
-        led = heads.groupBy("node").agg(F.collect_list("bucket").alias("led"))
-        lent = known.join(heads, ["bucket", "node"]).join(led, "node").select("bucket", F.struct("node", "label", "n", "u", "led").alias("h"))
-        found = known.join(lent, "bucket").filter((F.col("label") != F.col("h.label")) & possible & once).withColumn("lead", F.col("h.node")).select(*pair).distinct()
-        found = materialize(found.join(tried, ["a", "b"], "left_anti"))
-        new = materialize(similar(found, texts))
-        if new.limit(1).count():
-            verified = verified.unionByName(new)
-            labels = components(verified)
-        tried = tried.unionByName(found)
-        spent = heads if spent is None else spent.unionByName(heads)
-
-
-def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, class_id (least doc_id of the class), n_links, class_size.
-
-    n_links counts the verified links of the row's text to other texts, class_size the rows of the class.
+        heads = others if spent is None else others.join(spent, ["lead", "node"], "left_anti")
+        heads = materialize(heads.groupBy("lead").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("b")))
+        spent = heads.withColumnRenamed("b", "node") if spent is None else spent.unionByName(heads.withColumnRenamed("b", "node"))
+        head_label = labelled(heads, labels, "b", "label_b")
+        found = materialize(met(open_.join(head_label, "lead").filter("label <> label_b").select("lead", F.col("node").alias("a"), "b"), open_))
+        more = found.count()
+        if more:
+            verified, labels = verified.unionByName(found.select("a", "b")), renewed(labels, found)
+            open_ = cells(open_.drop("label", "other"))
+        if more * FEW < n:
+            break
+    found = materialize(met(rivals(open_), open_))
+    if found.limit(1).count():
+        verified, labels = verified.unionByName(found.select("a", "b")), renewed(labels, found)
+    return verified, labels
+
+
+def near_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(doc_id, digest) of docs(doc_id, text), and classes(digest, doc_id, class_id, class_size, keeps) of the distinct texts.
+
+    doc_id is the least of the text's rows. keeps marks one text of each class: that of class_id, or any if no row has a doc_id.
     """
     rows = materialize(signed(docs))
-    nodes = materialize(rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("digest") / 2).cast("long")).alias("node"), F.first("bands").alias("bands"), F.count("*").alias("rows")))
+    # numbers are fixed once they are written
+    nodes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id()))
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     places = materialize(places.join(shared, "bucket"))
     members = materialize(places.join(places.groupBy("node").agg(F.sum("size").alias("mass")), "node"))
-    some = materialize(members.select("node").distinct())
-    # one text of each node: a row that holds the node's doc_id, or the number of a text that no numbered document has
-    keyed = docs.select(F.coalesce("doc_id", -1 - F.abs(F.xxhash64(digest()) / 2).cast("long")).alias("node"), "text")
-    texts = materialize(keyed.join(sized(some), "node", "left_semi").dropDuplicates(["node"]))
-    verified, labels = links(members, texts)
-    degree = verified.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = nodes.join(labels, "node", "left").join(degree, "node", "left")
-    known = known.select("digest", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "rows")
-    # a class of negative nodes only has no numbered document; any other takes its least numbered one
-    sizes = known.join(nodes.select("digest", "node"), "digest").groupBy("label").agg(F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("class_id"), F.sum("rows").alias("class_size"))
-    known = materialize(known.drop("rows").join(sizes, "label"))
-    return rows.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", "n_links", "class_size")
+    some = materialize(members.select("node").distinct().join(nodes.select("node", "digest"), "node"))
+    texts = docs.select(digest().alias("digest"), "text").join(sized(some), "digest").groupBy("node").agg(F.first("text").alias("text"))
+    labels = links(members, materialize(texts))[1]
+    known = labelled(nodes.select("digest", "node", "doc_id", "rows"), labels)
+    one = known.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"), F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("keeper"))
+    classes = known.join(one, "label").select("digest", "doc_id", "class_id", "class_size", (F.col("node") == F.col("keeper")).alias("keeps"))
+    return rows.select("doc_id", "digest"), materialize(classes)
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, class_id (least doc_id of the class), class_size (rows of the class)."""
+    rows, classes = near_nodes(docs)
+    return rows.join(classes.drop("doc_id"), "digest").select("doc_id", "class_id", "class_size")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, that of the least doc_id; rows without doc_id stay. Same columns."""
-    gone = materialize(near_classes(docs.select("doc_id", "text")).filter("doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    """docs with one document of each class, that of the least doc_id (any text of it if no row has one). Same columns.
+
+    Rows that repeat the doc_id and the text of the document that stays are the same document, and stay.
+    """
+    rows, classes = near_nodes(docs.select("doc_id", "text"))
+    stays = F.col("keeps") & F.col("own").eqNullSafe(F.col("doc_id"))
+    gone = rows.select(F.col("doc_id").alias("own"), "digest").join(classes, "digest").filter(~stays).select("own", "digest").distinct()
+    gone = sized(materialize(gone))
+    return docs.join(gone, (digest() == gone["digest"]) & docs["doc_id"].eqNullSafe(gone["own"]), "left_anti")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
