@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.functions.stats import hodges_lehmann, mad, weighted_quantile
+from accordant.functions.stats import hodges_lehmann, mad, weighted_bounds
 
 KEYS = ("pos", "id")
 #: Half the width of a 90 % interval in standard deviations.
@@ -44,8 +46,11 @@ def weighted(scored: DataFrame, weights: DataFrame, quantiles: bool = True) -> D
     spread = F.aggregate(F.transform("v", lambda e: e["w"] * (e["x"] - F.col("points")) * (e["x"] - F.col("points"))), F.lit(0.0), lambda a, x: a + x)
     under = F.col("s1") * F.col("s1") - F.col("s2")
     sd = F.when(F.size("v") > 1, F.sqrt(F.col("s1") / F.nullif(under, F.lit(0.0)) * spread))
-    bounds = [weighted_quantile(F.col("v"), p).alias(n) for p, n in ((0.05, "floor"), (0.95, "ceiling"))] if quantiles else []
-    return some.select(*KEYS, "points", sd.alias("sd_pts"), *bounds, "sources")
+    out = some.withColumn("sd_pts", sd)
+    if quantiles:
+        part = lambda f: F.transform("v", lambda e: e[f])
+        out = out.withColumn("b", weighted_bounds(part("x"), part("w"))).select("*", "b.floor", "b.ceiling")
+    return out.select(*KEYS, "points", "sd_pts", *(["floor", "ceiling"] if quantiles else []), "sources")
 
 
 def borrow_spread(summary: DataFrame, group: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -58,14 +63,44 @@ def borrow_spread(summary: DataFrame, group: tuple[str, ...] = ("pos",)) -> Data
     return out.withColumns({c: F.when(solo, v).otherwise(F.col(c)) for c, v in new.items()}).drop("typical")
 
 
-def consensus(scored: DataFrame, weights: DataFrame) -> DataFrame:
-    """The three methods as rows (avg_type), with borrowed spreads and entities of positive points only."""
-    methods = {"average": average(scored), "robust": robust(scored), "weighted": weighted(scored, weights)}
+#: Methods by name: (scored, weights) -> (pos, id, points, sd_pts, floor, ceiling, sources). A caller may add its own.
+METHODS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "average": lambda scored, weights: average(scored),
+    "robust": lambda scored, weights: robust(scored),
+    "weighted": lambda scored, weights: weighted(scored, weights),
+}
+
+
+def consensus(scored: DataFrame, weights: DataFrame, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
+    """Methods as rows (avg_type), with borrowed spreads and entities of finite, positive points only."""
     rows = None
-    for name, df in methods.items():
-        df = df.withColumn("avg_type", F.lit(name))
+    for name in methods:
+        df = METHODS[name](scored, weights).withColumn("avg_type", F.lit(name))
         rows = df if rows is None else rows.unionByName(df)
-    return borrow_spread(rows, ("avg_type", "pos")).filter("points > 0")
+    return finite_positive(borrow_spread(rows, ("avg_type", "pos")))
+
+
+def finite_positive(table: DataFrame) -> DataFrame:
+    """Rows whose points are a finite number above 0: NaN and infinity compare as greater, so both are named."""
+    return table.filter((F.col("points") > 0) & ~F.isnan("points") & (F.col("points") < float("inf")))
+
+
+def one_method(table: DataFrame, preferred: str = "weighted") -> DataFrame:
+    """Rows of one averaging method: the preferred if it is there, else the first by name."""
+    chosen = table.agg(F.coalesce(F.max(F.when(F.col("avg_type") == preferred, preferred)), F.min("avg_type")).alias("avg_type"))
+    return table.join(F.broadcast(chosen), "avg_type", "left_semi")  # one row
+
+
+def source_table(values: DataFrame, metric: str, sources: list[str]) -> DataFrame:
+    """A column per source beside mean, sd and number: all sources meet in one aggregation, not in a chain of joins.
+
+    Of several values of one source for an entity the least counts. Order the result by the metric, upwards for a draft
+    position, downwards for a value.
+    """
+    each = values.filter(F.col("id").isNotNull()).groupBy("id", "data_src").agg(F.min(metric).alias(metric))
+    per = [F.max(F.when(F.col("data_src") == s, F.col(metric))).alias(f"{metric}_{s.lower()}") for s in sources]
+    each = each.filter(F.col("data_src").isin(*sources))
+    return each.groupBy("id").agg(*per, F.round(F.avg(metric), 1).alias(metric), F.round(F.stddev_samp(metric), 2).alias(f"{metric}_sd"))
 
 
 def source_values(values: DataFrame, metric: str) -> DataFrame:

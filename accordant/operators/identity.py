@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from .clean import recode
 
 
-def normal(c: Column, recodes: dict[str, str]) -> Column:
-    """Upper case, whole-value recode, lower case, without one trailing suffix, punctuation and spaces."""
-    out = F.lower(recode(F.upper(F.trim(c)), recodes) if recodes else F.upper(F.trim(c)))
-    out = F.regexp_replace(out, r"\s+(defense|jr|sr|[ivx]+)\.?$", "")
+#: Fixed value: a trailing suffix of a name.
+SUFFIX = r"\s+(defense|jr|sr|[iv]+)\.?$"
+
+
+def normal(c: Column, recodes: list[dict[str, str]]) -> Column:
+    """Upper case, whole-value recodes one after the other (groups, then teams), lower case, without one trailing suffix, punctuation and spaces."""
+    out = F.upper(F.trim(c))
+    for mapping in recodes:
+        out = recode(out, mapping) if mapping else out
+    out = F.regexp_replace(F.lower(out), SUFFIX, "")
     return F.regexp_replace(out, r"[\p{Punct}\s]", "")
 
 
@@ -27,24 +33,24 @@ def key(parts: list[Column]) -> Column:
     return F.concat_ws("|", *[F.coalesce(p, F.lit("~")) for p in parts])
 
 
-#: Columns of each pass, in order.
+#: Columns of each pass, in order.
 PASSES = (("name", "pos", "team"), ("last", "pos", "team"), ("name", "team"), ("name", "pos"), ("first", "pos", "team"))
 
 
-def keyed(df: DataFrame, recodes: dict[str, str]) -> DataFrame:
+def keyed(df: DataFrame, recodes: list[dict[str, str]]) -> DataFrame:
     """df(name, pos, team) with one key column per pass."""
     own = {"name": F.col("name"), "first": first_name(F.col("name")), "last": last_name(F.col("name")), "pos": F.col("pos"), "team": F.col("team")}
     own = {k: normal(v, recodes) for k, v in own.items()}
     return df.withColumns({f"k{n}": key([own[c] for c in cols]) for n, cols in enumerate(PASSES)})
 
 
-def resolve(rows: DataFrame, reference: DataFrame, recodes: dict[str, str] | None = None, team_group: str | None = None) -> DataFrame:
+def resolve(rows: DataFrame, reference: DataFrame, recodes: list[dict[str, str]] | None = None, team_group: str | None = None) -> DataFrame:
     """rows(name, pos, team, ...) with ref_id from reference(ref_id, name, pos, team).
 
     Passes only fill what earlier ones left open, so the result is a coalesce over left joins. Keys that several
     reference rows share are no match. Rows of team_group match by team alone, the least ref_id of the team.
     """
-    left, right = keyed(rows, recodes or {}), keyed(reference, recodes or {})
+    left, right = keyed(rows, recodes or []), keyed(reference, recodes or [])
     found = []
     if team_group:
         teams = reference.filter(F.col("pos") == team_group).groupBy(F.col("team").alias("t")).agg(F.min("ref_id").alias("id_team"))
@@ -57,7 +63,9 @@ def resolve(rows: DataFrame, reference: DataFrame, recodes: dict[str, str] | Non
     return left.withColumn("ref_id", F.coalesce(*found)).drop(*found, *[f"k{n}" for n in range(len(PASSES))])
 
 
-def from_crosswalk(rows: DataFrame, crosswalk: DataFrame, column: str, id_column: str = "id") -> DataFrame:
-    """rows with the id of the crosswalk's least row for a source's own id."""
-    one = crosswalk.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(id_column).alias("ref_id"))
-    return rows.join(one, column, "left")
+def from_crosswalk(rows: DataFrame, crosswalk: DataFrame, column: str, id_column: str = "id", order: str | None = None) -> DataFrame:
+    """rows with ref_id for a source's own id: of the crosswalk's rows for it the first by `order` (the least id without one)."""
+    if column not in crosswalk.columns:
+        raise ValueError(f"the crosswalk has no column {column}")
+    first = F.min_by(id_column, F.struct(order, id_column)) if order else F.min(id_column)
+    return rows.join(crosswalk.filter(F.col(column).isNotNull()).groupBy(column).agg(first.alias("ref_id")), column, "left")

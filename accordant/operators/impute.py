@@ -73,25 +73,47 @@ COMBINED = {"fg_0019": 0.04, "fg_2029": 0.38, "fg_3039": 0.58}
 RANGES = ("fg_0019", "fg_2029", "fg_3039", "fg_4049", "fg_50")
 
 
+MISSES = ("fg_miss_0019", "fg_miss_2029", "fg_miss_3039", "fg_miss_4049", "fg_miss_50")
+
+
+def total_of(columns: list[str]) -> Column:
+    """Sum of what is there; null if nothing is."""
+    parts = [F.coalesce(F.col(c), F.lit(0.0)) for c in columns]
+    return F.when(F.coalesce(*columns).isNotNull(), sum(parts[1:], parts[0]))
+
+
 def reconcile_kicking(df: DataFrame) -> DataFrame:
-    """Totals, misses and attempts that sources publish in different forms, each derived from the others."""
-    df = df.withColumns({c: F.coalesce(c, F.col("fg_0039") * share) for c, share in COMBINED.items()})
-    total = F.when(F.coalesce(*RANGES).isNotNull(), sum((F.coalesce(F.col(c), F.lit(0.0)) for c in RANGES[1:]), F.coalesce(F.col(RANGES[0]), F.lit(0.0))))
-    df = df.withColumn("fg", F.coalesce("fg", total))
-    df = df.withColumn("fg_att", F.coalesce("fg_att", F.col("fg") / F.nullif(F.col("fg_pct") * 0.01, F.lit(0.0))))
+    """Totals, misses and attempts that sources publish in different forms, each derived from the others where it is absent."""
+    def col(name: str) -> Column:
+        return F.col(name).cast("double") if name in df.columns else F.lit(None).cast("double")
+
+    df = df.withColumns({c: F.coalesce(col(c), col("fg_0039") * share) for c, share in COMBINED.items()})
+    df = df.withColumns({c: col(c) for c in (*RANGES, "fg", "fg_att", "fg_miss", "xp", "xp_att", "xp_miss")})
+    df = df.withColumn("fg", F.coalesce("fg", total_of([*RANGES])))
+    if missed := [c for c in MISSES if c in df.columns]:
+        df = df.withColumn("fg_miss", F.coalesce("fg_miss", total_of(missed)))
+    df = df.withColumn("fg_att", F.coalesce("fg_att", F.col("fg") / F.nullif(col("fg_pct") * 0.01, F.lit(0.0)), F.col("fg") + F.col("fg_miss")))
     df = df.withColumn("fg_miss", F.coalesce("fg_miss", F.col("fg_att") - F.col("fg")))
-    return df.withColumn("xp_miss", F.col("xp_att") - F.col("xp")).drop("fg_0039")
+    df = df.withColumn("xp_miss", F.coalesce("xp_miss", F.col("xp_att") - F.col("xp")))
+    return df.withColumn("xp_att", F.coalesce("xp_att", F.col("xp") + F.col("xp_miss"))).drop("fg_0039")
+
+
+def missed_kicks_fill(df: DataFrame) -> DataFrame:
+    """Misses are attempts less makes where both are known; the other gaps are filled by their rate to makes."""
+    return group_rate_fill(df.withColumn("fg_miss", F.coalesce("fg_miss", F.col("fg_att") - F.col("fg"))), "fg_miss", "fg")
 
 
 def linear_estimate(df: DataFrame, models: dict[str, tuple[float, str, float]], rollups: dict[str, list[str]]) -> DataFrame:
     """Counts of milestones: max(0, intercept + slope x metric) in gaps, then nested thresholds added up.
 
-    All sums use the values from before any of them, so 300+ gets 300, 350 and 400 as estimated.
+    All sums use the values from before any of them, so 300+ gets 300, 350 and 400 as estimated. Parts that are no
+    column count as nothing, parts that are count whether they are scored or not.
     """
     have = df.columns
     new = {name: F.coalesce(*([F.col(name)] if name in have else []), F.greatest(F.lit(0.0), F.lit(a) + F.col(metric) * b)) for name, (a, metric, b) in models.items()}
     df = df.withColumns(new)
-    return df.withColumns({n: sum((F.coalesce(F.col(c), F.lit(0.0)) for c in parts), F.lit(0.0)) for n, parts in rollups.items() if n in models})
+    have = df.columns
+    return df.withColumns({n: sum((F.coalesce(F.col(c), F.lit(0.0)) for c in parts if c in have), F.lit(0.0)) for n, parts in rollups.items() if n in models})
 
 
 def first_downs(df: DataFrame, rates: dict[str, float], metric: str, source: str) -> DataFrame:

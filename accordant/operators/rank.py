@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,33 @@ def percent(value: Column, by: list[Column]) -> Column:
     return F.when(value.isNotNull() & (F.count(value).over(w) > 1), F.percent_rank().over(w.orderBy(value)))
 
 
-def zscore(value: Column, w: WindowSpec) -> Column:
-    return (value - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
+#: Ranges that the values of one large group are ranked in.
+PARTS = 64
+
+
+def spread_rank(table: DataFrame, value: str, by: list[str], name: str = "rank", parts: int = PARTS) -> DataFrame:
+    """table with the dense rank of value within `by`, highest first, nulls without one: the same as null_rank, for groups of any size.
+
+    Values are cut into `parts` ranges at approximate quantiles, which only have to be balanced. A value's rank is its
+    rank in its range plus the distinct values of the ranges above: one window task a range, and one row a range for
+    the sums. The quantiles are computed first, so table should be a stage or a table that is read cheaply.
+    """
+    edges = sorted(set(table.approxQuantile(value, [k / parts for k in range(1, parts)], 0.5 / parts)))
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
+    placed = table.withColumn("__part", F.when(F.col(value).isNotNull(), at))
+    sizes = placed.filter(F.col(value).isNotNull()).groupBy(*by, "__part").agg(F.count_distinct(value).alias("__n"))
+    above = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.join(sizes.withColumn("__above", above).drop("__n"), [*by, "__part"], "left")
+    own = F.dense_rank().over(Window.partitionBy(*by, "__part").orderBy(F.col(value).desc()))
+    return placed.withColumn(name, F.when(F.col(value).isNotNull(), (F.col("__above") + own).cast("int"))).drop("__part", "__above")
+
+
+def zscored(table: DataFrame, values: dict[str, str], by: list[str]) -> DataFrame:
+    """table with a z-score per name of values (name -> column): one aggregation, joined back; null where the spread is 0 or unknown."""
+    stats = table.groupBy(*by).agg(*[f(c).alias(f"__{k}_{name}") for name, c in values.items() for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    out = table.join(stats, by)
+    out = out.withColumns({name: (F.col(c) - F.col(f"__m_{name}")) / F.nullif(F.col(f"__s_{name}"), F.lit(0.0)) for name, c in values.items()})
+    return out.drop(*[f"__{k}_{name}" for name in values for k in "ms"])
 
 
 def rank_and_tier(table: DataFrame, thresholds: dict[str, float], default: float = 1.0) -> DataFrame:
@@ -31,33 +56,43 @@ def rank_and_tier(table: DataFrame, thresholds: dict[str, float], default: float
     table = table.withColumn("dropoff", F.coalesce(F.col("points") - (one + F.coalesce(two, one)) / 2, F.lit(0.0)))
     scale = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in thresholds.items() for v in kv]), F.col("pos")), F.lit(default)) if thresholds else F.lit(default)
     stats = table.groupBy(*group).agg(F.median("sd_pts").alias("typical"), F.max("points").alias("best"))
-    table = table.join(F.broadcast(stats), group).withColumn("step", F.col("typical") * scale)
+    table = table.join(stats, group).withColumn("step", F.col("typical") * scale)
     fallen = ((F.col("best") - F.col("points")) / F.col("step")).cast("bigint")
     table = table.withColumn("fallen", F.when(F.col("step") > 0, fallen).otherwise(0))
     return table.withColumn("tier", F.dense_rank().over(Window.partitionBy(*group).orderBy("fallen"))).drop("fallen", "step", "typical", "best")
 
 
-def over_replacement(table: DataFrame, baselines: DataFrame, default: int = 1) -> DataFrame:
+#: Baselines of groups that a scope names none for.
+DEFAULT_BASELINES = {"QB": 13, "RB": 35, "WR": 36, "TE": 13, "K": 8, "DST": 3, "DL": 10, "LB": 10, "DB": 10}
+
+
+def over_replacement(table: DataFrame, baselines: DataFrame, defaults: dict[str, int] | None = None) -> DataFrame:
     """points_vor, floor_vor and ceiling_vor against the best value ranked beyond the group's baseline, else the worst.
 
-    baselines(pos, baseline). Also the overall rank by points_vor within avg_type.
+    baselines(pos, baseline); groups without one take the default of their name (DEFAULT_BASELINES), else 1. The overall
+    rank is spread_rank by points_vor within avg_type.
     """
     group = ["avg_type", "pos"]
-    table = table.join(F.broadcast(baselines), "pos", "left").withColumn("baseline", F.coalesce("baseline", F.lit(default)))
+    defaults = DEFAULT_BASELINES if defaults is None else defaults
+    known = F.element_at(F.create_map(*[F.lit(v) for kv in defaults.items() for v in kv]), F.col("pos")) if defaults else F.lit(None).cast("int")
+    table = table.join(baselines, "pos", "left").withColumn("baseline", F.coalesce("baseline", known, F.lit(1)))
     for c in ("points", "floor", "ceiling"):
         table = table.withColumn(f"{c}_rank", null_rank(c, group))
     best = table.groupBy(*group).agg(*[F.coalesce(F.max(F.when(F.col(f"{c}_rank") > F.col("baseline"), F.col(c))), F.min(c)).alias(f"{c}_base") for c in ("points", "floor", "ceiling")])
-    table = table.join(F.broadcast(best), group)
+    table = table.join(best, group)
     table = table.withColumns({f"{c}_vor": F.col(c) - F.col(f"{c}_base") for c in ("points", "floor", "ceiling")})
     table = table.drop("baseline", *[f"{c}{s}" for c in ("points", "floor", "ceiling") for s in ("_rank", "_base")])
-    return table.withColumn("rank", null_rank("points_vor", ["avg_type"]))
+    return table
 
 
 def uncertainty(table: DataFrame) -> DataFrame:
-    """1 to 99 from the spreads sd_pts and sd_ecr, by group with all methods pooled."""
-    w = Window.partitionBy("pos")
-    table = table.withColumns({"z1": zscore(F.col("sd_pts"), w), "z2": zscore(F.col("sd_ecr"), w)})
-    mean = F.coalesce((F.col("z1") + F.col("z2")) / 2, "z1", "z2")
-    table = table.withColumn("z", mean).withColumn("z", F.round(zscore(F.col("z"), w), 10))
+    """1 to 99 from the spreads sd_pts and sd_ecr, by group with all methods pooled.
+
+    Means and spreads are aggregations joined back; only the percent rank is a window, over the values of one group.
+    """
+    table = zscored(table, {"z1": "sd_pts", "z2": "sd_ecr"}, ["pos"])
+    table = table.withColumn("z0", F.coalesce((F.col("z1") + F.col("z2")) / 2, "z1", "z2"))
+    table = zscored(table, {"z": "z0"}, ["pos"]).withColumn("z", F.round("z", 10))
     share = percent(F.col("z"), [F.col("pos")])
-    return table.withColumn("uncertainty", F.least(F.lit(99), F.greatest(F.lit(1), F.bround(share * 100).cast("int")))).withColumn("uncertainty", F.when(F.col("z").isNotNull(), F.col("uncertainty"))).drop("z1", "z2", "z")
+    score = F.least(F.lit(99), F.greatest(F.lit(1), F.bround(share * 100).cast("int")))
+    return table.withColumn("uncertainty", F.when(F.col("z").isNotNull() & share.isNotNull(), score)).drop("z0", "z1", "z2", "z")

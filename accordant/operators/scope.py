@@ -35,13 +35,57 @@ def replacement_ranks(table: DataFrame, slots: list[tuple[str, list[str]]], team
     return rows.groupBy("pos").agg(F.count_if("starter").cast("int").alias("baseline")).filter("baseline > 0")
 
 
-def share_ranks(slots: list[tuple[str, list[str]]], teams: int) -> dict[str, int]:
-    """Baselines without projections: each slot counts 1 / len for its groups; half-even rounding, at least 1."""
-    total: dict[str, float] = {}
-    for _, groups in slots:
-        for g in groups:
-            total[g] = total.get(g, 0.0) + teams / len(groups)
-    return {g: max(1, round(n)) for g, n in total.items()}
+def share_ranks(slots: DataFrame) -> DataFrame:
+    """(scope, pos, baseline) without projections, from slots(scope, slot, eligible array, teams): each slot counts teams / number of its groups for each of them; half-even rounding, at least 1."""
+    each = slots.select("scope", F.explode("eligible").alias("pos"), (F.col("teams") / F.size("eligible")).alias("share"))
+    return each.groupBy("scope", "pos").agg(F.greatest(F.lit(1), F.bround(F.sum("share")).cast("int")).alias("baseline"))
+
+
+def startable_groups(slots: DataFrame) -> DataFrame:
+    """(scope, pos, place) of slots(scope, slot_order, eligible array): groups that some slot starts, in slot order, each once."""
+    seen = slots.select("scope", "slot_order", F.posexplode("eligible").alias("n", "pos"))
+    first = seen.groupBy("scope", "pos").agg(F.min(F.struct("slot_order", "n")).alias("first"))
+    # a scope has as many rows here as it has groups
+    return first.select("scope", "pos", F.row_number().over(Window.partitionBy("scope").orderBy("first")).alias("place"))
+
+
+def picks_of(slots: DataFrame, teams: int, rounds: int) -> DataFrame:
+    """slots(slot) with every pick of theirs in a snake draft: one row a round, worked out, not searched."""
+    turn = F.when(F.col("round") % 2 == 1, F.col("slot")).otherwise(teams + 1 - F.col("slot"))
+    each = slots.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    return each.withColumn("pick", (F.col("round") - 1) * teams + turn)
+
+
+def my_slot(members: DataFrame, order: DataFrame, picks: DataFrame, teams: int) -> DataFrame:
+    """members(me) with their slot: of order(slot, manager, team_name) by either name, else from the first of picks(manager, team_name, draft_pick)."""
+
+    def named(df: DataFrame, value: str) -> DataFrame:
+        both = df.select(F.explode(F.array("manager", "team_name")).alias("me"), value).dropna()
+        return both.groupBy("me").agg(F.min(value).alias(value))
+
+    out = members.join(named(order, "slot"), "me", "left").join(named(picks, "draft_pick"), "me", "left")
+    return out.withColumn("slot", F.coalesce(F.col("slot").cast("int"), slot_of(F.col("draft_pick"), teams).cast("int"))).drop("draft_pick")
+
+
+def latest_picks(held: DataFrame, n: int = 30) -> DataFrame:
+    """The last n picks, newest first; a sort and a limit in one, so no task holds more than n rows of it."""
+    return held.filter(F.col("draft_pick").isNotNull()).orderBy(F.col("draft_pick").desc()).limit(n)
+
+
+def in_group_order(df: DataFrame, groups: list[str], *then: Column) -> DataFrame:
+    """Rows in a given order of groups, unknown ones last, then by further columns."""
+    place = F.array_position(F.array(*map(F.lit, groups)), F.col("pos"))
+    return df.orderBy(F.when(place > 0, place).otherwise(len(groups) + 1), "pos", *then)
+
+
+def output_order(board: DataFrame) -> DataFrame:
+    """By method and overall rank, the id breaking ties."""
+    return board.orderBy("avg_type", F.col("rank").asc_nulls_last(), "id")
+
+
+def season_of(day: Column) -> Column:
+    """January to March belong to the season before."""
+    return F.year(day) - F.when(F.month(day) <= 3, 1).otherwise(0)
 
 
 def slot_of(pick: Column, teams: int) -> Column:
@@ -79,6 +123,12 @@ def waiting_cost(board: DataFrame, value: str, picks: int) -> DataFrame:
     return left.groupBy("pos").agg(F.max(value).alias("now"), F.max(F.when(F.col("gone").isNull(), F.col(value))).alias("later")).withColumn("cost", F.col("now") - F.col("later"))
 
 
+def ranked_standings(teams: DataFrame, picks: DataFrame, slots: list[tuple[str, list[str]]]) -> DataFrame:
+    """standings of every team of teams(team), those without picks too, with their place: most points first."""
+    out = teams.join(standings(picks, slots), "team", "left").fillna(0, ["points", "filled", "picks"])
+    return out.withColumn("place", F.rank().over(Window.orderBy(F.col("points").desc())))  # one row a team of a league
+
+
 def standings(picks: DataFrame, slots: list[tuple[str, list[str]]]) -> DataFrame:
     """Points of the starters of every team in picks(team, pick, pos, points): each pick takes the first open slot
     that it is eligible for, in pick order, else the bench. A team's picks are bounded by the rounds of a draft."""

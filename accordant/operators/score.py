@@ -20,13 +20,15 @@ def many_rule_points(lines: DataFrame, rules: DataFrame, metrics: list[str], key
     A rule of the group goes before the scope's base rule. Metrics are unpivoted and meet the rules by (stat), so any
     number of rule sets is one join and one aggregation.
     """
+    used = F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m))])
+    long = lines.select(*keys, "pos", F.explode(used).alias("stat", "metric")).filter("metric is not null")
     base = rules.filter("pos is null").select("scope", "stat", F.col("points").alias("base"))
     own = rules.filter("pos is not null").select("scope", "pos", "stat", F.col("points").alias("own"))
-    groups = lines.select("pos").distinct()
-    every = base.select("scope", "stat").unionByName(own.select("scope", "stat")).distinct().join(groups)  # rules x groups, not rows
-    table = every.join(base, ["scope", "stat"], "left").join(own, ["scope", "pos", "stat"], "left").select("scope", "pos", "stat", F.coalesce("own", "base").alias("value")).filter("value <> 0")
-    long = lines.unpivot([*keys, "pos"], metrics, "stat", "metric").filter("metric is not null")
-    return long.join(table, ["pos", "stat"]).groupBy("scope", "pos", *keys).agg(F.sum(F.col("metric") * F.col("value")).alias("points"))
+    # a base rule is taken back where the group has one of its own: both are sums, so no table of rules x groups is needed
+    instead = own.join(base, ["scope", "stat"], "left").select("scope", "pos", "stat", (F.col("own") - F.coalesce("base", F.lit(0.0))).alias("value"))
+    plain = long.join(base.filter("base <> 0").withColumnRenamed("base", "value"), "stat").select("scope", "pos", *keys, "metric", "value")
+    more = long.join(instead, ["pos", "stat"]).select("scope", "pos", *keys, "metric", "value")
+    return plain.unionByName(more).groupBy("scope", "pos", *keys).agg(F.sum(F.col("metric") * F.col("value")).alias("points"))
 
 
 def bracket(value: Column, tiers: list[tuple[float, float]]) -> Column:
@@ -40,12 +42,13 @@ def bracket(value: Column, tiers: list[tuple[float, float]]) -> Column:
 def season_bracket(df: DataFrame, keys: list[str], season: Column, sd: Column, tiers: list[tuple[float, float]], games: int = 17, seed: int = 1) -> DataFrame:
     """Season total of bracket points over simulated games: normal draws around season / games, rounded, floored at 0.
 
-    Draws come from a hash of key, game and seed (Box-Muller), so they don't depend on the order of rows.
+    Draws come from a digest of key, game and seed (Box-Muller), so they don't depend on the order of rows.
     """
     each = df.withColumns({"mean_": season / games, "sd_": sd}).withColumn("game", F.explode(F.sequence(F.lit(1), F.lit(games))))
-    uniform = lambda k: (F.pmod(F.xxhash64(*keys, "game", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    uniform = lambda k: (F.conv(F.substring(F.md5(F.concat_ws("|", *keys, "game", F.lit(seed), F.lit(k))), 1, 10), 16, 10).cast("double") + 0.5) / float(1 << 40)
     normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
-    value = F.greatest(F.lit(0.0), F.bround(F.col("mean_") + F.col("sd_") * normal))
+    value = F.bround(F.col("mean_") + F.col("sd_") * normal)
+    value = F.when(value < 0, 0.0).otherwise(value)  # an unknown mean or spread leaves no total
     return each.groupBy(*keys).agg(F.sum(bracket(value, tiers)).alias("points"))
 
 

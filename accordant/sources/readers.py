@@ -57,6 +57,7 @@ class _Cells(HTMLParser):
     def __init__(self):
         super().__init__()
         self.tables, self.open, self.cell, self.span = [], [], None, 1
+        self.plain: set[int] = set()  # rows with a td
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
@@ -66,6 +67,8 @@ class _Cells(HTMLParser):
             self.open[-1].append([])
         elif tag in ("td", "th") and self.open and self.open[-1]:
             self.close_cell()
+            if tag == "td":
+                self.plain.add(id(self.open[-1][-1]))
             span = dict(attrs).get("colspan") or "1"
             self.cell, self.span = [], int(span) if span.isdigit() else 1
 
@@ -86,7 +89,7 @@ class _Cells(HTMLParser):
 
 
 def tables(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, row_no, cells) of every table row; a colspan repeats its cell, short rows are padded."""
+    """(page_id, table_no, row_no, cells, heads) of every table row; a colspan repeats its cell, short rows are padded, heads tells rows of header cells only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,10 +100,10 @@ def tables(pages: DataFrame) -> DataFrame:
                 parser.close_cell()
                 for t, table in enumerate(parser.tables):
                     width = max(map(len, table), default=0)
-                    rows += [(page, t, k, r + [""] * (width - len(r))) for k, r in enumerate(table)]
-            yield pd.DataFrame(rows, columns=["page_id", "table_no", "row_no", "cells"])
+                    rows += [(page, t, k, r + [""] * (width - len(r)), bool(r) and id(r) not in parser.plain) for k, r in enumerate(table)]
+            yield pd.DataFrame(rows, columns=["page_id", "table_no", "row_no", "cells", "heads"])
 
-    return pages.select("page_id", "html").filter(F.col("html").rlike("(?i)<table")).mapInPandas(run, "page_id long, table_no int, row_no int, cells array<string>")
+    return pages.select("page_id", "html").filter(F.col("html").rlike("(?i)<table")).mapInPandas(run, "page_id long, table_no int, row_no int, cells array<string>, heads boolean")
 
 
 def joined_headers(first: Column, second: Column) -> Column:
