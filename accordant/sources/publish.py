@@ -2,22 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def publish(tables: dict[str, DataFrame], path: str, partition: dict[str, str] | None = None) -> dict[str, int]:
-    """Replaces every table under path and returns rows per table, counted while they are written."""
-    out = {}
+def publish(tables: dict[str, DataFrame], path: str, partition: dict[str, str] | None = None, order: dict[str, list[str]] | None = None) -> dict[str, int]:
+    """Replaces the snapshot under path and returns rows per table, counted while they are written.
+
+    All tables go to a new version first; a pointer beside them names it once they are complete, so that readers see the
+    whole old or the whole new snapshot, and a failed run leaves the old one. `order` sorts rows within files for lookups.
+    """
+    out, version = {}, uuid.uuid4().hex
     for name, df in tables.items():
         seen = Observation(name)
-        writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
-        by = (partition or {}).get(name)
-        (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}")
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        by, sort = (partition or {}).get(name), (order or {}).get(name, [])
+        if by or sort:
+            df = df.sortWithinPartitions(*([by] if by else []), *sort)
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(f"{path}/{version}/{name}")
         out[name] = seen.get["n"]
+    spark = next(iter(tables.values())).sparkSession
+    point_to(spark, path, version)
     return out
 
 
+def point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Adds a pointer; the newest by its number counts, so a reader never meets a missing one."""
+    n = current(spark, path)[1] + 1
+    spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").parquet(f"{path}/pointers")
+
+
+def current(spark: SparkSession, path: str) -> tuple[str | None, int]:
+    """The version that is published under path and its number; None and -1 before the first."""
+    try:
+        row = spark.read.schema("n long, version string").parquet(f"{path}/pointers").orderBy(F.col("n").desc()).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    return (row.version, row.n) if row else (None, -1)
+
+
+def published(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{current(spark, path)[0]}/{name}")
+
+
+def as_views(tables: dict[str, DataFrame]) -> None:
+    """Tables as temporary views, for ad-hoc SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
+def slots_table(slots: DataFrame, baselines: DataFrame) -> DataFrame:
+    """(kind, name, count): starting slots of slots(slot) counted, and baselines(pos, baseline)."""
+    one = slots.groupBy(F.col("slot").alias("name")).agg(F.count("*").alias("count")).select(F.lit("slot").alias("kind"), "name", "count")
+    return one.unionByName(baselines.select(F.lit("replacement").alias("kind"), F.col("pos").alias("name"), F.col("baseline").cast("long").alias("count")))
+
+
 def flat_rules(base: DataFrame, overlays: DataFrame, left: DataFrame) -> DataFrame:
     """base(stat, points) as ALL, overlays(pos, stat, points), left(key, value) as not projected."""
     rows = base.select(F.lit("ALL").alias("pos"), "stat", "points", F.lit(1).alias("projected"))
@@ -34,10 +79,11 @@ def stacked(frames: list[DataFrame]) -> DataFrame:
 
 
 def run_summary(board: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row: most entities of a method, the sources as text."""
+    """One row: most entities of a method, the sources as text, when it was written."""
     most = board.groupBy("avg_type").count().agg(F.max("count").alias("entities"))
+    # one value a source before they meet in one row
     names = lines.select("data_src").distinct().agg(F.array_join(F.array_sort(F.collect_list("data_src")), ", ").alias("sources"))
-    return most.join(names)  # one row each
+    return most.join(F.broadcast(names)).withColumn("written_at", F.current_timestamp())  # one row each
 
 
 def drill_down(lines: DataFrame, metrics: list[str], entity: int | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from accordant.sources.publish import current, point_to
+
 HOLDERS = "entity long, manager long, pick long, ts timestamp"
 
 
@@ -19,27 +21,41 @@ def read_picks(spark: SparkSession, path: str, schema: str, delay: str = "1 hour
 
 
 class Holders:
-    """One holder per entity, the latest wins. Every batch writes a new version beside the old one and then moves the
-    pointer, so a failed batch leaves the old state, and a repeated batch gives the same state."""
+    """One holder per entity, the latest wins.
+
+    Every batch writes a new version beside the old one and then a pointer, both under `path`: a failed batch leaves the
+    old state, a repeated batch changes nothing, and a new object on the same path goes on where the last one stopped.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version, self.seen = spark, path, None, -1
-        self.new = spark.createDataFrame([], HOLDERS)
+        self.spark, self.path = spark, path
+
+    def version(self) -> tuple[str | None, int]:
+        """Folder and batch number of the state; the highest number counts."""
+        name, _ = current(self.spark, self.path)
+        return (f"{self.path}/{name}", int(name.split("-")[0])) if name else (None, -1)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(HOLDERS).parquet(self.version) if self.version else self.spark.createDataFrame([], HOLDERS)
+        where = self.version()[0]
+        return self.spark.read.schema(HOLDERS).parquet(f"{where}/held") if where else self.spark.createDataFrame([], HOLDERS)
+
+    def new(self) -> DataFrame:
+        """Holders of entities that nobody held before the last batch."""
+        where = self.version()[0]
+        return self.spark.read.schema(HOLDERS).parquet(f"{where}/new") if where else self.spark.createDataFrame([], HOLDERS)
 
     def update(self, batch: DataFrame, number: int) -> None:
-        if number <= self.seen:
+        if number <= self.version()[1]:
             return
         held = self.table()
         every = held.unionByName(batch.select("entity", "manager", "pick", "ts"))
         latest = F.max_by(F.struct("manager", "pick", "ts"), F.struct("ts", "pick"))
         state = every.groupBy("entity").agg(latest.alias("h")).select("entity", "h.manager", "h.pick", "h.ts")
-        path = f"{self.path}/{number}-{uuid.uuid4().hex}"
-        state.write.parquet(path)
-        self.new = self.spark.read.schema(HOLDERS).parquet(path).join(held.select("entity"), "entity", "left_anti")
-        self.version, self.seen = path, number
+        version = f"{number}-{uuid.uuid4().hex}"
+        state.write.parquet(f"{self.path}/{version}/held")
+        written = self.spark.read.schema(HOLDERS).parquet(f"{self.path}/{version}/held")
+        written.join(held.select("entity"), "entity", "left_anti").write.parquet(f"{self.path}/{version}/new")
+        point_to(self.spark, self.path, version)
 
     def start(self, picks: DataFrame, checkpoint: str) -> StreamingQuery:
         return picks.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
