@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordant.operators import board as boards
 from accordant.operators import clean, consensus, identity, impute, rank, scope, score
-from accordant.sources import publish, readers
+from accordant.sources import payloads, publish, readers
+from accordant.sources.stage import RUN, shared_dir, staged
 from accordant.streaming import live
 
 RULES = {"qty": 1.0, "yds": 0.001}
@@ -186,7 +188,7 @@ def supplier_rules(spark, sf, suppliers="s_suppkey <= 20"):
     base = supp.select(F.col("s_suppkey").alias("scope"), F.explode(F.create_map(F.lit("qty"), F.col("s_suppkey") / 10.0, F.lit("yds"), F.lit(0.001), F.lit("disc"), F.col("s_nationkey") * 1.0)).alias("stat", "points"))
     own = supp.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("scope"), F.lit("ECONOMY").alias("p"), F.lit("qty").alias("stat"), F.lit(9.0).alias("points"))
     first = table(spark, sf, "part").agg(F.min("p_type").alias("pos"))
-    own = own.join(first).select("scope", "pos", "stat", "points")  # one row on the right
+    own = own.join(F.broadcast(first)).select("scope", "pos", "stat", "points")  # one row on the right
     return base.withColumn("pos", F.lit(None).cast("string")).select("scope", "pos", "stat", "points").unionByName(own)
 
 
@@ -208,7 +210,10 @@ def bracket_points(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", score.bracket(q, TIERS).alias("points"))
 
 
-@query()
+@query("""with m as (select l_suppkey, avg(l_quantity) * 17 as season, stddev_samp(l_quantity) as sd from lineitem group by all), g as (select *, unnest(range(1, 18)) as game from m),
+u as (select *, (('0x' || substr(md5(concat_ws('|', l_suppkey, game, 1, 1)), 1, 10))::bigint + 0.5) / 1099511627776 as a, (('0x' || substr(md5(concat_ws('|', l_suppkey, game, 1, 2)), 1, 10))::bigint + 0.5) / 1099511627776 as b from g),
+x as (select *, round_even(season / 17 + sd * (sqrt(-2 * ln(a)) * cos(2 * pi() * b)), 0) as x from u)
+select l_suppkey, sum(case when x <= 5 then 10.0 when x <= 15 then 7.0 when x <= 25 then 4.0 when x <= 35 then 1.0 else -1.0 end::double) as points from x group by l_suppkey""")
 def bracket_monte_carlo(spark, sf):
     means = table(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.avg("l_quantity") * 17).alias("season"), F.stddev_samp("l_quantity").alias("sd"))
     return score.season_bracket(means, ["l_suppkey"], F.col("season"), F.col("sd"), TIERS)
@@ -248,11 +253,15 @@ def consensus_average(spark, sf):
     return rounded(consensus.average(scored(spark, sf)))
 
 
-@query(LINES + AVERAGE + """, n as (select *, row_number() over (partition by pos, id order by points, data_src) as k from scored),
+ROBUST = """, n as (select *, row_number() over (partition by pos, id order by points, data_src) as k from scored),
 pairs as (select a.pos, a.id, (a.points + b.points) / 2 as m from n a join n b on a.pos = b.pos and a.id = b.id and a.k <= b.k),
 hl as (select pos, id, median(m) as h from pairs group by all), med as (select pos, id, median(points) as m from scored group by all),
-dev as (select pos, id, 1.4826 * median(abs(points - m)) as d from scored join med using (pos, id) group by all)
-select pos, id, round(case when sources <= 2 then points else h end, 8) as points, round(case when sources > 1 then d end, 8) as sd_pts, round(floor, 8) as floor, round(ceiling, 8) as ceiling, sources from summary join hl using (pos, id) join dev using (pos, id)""")
+dev as (select pos, id, 1.4826 * median(abs(points - m)) as d from scored join med using (pos, id) group by all),
+robust as (select pos, id, case when sources <= 2 then points else h end as points, case when sources > 1 then d end as sd_pts, floor, ceiling, sources from summary join hl using (pos, id) join dev using (pos, id))
+"""
+
+
+@query(LINES + AVERAGE + ROBUST + _ROUND + "robust")
 def consensus_robust(spark, sf):
     return rounded(consensus.robust(scored(spark, sf)))
 
@@ -268,71 +277,127 @@ def consensus_weighted(spark, sf):
     return rounded(consensus.weighted(scored(spark, sf), weights(spark), quantiles=False))
 
 
-@query()
+# Harrell-Davis quantiles: the regularised incomplete beta function by its power series
+WEIGHTED = f""", v as (select * from (values {_W}) t(data_src, w)), s as (select * from scored join v using (data_src)),
+c as (select pos, id, sum(case when w > 0 then points * w end) / sum(case when w > 0 then w end) as c, sum(case when w > 0 then w end) as s1, sum(case when w > 0 then w * w end) as s2, count(case when w > 0 then 1 end) as n, count(*) as sources from s group by all),
+wsd as (select pos, id, any_value(c) as points, case when any_value(n) > 1 then sqrt(any_value(s1) / nullif(any_value(s1) * any_value(s1) - any_value(s2), 0) * sum(case when w > 0 then w * (points - c) * (points - c) end)) end as sd_pts, any_value(c.sources) as sources
+  from s join c using (pos, id) group by pos, id),
+hdw as (select pos, id, points as x, case when row_number() over (partition by pos, id order by points, w, data_src) = count(*) over p then 1 else sum(w) over (partition by pos, id order by points, w, data_src rows unbounded preceding) / sum(w) over p end as hi, sum(w) over p * sum(w) over p / sum(w * w) over p as n, count(*) over p as k
+  from s where w > 0 window p as (partition by pos, id)),
+hdp as (select *, (n + 1) * p as a0, (n + 1) * (1 - p) as b0, least(hi, 1.0::double) as x1 from hdw, (values (0.05::double), (0.95::double)) q(p)),
+hds as (select *, x1 > (a0 + 1) / (a0 + b0 + 2) as swap from hdp),
+hda as (select *, case when swap then 1 - x1 else x1 end as t, case when swap then b0 else a0 end as a, case when swap then a0 else b0 end as b from hds),
+hdf as (select *, case when t > 0 and t < 1 then list_sum([exp((a + i) * ln(t) + b * ln(1 - t) + lgamma(a + b + i) - lgamma(b) - lgamma(a + 1 + i)) for i in range(0, 200)]) end as f from hda),
+hdc as (select *, case when x1 <= 0 then 0 when x1 >= 1 then 1 when swap then 1 - f else f end as cdf from hdf),
+hdq as (select pos, id, p, case when any_value(k) > 1 then sum(x * (cdf - prev)) end as q from (select *, coalesce(lag(cdf) over (partition by pos, id, p order by hi), 0) as prev from hdc) group by all),
+weighted as (select w.pos, w.id, points, sd_pts, a.q as floor, b.q as ceiling, sources from wsd w left join hdq a on w.pos = a.pos and w.id = a.id and a.p < 0.5 left join hdq b on w.pos = b.pos and w.id = b.id and b.p > 0.5)
+"""
+
+
+@query(LINES + AVERAGE + WEIGHTED + "select pos, id, round(floor, 7) as floor, round(ceiling, 7) as ceiling from weighted")
 def weighted_quantiles(spark, sf):
-    return rounded(consensus.weighted(scored(spark, sf), weights(spark)).select("pos", "id", "floor", "ceiling"))
+    return consensus.weighted(scored(spark, sf), weights(spark)).select("pos", "id", F.round("floor", 7).alias("floor"), F.round("ceiling", 7).alias("ceiling"))
 
 
-ONE = ", scored1 as (select * from scored where id % 3 <> 0 or data_src = '2-HIGH')"
-SOLO = SCORED + ONE + """, summary1 as (select pos, id, avg(points) as points, stddev_samp(points) as sd_pts, quantile_cont(points, 0.05) as floor, quantile_cont(points, 0.95) as ceiling, count(points) as sources from scored1 group by pos, id),
-typical as (select pos, median(case when sources > 1 then sd_pts end) as t from summary1 group by pos),
+SOLO = AVERAGE + """,
+typical as (select pos, median(case when sources > 1 then sd_pts end) as t from summary group by pos),
 solo as (select pos, id, points, case when b then t else sd_pts end as sd_pts, case when b then greatest(0, points - 1.645 * t) else floor end as floor, case when b then points + 1.645 * t else ceiling end as ceiling, sources
-  from (select *, sources = 1 and sd_pts is null and t is not null as b from summary1 join typical using (pos)))
+  from (select *, sources = 1 and sd_pts is null and t is not null as b from summary join typical using (pos)))
 """
 
 
-def summary(spark, sf):
-    rows = scored(spark, sf).filter("id % 3 <> 0 or data_src = '2-HIGH'")
-    return consensus.borrow_spread(consensus.average(rows))
-
-
 @query(LINES + SOLO + _ROUND + "solo")
 def solo_spread(spark, sf):
-    return rounded(summary(spark, sf))
+    return rounded(consensus.borrow_spread(consensus.average(scored(spark, sf))))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Values on a grid, so that ranks of equal values don't hang on the last bit."""
-    return df.withColumns({c: F.round(c, 8) for c in ("points", "sd_pts", "floor", "ceiling")})
+METHODS = AVERAGE + ROBUST + WEIGHTED + """,
+methods as (select 'average' as avg_type, * from summary union all select 'robust', * from robust union all select 'weighted', * from weighted),
+typicals as (select avg_type, pos, median(case when sources > 1 then sd_pts end) as t from methods group by all),
+spread as (select avg_type, pos, id, points, case when b then t else sd_pts end as sd_pts, case when b then greatest(0, points - 1.645 * t) else floor end as floor, case when b then points + 1.645 * t else ceiling end as ceiling, sources
+  from (select *, sources = 1 and sd_pts is null and t is not null as b from methods join typicals using (avg_type, pos))),
+grid as (select avg_type, pos, id, round(points, 8) as points, round(sd_pts, 8) as sd_pts, round(floor, 7) as floor, round(ceiling, 7) as ceiling, sources from spread where round(points, 8) > 0)
+"""
+RANKED = METHODS + """,
+ranked as (select *, dense_rank() over (partition by avg_type, pos order by points desc) as pos_rank, dense_rank() over (partition by avg_type, pos order by floor desc nulls last) as fr, dense_rank() over (partition by avg_type, pos order by ceiling desc nulls last) as cr,
+  lead(points, 1) over (partition by avg_type, pos order by points desc, id) as n1, lead(points, 2) over (partition by avg_type, pos order by points desc, id) as n2, max(points) over (partition by avg_type, pos) as best from grid),
+steps as (select avg_type, pos, median(sd_pts) as step from grid group by all),
+fallen as (select *, case when step > 0 then trunc((best - points) / step)::bigint else 0 end as fallen from ranked join steps using (avg_type, pos))
+"""
 
 
-def board(spark, sf):
-    table_ = cut(summary(spark, sf)).filter("points > 0").withColumn("avg_type", F.lit("average"))
-    base = table_.select("pos").distinct().withColumn("baseline", F.lit(BASELINE))
-    return rank.over_replacement(rank.rank_and_tier(table_, {}), base)
-
-
-BOARD = SOLO + f""", grid as (select pos, id, round(points, 8) as points, round(sd_pts, 8) as sd_pts, round(floor, 8) as floor, round(ceiling, 8) as ceiling, sources from solo where round(points, 8) > 0),
-ranked as (select *, dense_rank() over (partition by pos order by points desc) as pos_rank, dense_rank() over (partition by pos order by floor desc) as fr, dense_rank() over (partition by pos order by ceiling desc) as cr,
-  lead(points, 1) over (partition by pos order by points desc, id) as n1, lead(points, 2) over (partition by pos order by points desc, id) as n2, max(points) over (partition by pos) as best from grid),
-steps as (select pos, median(sd_pts) as step from grid group by pos),
-fallen as (select *, case when step > 0 then trunc((best - points) / step)::bigint else 0 end as fallen from ranked join steps using (pos)),
-base as (select pos, coalesce(max(case when pos_rank > {BASELINE} then points end), min(points)) as pb, coalesce(max(case when fr > {BASELINE} then floor end), min(floor)) as fb, coalesce(max(case when cr > {BASELINE} then ceiling end), min(ceiling)) as cb from ranked group by pos),
-board as (select pos, id, points, sd_pts, floor, ceiling, sources, pos_rank, coalesce(points - (n1 + coalesce(n2, n1)) / 2, 0) as dropoff, dense_rank() over (partition by pos order by fallen) as tier,
-  points - pb as points_vor, floor - fb as floor_vor, ceiling - cb as ceiling_vor, dense_rank() over (order by round(points - pb, 8) desc) as rank from fallen join base using (pos))
+def over(baseline: str, name: str = "board") -> str:
+    """The board over baselines: an expression of the columns of `fallen`, and of k and baselines where joined."""
+    return f""",
+{name}_base as (select avg_type, pos, coalesce(max(case when pos_rank > {baseline} then points end), min(points)) as pb, coalesce(max(case when floor is not null and fr > {baseline} then floor end), min(floor)) as fb, coalesce(max(case when ceiling is not null and cr > {baseline} then ceiling end), min(ceiling)) as cb from fallen left join {name}_lines using (pos) group by all),
+{name} as (select avg_type, pos, id, points, sd_pts, floor, ceiling, sources, pos_rank, coalesce(points - (n1 + coalesce(n2, n1)) / 2, 0) as dropoff, dense_rank() over (partition by avg_type, pos order by fallen) as tier,
+  round(points - pb, 8) as points_vor, round(floor - fb, 7) as floor_vor, round(ceiling - cb, 7) as ceiling_vor, dense_rank() over (partition by avg_type order by round(points - pb, 8) desc) as rank from fallen join {name}_base using (avg_type, pos))
 """
 
 
-@query(LINES + BOARD + "select pos, id, pos_rank, tier, round(dropoff, 6) as dropoff from board")
+BOARD = RANKED + f", board_lines as (select distinct p_type as pos, {BASELINE} as baseline from part)" + over("baseline")
+#: Rows of the weighted method, as the queries that read a published board see them.
+ONE = BOARD + ", one as (select * from board where avg_type = 'weighted')"
+
+
+def baselines(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_type").alias("pos")).distinct().withColumn("baseline", F.lit(BASELINE))
+
+
+def board(spark, sf):
+    return boards.consensus_table(staged(scored(spark, sf), "scored"), weights(spark), baselines(spark, sf))
+
+
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def published_board(spark, sf):
+    """The weighted board, built and published once in a session for a folder of tables; the queries on it only read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PUBLISHED:
+        path = f"{shared_dir(spark)}/{RUN}/published-{len(_PUBLISHED)}"
+        publish.publish({"board": consensus.one_method(board(spark, sf))}, path, order={"board": ["rank"]})
+        _PUBLISHED[key] = path
+    return publish.published(spark, _PUBLISHED[key], "board")
+
+
+_BOUNDS = "floor, ceiling"
+
+
+@query(LINES + METHODS + f"select avg_type, pos, id, points, sd_pts, {_BOUNDS}, sources from grid")
+def consensus_methods(spark, sf):
+    out = consensus.consensus(staged(scored(spark, sf), "scored"), weights(spark))
+    out = out.withColumns({"points": F.round("points", 8), "sd_pts": F.round("sd_pts", 8), "floor": F.round("floor", 7), "ceiling": F.round("ceiling", 7)})
+    return out.filter("points > 0").select("avg_type", "pos", "id", "points", "sd_pts", "floor", "ceiling", "sources")
+
+
+@query(LINES + METHODS + "select pos, id, points, sources from grid where avg_type = 'weighted'")
+def chosen_method(spark, sf):
+    out = consensus.one_method(consensus.consensus(staged(scored(spark, sf), "scored"), weights(spark)))
+    return rounded(out.select("pos", "id", "points", "sources"))
+
+
+@query(LINES + BOARD + "select avg_type, pos, id, pos_rank, tier, round(dropoff, 6) as dropoff from board")
 def rank_tier_dropoff(spark, sf):
-    out = rank.rank_and_tier(cut(summary(spark, sf)).filter("points > 0").withColumn("avg_type", F.lit("average")), {})
-    return rounded(out.select("pos", "id", "pos_rank", "tier", F.round("dropoff", 6).alias("dropoff")))
+    rows = consensus.consensus(staged(scored(spark, sf), "scored"), weights(spark))
+    rows = boards.on_grid(rows)
+    return rank.rank_and_tier(rows, {}).select("avg_type", "pos", "id", "pos_rank", "tier", F.round("dropoff", 6).alias("dropoff"))
 
 
-@query(LINES + BOARD + "select pos, id, round(points_vor, 8) as points_vor, round(floor_vor, 8) as floor_vor, round(ceiling_vor, 8) as ceiling_vor, rank from board")
+@query(LINES + BOARD + "select avg_type, pos, id, points_vor, floor_vor, ceiling_vor, rank from board")
 def value_over_replacement(spark, sf):
-    out = board(spark, sf).withColumn("points_vor", F.round("points_vor", 8))
-    return rounded(out.withColumn("rank", rank.null_rank("points_vor", ["avg_type"])).select("pos", "id", "points_vor", "floor_vor", "ceiling_vor", "rank"))
+    return board(spark, sf).select("avg_type", "pos", "id", "points_vor", "floor_vor", "ceiling_vor", "rank")
 
 
-@query(LINES + SOLO + """, e as (select pos, id, round(sd_pts, 8) as s, case when id % 4 <> 0 then (id % 11) * 1.0 end as e from solo),
-z as (select pos, id, (s - avg(s) over w) / nullif(stddev_samp(s) over w, 0) as a, (e - avg(e) over w) / nullif(stddev_samp(e) over w, 0) as b from e window w as (partition by pos)),
-m as (select pos, id, coalesce((a + b) / 2, a, b) as m from z), y as (select pos, id, round((m - avg(m) over w) / nullif(stddev_samp(m) over w, 0), 10) as y from m window w as (partition by pos)),
-p as (select pos, id, y, percent_rank() over (partition by pos, y is null order by y) as p, count(*) over (partition by pos, y is null) as n from y)
-select pos, id, case when y is not null and n > 1 then least(99, greatest(1, round_even(p * 100, 0)))::int end as uncertainty from p""")
+@query(LINES + METHODS + """, e as (select avg_type, pos, id, sd_pts as s, case when id % 4 <> 0 then (id % 11) * 1.0 end as e from grid),
+z as (select *, (s - avg(s) over w) / nullif(stddev_samp(s) over w, 0) as a, (e - avg(e) over w) / nullif(stddev_samp(e) over w, 0) as b from e window w as (partition by pos)),
+m as (select avg_type, pos, id, coalesce((a + b) / 2, a, b) as m from z), y as (select avg_type, pos, id, round((m - avg(m) over w) / nullif(stddev_samp(m) over w, 0), 10) as y from m window w as (partition by pos)),
+p as (select *, percent_rank() over (partition by pos, y is null order by y) as p, count(*) over (partition by pos, y is null) as n from y)
+select avg_type, pos, id, case when y is not null and n > 1 then least(99, greatest(1, round_even(p * 100, 0)))::int end as uncertainty from p""")
 def uncertainty(spark, sf):
-    rows = cut(summary(spark, sf)).withColumn("sd_ecr", F.when(F.col("id") % 4 != 0, (F.col("id") % 11).cast("double")))
-    return rank.uncertainty(rows).select("pos", "id", "uncertainty")
+    rows = consensus.consensus(staged(scored(spark, sf), "scored"), weights(spark))
+    rows = staged(rows.withColumns({"sd_pts": F.round("sd_pts", 8), "points": F.round("points", 8)}).filter("points > 0").withColumn("sd_ecr", F.when(F.col("id") % 4 != 0, (F.col("id") % 11).cast("double"))))
+    return rank.uncertainty(rows).select("avg_type", "pos", "id", "uncertainty")
 
 
 @query(LINES + "select id, round(avg(site_pts), 1) as site_pts, round(stddev_samp(site_pts), 2) as site_pts_sd, count(site_pts) as sources from lines group by id")
@@ -345,9 +410,27 @@ def slots(spark, sf):
     return [(x, [x]) for x in g[:3]] + [("flex", g[:3]), ("super", g[1:5])]
 
 
-@query()
+SLOTTED = """, t as (select p_type as pos, row_number() over (order by p_type) as k from (select distinct p_type from part)),
+n0 as (select pos, id, points, k, row_number() over (partition by pos order by points desc, id) as n from one join t using (pos) where k <= 5),
+n1 as (select *, k <= 3 and n <= 6 as starter from n0),
+flex as (select id from n1 where k <= 3 and not starter order by points desc, k, id limit 6),
+n2 as (select * replace (starter or id in (select id from flex) as starter) from n1),
+super as (select id from n2 where k between 2 and 5 and not starter order by points desc, k, id limit 6),
+n3 as (select * replace (starter or id in (select id from super) as starter) from n2),
+slotted as (select pos, count(*)::int as baseline from n3 where starter group by pos)
+"""
+
+
+@query(LINES + ONE + SLOTTED + "select pos, baseline from slotted")
 def replacement_ranks(spark, sf):
-    return scope.replacement_ranks(cut(summary(spark, sf)), slots(spark, sf), TEAMS)
+    return scope.replacement_ranks(published_board(spark, sf), slots(spark, sf), TEAMS)
+
+
+@query(LINES + ONE + SLOTTED + ", final_lines as (select pos, baseline from slotted)" + over("coalesce(baseline, 1)", "final") + """
+select avg_type, rank, pos, id, points, points_vor, floor_vor, tier from final""")
+def board_two_phase(spark, sf):
+    out = boards.build_board(staged(scored(spark, sf), "scored"), weights(spark), slots(spark, sf), TEAMS)
+    return out.select("avg_type", "rank", "pos", "id", "points", "points_vor", "floor_vor", "tier")
 
 
 PICKS = """picks as (select cast(json_extract_string(props, '$.k') as bigint) as entity, user_id as manager, event_id as pick, ts from events where event_type = 'purchase'),
@@ -359,15 +442,14 @@ def picks(spark, sf):
     return rows.select(F.get_json_object("props", "$.k").cast("long").alias("entity"), F.col("user_id").alias("manager"), F.col("event_id").alias("pick"), "ts")
 
 
-@query(LINES + BOARD + "," + PICKS + "select pos, arg_max(id, (round(points_vor, 8), -id)) as id, round(max(round(points_vor, 8)), 8) as points_vor from board where id not in (select entity from held) group by pos")
+@query(LINES + ONE + "," + PICKS + "select pos, arg_max(id, (points_vor, -id)) as id, max(points_vor) as points_vor from one where id not in (select entity from held) group by pos")
 def available_best(spark, sf):
-    left = scope.available(board(spark, sf), scope.latest_holder(picks(spark, sf))).withColumn("points_vor", F.round("points_vor", 8))
-    return rounded(scope.best_by_group(left, "points_vor"))
+    return scope.best_by_group(scope.available(published_board(spark, sf), scope.latest_holder(picks(spark, sf))), "points_vor")
 
 
-@query(LINES + BOARD + ", o as (select pos, id, round(points_vor, 8) as v, row_number() over (order by round(points_vor, 8) desc, id) as n from board) select pos, round(max(v), 8) as now, round(max(case when n > 40 then v end), 8) as later, round(max(v) - max(case when n > 40 then v end), 8) as cost from o group by pos")
+@query(LINES + ONE + ", o as (select pos, id, points_vor as v, row_number() over (order by points_vor desc, id) as n from one) select pos, round(max(v), 8) as now, round(max(case when n > 40 then v end), 8) as later, round(max(v) - max(case when n > 40 then v end), 8) as cost from o group by pos")
 def waiting_cost(spark, sf):
-    return rounded(scope.waiting_cost(board(spark, sf).withColumn("points_vor", F.round("points_vor", 8)), "points_vor", 40))
+    return rounded(scope.waiting_cost(published_board(spark, sf), "points_vor", 40))
 
 
 @query(f"select event_id as pick, case when ((event_id - 1) // {TEAMS}) % 2 = 1 then {TEAMS} - (event_id - 1) % {TEAMS} else (event_id - 1) % {TEAMS} + 1 end::bigint as slot, ((event_id - 1) // {TEAMS} + 1) || '.' || lpad(((event_id - 1) % {TEAMS} + 1)::varchar, 2, '0') as label from events where event_id > 0")
@@ -376,20 +458,31 @@ def snake_slots(spark, sf):
     return table(spark, sf, "events").filter("event_id > 0").select(pick.alias("pick"), scope.slot_of(pick, TEAMS).cast("long").alias("slot"), scope.pick_label(pick, TEAMS).alias("label"))
 
 
-@query()
+@query(LINES + ONE + "," + PICKS + """, t as (select p_type as pos, row_number() over (order by p_type) as k from (select distinct p_type from part)),
+mine as (select manager as team, k, points, row_number() over (partition by manager order by pick, pos, points) as n from held join one on entity = id join t using (pos)),
+teams as (select distinct user_id as team from events),
+fill as (select team, 0::bigint as n, [true, true, true, true, true] as open, 0.0::double as points, 0 as filled from teams
+  union all select team, n, list_transform(open, lambda o, i: o and i <> spot), points + case when spot > 0 then gain else 0 end, filled + case when spot > 0 then 1 else 0 end
+  from (select f.team, m.n, f.open, f.points, m.points as gain, f.filled,
+    case when k <= 3 and f.open[k] then k when k <= 3 and f.open[4] then 4 when k between 2 and 5 and f.open[5] then 5 else 0 end as spot from fill f join mine m on m.team = f.team and m.n = f.n + 1)),
+last as (select team, arg_max(points, n) as points, arg_max(filled, n) as filled, max(n)::int as picks from fill group by team)
+select team, round(points, 8) as points, filled, picks, (rank() over (order by round(points, 8) desc))::int as place from last""")
 def team_standings(spark, sf):
-    parts = summary(spark, sf).select(F.col("id").alias("entity"), "pos", "points")
+    parts = published_board(spark, sf).select(F.col("id").alias("entity"), "pos", "points")
     mine = scope.latest_holder(picks(spark, sf)).join(parts, "entity").select(F.col("manager").alias("team"), "pick", "pos", "points")
     teams = table(spark, sf, "events").select(F.col("user_id").alias("team")).distinct()
-    return rounded(teams.join(scope.standings(mine, slots(spark, sf)), "team", "left").fillna(0, ["points", "filled", "picks"]))
+    return rounded(scope.ranked_standings(teams, mine, slots(spark, sf)))
+
+
+SQL["team_standings"] = SQL["team_standings"].replace("with firsts", "with recursive firsts")
 
 
 @query("""with r as (select c_custkey as ref_id, c_name as name, c_mktsegment as pos, 't' || c_nationkey as team from customer),
 v as (select ref_id as row_id, case ref_id % 4 when 0 then upper(name) || ' Jr.' when 1 then replace(name, '#', ' ') else name end as name, case when ref_id % 5 = 0 then 'OTHER' else pos end as pos, team from r),
 n as (select 'r' as side, ref_id as i, * exclude (ref_id) from r union all select 'v', row_id, * exclude (row_id) from v),
-k as (select side, i, regexp_replace(regexp_replace(lower(upper(trim(name))), '\\s+(defense|jr|sr|[ivx]+)\\.?$', ''), '[[:punct:]\\s]', '', 'g') as name, lower(pos) as pos, regexp_replace(regexp_replace(lower(team), '\\s+(defense|jr|sr|[ivx]+)\\.?$', ''), '[[:punct:]\\s]', '', 'g') as team,
+k as (select side, i, regexp_replace(regexp_replace(lower(upper(trim(name))), '\\s+(defense|jr|sr|[iv]+)\\.?$', ''), '[[:punct:]\\s]', '', 'g') as name, lower(pos) as pos, regexp_replace(regexp_replace(lower(team), '\\s+(defense|jr|sr|[iv]+)\\.?$', ''), '[[:punct:]\\s]', '', 'g') as team,
   regexp_replace(lower(regexp_extract(name, '^(\\S*)', 1)), '[[:punct:]\\s]', '', 'g') as first,
-  case when instr(name, ' ') > 0 then regexp_replace(regexp_replace(lower(regexp_replace(name, '^\\S*\\s+', '')), '\\s+(defense|jr|sr|[ivx]+)\\.?$', ''), '[[:punct:]\\s]', '', 'g') else '' end as last from n),
+  case when instr(name, ' ') > 0 then regexp_replace(regexp_replace(lower(regexp_replace(name, '^\\S*\\s+', '')), '\\s+(defense|jr|sr|[iv]+)\\.?$', ''), '[[:punct:]\\s]', '', 'g') else '' end as last from n),
 p as (select side, i, unnest([{'n': 0, 'k': name || '|' || pos || '|' || team}, {'n': 1, 'k': last || '|' || pos || '|' || team}, {'n': 2, 'k': name || '|' || team}, {'n': 3, 'k': name || '|' || pos}, {'n': 4, 'k': first || '|' || pos || '|' || team}]) as x from k),
 one as (select x, min(i) as ref_id from p where side = 'r' group by x having count(*) = 1),
 hit as (select p.i as row_id, arg_min(one.ref_id, p.x.n) as ref_id from p join one on p.x = one.x where side = 'v' group by p.i)
@@ -415,9 +508,9 @@ def split_ratio(spark, sf):
     return table(spark, sf, "lineitem").withColumn("text", text).select("l_orderkey", "l_linenumber", a.alias("a"), b.alias("b"))
 
 
-@query("select o_orderkey, case o_orderpriority when '1-URGENT' then 'urgent' when '5-LOW' then 'low' else o_orderpriority end as priority, lpad((o_orderkey % 1000)::varchar, 4, '0') as padded from orders")
+@query("select o_orderkey, case o_orderpriority when '1-URGENT' then 'urgent' when '5-LOW' then 'low' else o_orderpriority end as priority, case when o_orderkey < 1000 then lpad(o_orderkey::varchar, 4, '0') else o_orderkey::varchar end as padded from orders")
 def recode(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", clean.recode(F.col("o_orderpriority"), {"1-URGENT": "urgent", "5-LOW": "low"}).alias("priority"), clean.pad_id(F.col("o_orderkey") % 1000).alias("padded"))
+    return table(spark, sf, "orders").select("o_orderkey", clean.recode(F.col("o_orderpriority"), {"1-URGENT": "urgent", "5-LOW": "low"}).alias("priority"), clean.pad_id(F.col("o_orderkey")).alias("padded"))
 
 
 LINK = 'href="(/[^"]+)"'
@@ -434,9 +527,27 @@ def page_script_values(spark, sf):
     return readers.script_value(table(spark, sf, "pages"), r"track\((\d+)\)", "bigint")
 
 
-@query()
+def order_pages(spark, sf):
+    """A page per order with a table of its line items: a header row, one cell that spans two columns, and a short row."""
+    row = F.concat(F.lit("<tr><td>"), "l_linenumber", F.lit("<td colspan=2> "), F.col("l_quantity").cast("int"), F.lit("  pcs</td><td><b>"), "l_returnflag", F.lit("</b></tr>"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", row.alias("row")).alias("r")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    html = F.concat(F.lit("<p>x<table><tr><th>line<th>n<th>unit<th>flag</tr>"), F.array_join(F.transform("r", lambda x: x["row"]), ""), F.lit("<TR><TD>end</TD></TR></table>"))
+    return rows.select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
+
+
+ORDER_PAGES = """with r as (select l_orderkey as page_id, 0 as table_no, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity::int || '  pcs' || l_returnflag)::int as row_no, [l_linenumber::varchar, l_quantity::int || ' pcs', l_quantity::int || ' pcs', l_returnflag] as cells, false as heads from lineitem),
+p as (select page_id, table_no, row_no, cells, heads from r union all select distinct page_id, 0, 0, ['line', 'n', 'unit', 'flag'], true from r union all select page_id, 0, max(row_no) + 1, ['end', '', '', ''], false from r group by page_id)
+"""
+
+
+@query(ORDER_PAGES + "select page_id, table_no, row_no, array_to_string(cells, '|') as cells, heads from p")
 def page_tables(spark, sf):
-    return readers.tables(table(spark, sf, "pages"))
+    return readers.tables(order_pages(spark, sf)).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query(ORDER_PAGES + "select page_id, row_no, unnest(range(1, 5))::int as place, unnest(['line', 'n', 'unit', 'flag']) as header, unnest(cells) as value from p where row_no > 0")
+def page_table_cells(spark, sf):
+    return payloads.headed(readers.tables(order_pages(spark, sf)), ["page_id"])
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as double) as k from events")
@@ -456,16 +567,14 @@ def new_since(spark, sf):
     return marked.groupBy("entity").agg(F.min(F.col("pick") > F.col("m")).alias("new")).filter("new").select("entity")
 
 
-@query(LINES + BOARD + "," + PICKS + "select pos, board.id, round(round(points_vor, 8), 8) as points_vor, manager from board left join held on held.entity = board.id")
+@query(LINES + ONE + "," + PICKS + "select pos, one.id, points_vor, manager from one left join held on held.entity = one.id")
 def live_board(spark, sf):
-    out = live.overlay(board(spark, sf), scope.latest_holder(picks(spark, sf)))
-    return rounded(out.select("pos", "id", F.round("points_vor", 8).alias("points_vor"), "manager"))
+    return live.overlay(published_board(spark, sf), scope.latest_holder(picks(spark, sf))).select("pos", "id", "points_vor", "manager")
 
 
-@query(LINES + BOARD + "select pos, id, round(round(points_vor, 8), 8) as points_vor from board order by 3 desc, id limit 25")
+@query(LINES + ONE + "select pos, id, points_vor from one order by 3 desc, id limit 25")
 def top_n(spark, sf):
-    out = board(spark, sf).withColumn("points_vor", F.round("points_vor", 8))
-    return out.select("pos", "id", "points_vor").orderBy(F.col("points_vor").desc(), "id").limit(25)
+    return published_board(spark, sf).select("pos", "id", "points_vor").orderBy(F.col("points_vor").desc(), "id").limit(25)
 
 
 @query(LINES + "select id, pos, data_src, qty from lines order by qty desc nulls last, id, data_src limit 100")
@@ -473,13 +582,13 @@ def null_last_sort(spark, sf):
     return lines(spark, sf).select("id", "pos", "data_src", "qty").orderBy(F.col("qty").desc_nulls_last(), "id", "data_src").limit(100)
 
 
-@query()
+@query(LINES + "select id, pos, data_src, qty from lines")
 def null_last_sort_down(spark, sf):
     """All rows, without the limit of null_last_sort."""
     return lines(spark, sf).select("id", "pos", "data_src", "qty").orderBy(F.col("qty").desc_nulls_last(), "id", "data_src")
 
 
-@query()
+@query(LINES + "select id, pos, data_src, qty from lines")
 def null_last_sort_up(spark, sf):
     return lines(spark, sf).select("id", "pos", "data_src", "qty").orderBy(F.col("qty").asc_nulls_last(), "id", "data_src")
 
@@ -492,6 +601,7 @@ def entity_drilldown(spark, sf):
 SQL["entity_drilldown"] = LINES + "select * from (select id, data_src, unnest(['qty', 'yds', 'disc']) as stat, unnest([qty, yds, disc]) as value from lines) where value is not null"
 
 
-@query(LINES + BOARD + "select pos, id, round(points, 8) as points, round(sd_pts, 8) as sd_pts, round(floor, 8) as floor, round(ceiling, 8) as ceiling, sources, pos_rank, tier, round(dropoff, 6) as dropoff, round(points_vor, 8) as points_vor from board")
+@query(LINES + BOARD + f"select avg_type, pos, id, points, sd_pts, {_BOUNDS}, sources, pos_rank, tier, round(dropoff, 6) as dropoff, points_vor, rank from board")
 def consensus_board(spark, sf):
-    return rounded(board(spark, sf).select("pos", "id", "points", "sd_pts", "floor", "ceiling", "sources", "pos_rank", "tier", F.round("dropoff", 6).alias("dropoff"), "points_vor"))
+    out = board(spark, sf).withColumn("dropoff", F.round("dropoff", 6))
+    return out.select("avg_type", "pos", "id", "points", "sd_pts", "floor", "ceiling", "sources", "pos_rank", "tier", "dropoff", "points_vor", "rank")
