@@ -1,16 +1,18 @@
 """Training-data pipeline over `documents`: each stage takes what its predecessor kept.
 
-A stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents.
+A stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents. Nulls, empty
+texts, repeated rows and empty tables have the results that each operator's docstring states: texts that are null, empty or
+without a letter are rejected by the first stage, rows without doc_id stay unless they are copies, and an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from accordant.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
-from accordant.llm.common import shared_dir, table
+from accordant.llm.common import table
+from accordant.sources.stage import staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +51,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}/{STAGES[-1][0]}"
-    STAGES[-1][1](spark, docs, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs
 
 
 #: Near-duplicate classes and language centroids have no SQL form; tests/llm holds the stages against brute force.
