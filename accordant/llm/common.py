@@ -2,42 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from accordant.sources.stage import staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-accordant-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/accordant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes a table into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+materialize = staged
 
 
-#: Rows of one or two numbers that a join may broadcast (16 MB); more are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers or digests that a join may broadcast (about 100 MB in memory at most); of more, Spark picks the join.
+BROADCAST_ROWS = 500_000
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """df, marked as the side of a join that is broadcast if a count shows that it is small, else hashed after a shuffle."""
+    """df, marked as the side of a join that is broadcast if a count shows that it is small."""
     few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(df) if few else df.hint("shuffle_hash")
+    return F.broadcast(df) if few else df
 
 
 def remainder(column: str, n: int) -> Column:
@@ -45,18 +33,30 @@ def remainder(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, per: str | None = None) -> list:
-    """At most about `rows` rows (of each value of `per`), picked by a hash of `key`: the same rows for any partitioning.
+def bounded_sample(df: DataFrame, key: str, rows: int, per: str | None = None, most: int = 12_000) -> list:
+    """The rows with the least hashes of `key`, `rows` of each value of `per`, whatever the partitioning.
 
-    The share to take follows from a count over all rows, so no sort and no group in one task is needed. Rows above
-    the bound (the hash gives the share only on average) are cut by `limit`, so the driver never gets more than
-    `rows` times the number of groups.
+    `most` bounds the whole sample: of that many values the most frequent ones count, and each has `most` / values rows
+    if that is fewer than `rows`. Two passes serve all values: counts, then rows below a hash that leaves a few more
+    than asked for, cut to `rows` in every task before they meet. They come ordered by value and hash.
     """
-    spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 30))
-    if per is None:
-        n = df.count()
-        return df.filter(spread < int((1 << 30) * min(1.0, rows / max(1, n)))).limit(rows).collect()
-    out = []
-    for value, n in sorted(df.groupBy(per).count().collect()):
-        out += df.filter((F.col(per) == value) & (spread < int((1 << 30) * min(1.0, rows / max(1, n))))).limit(rows).collect()
-    return out
+    spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 40))
+    marked = df.withColumn("__per", F.col(per).cast("string") if per else F.lit("")).filter("__per is not null").withColumn("__spread", spread)
+    counts = marked.groupBy("__per").count().orderBy(F.col("count").desc(), "__per").limit(most).collect()
+    if not counts:
+        return []
+    rows = max(1, min(rows, most // len(counts)))
+    margin = rows + 8 * rows**0.5 + 8  # the number below a hash varies by about the root of it
+    sizes = {r["__per"]: r["count"] for r in counts}
+    tops = {value: int((1 << 40) * min(1.0, margin / n)) for value, n in sizes.items()}
+    least = Window.partitionBy("__per").orderBy("__spread", *[F.col(c) for c in df.columns])
+    out: list = []
+    while tops:
+        top = F.element_at(F.from_json(F.lit(json.dumps(tops)), "map<string,long>"), F.col("__per"))
+        kept = marked.filter(F.col("__spread") < top).withColumn("__n", F.row_number().over(least)).filter(F.col("__n") <= rows)
+        found = kept.drop("__spread").collect()
+        # a key with very many rows can leave too few others below the hash: then twice as far, for that value only
+        short = {v for v, t in tops.items() if t < 1 << 40 and sum(r["__per"] == v for r in found) < min(rows, sizes[v])}
+        out += [r for r in found if r["__per"] not in short]
+        tops = {v: min(1 << 40, 2 * tops[v]) for v in short}
+    return sorted(out, key=lambda r: (r["__per"], r["__n"]))

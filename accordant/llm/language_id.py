@@ -5,8 +5,8 @@ sqrt(count) x idf and scaled to length 1. Spherical k-means splits each language
 CENTROIDS clusters; a text gets the language of the centroid with the highest cosine. A text is rejected when that
 cosine is below the floor for its length: FLOOR times the least cosine of training texts of that length class.
 
-The model is fitted on a bounded sample (SAMPLE_ROWS whole texts a language, picked by a hash of doc_id, texts of more
-than SAMPLE_CHARS characters aside); it is a few hundred KB, whatever the input. Scoring is a map over all rows.
+The model is fitted on a bounded sample (SAMPLE_ROWS whole texts a language, SAMPLE_MOST in all, those with the least
+hashes of doc_id, texts of more than SAMPLE_CHARS characters aside), so it is the same for any partitioning. Scoring is a map over all rows.
 
 Defined cases: null text or text without a letter gives `und`, score 0, rejected; with no labelled row at all, every
 text gives `und`; a null doc_id is not held out and not learned from; equal cosines go to the language first in order;
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import bounded_sample, remainder, table
 
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 50_000
+SAMPLE_ROWS, SAMPLE_MOST, SAMPLE_CHARS = 300, 12_000, 50_000
 SIZE, CENTROIDS, ROUNDS, FLOOR, HELD_OUT = 1 << 13, 4, 12, 0.5, 1
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 #: Blanks, digits and punctuation of ASCII count as one blank.
 PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], "u4")
 
@@ -126,7 +126,7 @@ class Centroids:
 def fit(docs: DataFrame) -> Centroids:
     """Learns from docs(doc_id, text, lang): rows with a language and crc32(doc_id) mod 3 other than HELD_OUT."""
     rows = docs.select("doc_id", "text", "lang").filter((remainder("doc_id", 3) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
-    sample = bounded_sample(rows, "doc_id", SAMPLE_ROWS, per="lang")
+    sample = bounded_sample(rows, "doc_id", SAMPLE_ROWS, "lang", SAMPLE_MOST)
     return Centroids([r.text for r in sample], [r.lang for r in sample])
 
 

@@ -7,8 +7,8 @@ vanish in the average of a long text. Training sees labels of whole texts only,
 that scores highest at present (of texts of either label) and on random windows of clean texts; vectors and softmax
 are updated together by Adagrad.
 
-Labels are learned from rows whose crc32(doc_id) mod 5 is not 0, from a bounded sample (SAMPLE_ROWS of each label, by
-a hash of doc_id, texts of up to SAMPLE_CHARS characters). The model is BUCKETS numbers once vectors and softmax are
+Labels are learned from rows whose crc32(doc_id) mod 5 is not 0, from a bounded sample (SAMPLE_ROWS of each label, those
+with the least hashes of doc_id, texts of up to SAMPLE_CHARS characters), which is the same for any partitioning. The model is BUCKETS numbers once vectors and softmax are
 multiplied; scoring is a map over all rows, whole texts and every window.
 
 Defined cases: null and empty texts, and texts without words, score 0; without labels every text scores 0; a label of
