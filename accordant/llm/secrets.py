@@ -9,14 +9,17 @@ The models are fitted on a bounded sample of documents (SAMPLE_ROWS rows of up t
 doc_id, and SAMPLE_WORDS of their words); scanning is a map over all rows and whole texts.
 
 Defined cases: null is the empty text; a text without spans has an empty list and the digest of the empty string;
-repeated rows are scanned alike; positions are code points; further columns are ignored.
+repeated rows are scanned alike; positions are code points; a sample without words gives an infinite threshold, so only the
+patterns find spans; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -56,7 +59,7 @@ class Chains:
     def __init__(self, random: list[str], plain: list[str]):
         self.ratio = self.learn(random) - self.learn(plain)
         a, b = self.scores(random), self.scores(plain)
-        self.threshold = float((np.quantile(a, 0.05) + np.quantile(b, 0.999)) / 2) if len(a) and len(b) else 0.0
+        self.threshold = float((np.quantile(a, 0.05) + np.quantile(b, 0.999)) / 2) if len(a) and len(b) else np.inf
 
     @staticmethod
     def triples(text: str) -> np.ndarray:
@@ -77,13 +80,26 @@ class Chains:
         return np.array([self.score(t) for t in texts if len(t) >= 3])
 
 
+class Covered:
+    """Whether a stretch meets one of some spans, found by two searches whatever their number."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts = [s[0] for s in spans]
+        self.ends = list(accumulate((s[1] for s in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def train(texts: list[str], seed: int = 11) -> Chains:
     draw = np.random.default_rng(seed)
     secrets, words = [], []
     for text in texts:
         spans = base_spans(text)
+        covered = Covered(spans)
         secrets += [ASSIGN.match(text[a:b])[2] if kind == "assign" else text[a:b] for a, b, kind in spans]
-        words += [m[0] for m in WORD.finditer(text) if not any(a <= m.start() < b for a, b, _ in spans)]
+        words += [m[0] for m in WORD.finditer(text) if not covered.meets(m.start(), m.start() + 1)]
     sets = [np.array(list(ALPHABET[:62])), np.array(list(ALPHABET[:64])), np.array(list("0123456789abcdef"))]
     secrets += ["".join(draw.choice(sets[k % 3], draw.integers(20, 48))) for k in range(DRAWN)]
     words = [words[k] for k in draw.permutation(len(words))[:SAMPLE_WORDS]]
@@ -98,7 +114,8 @@ def train(texts: list[str], seed: int = 11) -> Chains:
 def spans(text: str, chains: Chains) -> tuple[list, list]:
     """The spans of the patterns, and all spans with those that the models add."""
     base = base_spans(text)
-    more = [(m.start(), m.end(), "markov") for m in RUN.finditer(text) if chains.score(m[0]) > chains.threshold and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+    covered = Covered(base)
+    more = [(m.start(), m.end(), "markov") for m in RUN.finditer(text) if not covered.meets(m.start(), m.end()) and chains.score(m[0]) > chains.threshold]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
 
 
