@@ -2,19 +2,26 @@
 
 The standard library's parser is read as a stream of events. Block tags end a line, so a line is a block of the page
 with its text, its number of tags and the section that it stands in. Its ratio is characters of text over tags; lines
-in navigation, headers, footers, asides, forms, scripts and the like have none. Ratios are smoothed with a Gaussian
-over neighbouring lines and clustered by a threshold (half their mean). The sections that hold the lines above the
-threshold lead to the content regions: the lowest article or main that holds all of those in such elements (each one's
-outermost if there is none), and, of other sections with at least SHARE of the best one's text, the lowest common
-ancestor. All lines of a region that are not boilerplate are the text, short ones too.
+of boilerplate have none. Ratios are smoothed with a Gaussian over neighbouring lines and clustered by a threshold (half
+their mean): lines above it are content, and they select the region. If article or main elements hold most of the content,
+that is the lowest article or main around all of it there, else each one's outermost; on other pages it is the lowest
+section around all content lines. All lines of a region that are not boilerplate are the text, short ones too.
+
+Boilerplate is named by tag (NOISE, and header outside an article), by `hidden`, or by a word of class, id or role (MARKS):
+of any block outside an article or main, inside one only of containers (CONTAINER), never of words within a line. Outside
+articles, lines that are links only count as menus, too.
 
 Defined cases: null html is empty and gives an empty text; pages are independent rows, so repeats and ties have no
-influence; unclosed tags end with their parents; pages of any length are parsed whole; further columns are ignored.
+influence; unclosed tags end with their parents; broken declarations are comments, and an unfinished one at the end of a
+page is dropped; pages of any length and depth are parsed whole; further columns are
+ignored; an empty table gives no rows. Time grows with a page's length, whatever the depth of its tags.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-SHARE = 0.25
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 SECTION = frozenset("article main section div td body html blockquote".split())
 NOISE = frozenset("nav footer aside form head title script style noscript template svg math button select textarea iframe object canvas dialog menu".split())
+#: Blocks that hold other blocks: only these are boilerplate by class inside an article.
+CONTAINER = frozenset("div section ul ol dl table figure details fieldset".split())
 #: Words of class, id and role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus feedback "
@@ -41,17 +49,23 @@ SITE = re.compile(r"^(site|page)[-_]+")
 
 
 class Lines(HTMLParser):
-    """Collects lines as [texts, tags, section, boilerplate, characters inside links]."""
+    """Collects lines as [texts, tags, section, boilerplate, characters inside links].
+
+    Sections are numbered as they open, so those inside section s are s .. last[s].
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, section, boilerplate
-        self.sections, self.lines, self.links = 0, [], 0
-        self.parents, self.tags = {0: 0}, {0: ""}
+        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, section, boilerplate, in an article
+        self.open: Counter = Counter()
+        self.lines, self.links = [], 0
+        self.parents, self.last = [0], [0]
+        #: The innermost and the outermost article or main around a section, itself included; -1 if there is none.
+        self.inner, self.outer = [-1], [-1]
         self.line()
 
     def line(self) -> None:
-        _, section, noise = self.stack[-1] if self.stack else ("", 0, False)
+        _, section, noise, _ = self.stack[-1]
         if self.lines and not self.lines[-1][0]:
             self.lines.pop()
         self.lines.append([[], 0, section, noise, 0])
@@ -67,17 +81,21 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             # a paragraph ends where a block begins, a list item where the next one does
             for implied in ("p", tag if tag in ("li", "dt", "dd", "tr", "td", "th", "option") else "p"):
-                if any(t == implied for t, _, _ in self.stack[-3:]):
+                if any(t == implied for t, *_ in self.stack[-3:]):
                     self.close_to(implied)
-        _, section, noise = self.stack[-1] if self.stack else ("", 0, False)
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
+        _, section, noise, inside = self.stack[-1]
         if not noise:
-            noise = tag in NOISE or tag == "header" and not inside or tag not in WHOLE and self.marked(attrs)
+            named = tag in CONTAINER if inside else tag in BLOCK and tag not in WHOLE
+            noise = tag in NOISE or tag == "header" and not inside or self.hidden(attrs) or named and self.marked(attrs)
         if tag in SECTION:
-            self.sections += 1
-            self.parents[self.sections], self.tags[self.sections] = section, tag
-            section = self.sections
-        self.stack.append((tag, section, noise))
+            new = len(self.parents)
+            whole = tag in ("article", "main")
+            self.parents.append(section), self.last.append(new)
+            self.inner.append(new if whole else self.inner[section])
+            self.outer.append(self.outer[section] if self.outer[section] >= 0 or not whole else new)
+            section, inside = new, inside or whole
+        self.stack.append((tag, section, noise, inside))
+        self.open[tag] += 1
         self.links += tag == "a"
         if tag in BLOCK:
             self.line()
@@ -85,6 +103,10 @@ class Lines(HTMLParser):
             self.lines[-1][3] |= noise and not self.lines[-1][0]
         self.lines[-1][1] += 1
 
+    @staticmethod
+    def hidden(attrs: list) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
     @staticmethod
     def marked(attrs: list) -> bool:
         for name, value in attrs:
@@ -92,8 +114,6 @@ class Lines(HTMLParser):
                 # the whole token or its head, so that "has-sidebar" or "no-comments" marks nothing
                 if any(t in MARKS or PARTS.split(SITE.sub("", t))[0] in MARKS for t in value.lower().split()) or value.lower() in ("header", "site-header", "page-header", "complementary", "contentinfo", "search"):
                     return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
         return False
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -105,78 +125,93 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.lines[-1][1] += 1
-        if any(t == tag for t, _, _ in self.stack):
+        if self.open[tag]:
             self.close_to(tag)
 
     def close_to(self, tag: str) -> None:
         block = False
-        while self.stack:
-            t, _, _ = self.stack.pop()
+        while len(self.stack) > 1:
+            t, section, *_ = self.stack.pop()
+            self.open[t] -= 1
             self.links -= t == "a"
             block |= t in BLOCK
+            if t in SECTION:
+                self.last[section] = len(self.parents) - 1
             if t == tag:
                 break
         if block:
             self.line()
 
     def handle_data(self, data: str) -> None:
-        noise = bool(self.stack) and self.stack[-1][2]
         line = self.lines[-1]
-        if noise and not line[3]:
+        if self.stack[-1][2] and not line[3]:
             return  # boilerplate inside a line of text
         if data.strip() or line[0]:
             line[0].append(data)
         if self.links:
             line[4] += len(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A broken or unknown declaration is a comment, as browsers take it."""
+        return self.parse_bogus_comment(i, report)
+
+    def finish(self) -> None:
+        if self.rawdata.startswith(("<!", "<?")):
+            self.rawdata = ""
+        self.close()
+        while len(self.stack) > 1:
+            self.close_to(self.stack[-1][0])
+
 
 def smooth(x: np.ndarray) -> np.ndarray:
     kernel = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
     return np.convolve(x, kernel / kernel.sum(), "full")[2:-2]
 
 
+def around(parser: Lines, sections: list[int]) -> int:
+    """The lowest section that holds all of the sections."""
+    low, high = min(sections), max(sections)
+    while low and parser.last[low] < high:
+        low = parser.parents[low]
+    return low
+
+
+def regions(parser: Lines, content: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bool]:
+    """First and last sections of the regions that content (section, characters) selects, and whether they are articles."""
+    inside = [(s, n) for s, n in content if parser.inner[s] >= 0]
+    if 2 * sum(n for _, n in inside) < sum(n for _, n in content) or not inside:
+        top = around(parser, [s for s, _ in content])
+        return [(top, parser.last[top] if top else len(parser.last))], False
+    top = parser.inner[around(parser, [s for s, _ in inside])]
+    tops = [top] if top >= 0 else sorted({parser.outer[s] for s, _ in inside})
+    return [(s, parser.last[s]) for s in tops], True
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
     parser.feed(html)
-    parser.close()
+    parser.finish()
     rows = []
     for texts, tags, section, noise, linked in parser.lines:
         text = " ".join("".join(texts).split())
         if text:
-            rows.append((text, 0.0 if noise else len(text) / max(1, tags), section, noise, linked >= 0.9 * len(text) and tags >= 4))
+            rows.append((text, 0.0 if noise else len(text) / max(1, tags), section, noise, linked >= 0.9 * len(text) and tags >= 3))
     clean = [r for r in rows if not r[3]]
     if not clean:
         return ""
     ratio = smooth(np.array([r[1] for r in rows]))
     cut = ratio.mean() / 2
-    held: dict[int, float] = {}
-    for (text, _, section, noise, menu), x in zip(rows, ratio):
-        if not noise and not menu and x >= cut:
-            held[section] = held.get(section, 0) + len(text)
-
-    def up(section: int) -> list[int]:
-        """The section and all around it."""
-        path = [section]
-        while path[-1]:
-            path.append(parser.parents[path[-1]])
-        return path
-
-    def whole(path: list[int]) -> list[int]:
-        return [s for s in path if parser.tags[s] in ("article", "main")]
-
-    def common(sections: list[int]) -> list[int]:
-        paths = [up(s) for s in sections]
-        return [s for s in paths[0] if all(s in p for p in paths)]
-
-    articles = [s for s in held if whole(up(s))]
-    least = SHARE * max(held.values(), default=0)
-    others = [s for s, n in held.items() if n >= least and s not in articles]
-    chosen = set(common(others)[:1]) if others else set()
-    if articles:
-        chosen |= set(whole(common(articles))[:1]) or {whole(up(s))[-1] for s in articles}
-    return "\n\n".join(r[0] for r in clean if not r[4] and not chosen.isdisjoint(up(r[2])))
+    content = [(r[2], len(r[0])) for r, x in zip(rows, ratio) if not r[3] and not r[4] and x >= cut]
+    found, article = regions(parser, content or [(r[2], len(r[0])) for r in clean])
+    begins = [b for b, _ in found]
+    out = []
+    for text, _, section, _, menu in clean:
+        k = bisect_right(begins, section) - 1
+        if k >= 0 and section <= found[k][1] and (article or not menu):
+            out.append(text)
+    return "\n\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
