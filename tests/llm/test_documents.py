@@ -54,6 +54,7 @@ def test_segment_tree_equals_plain_merging():
 
 
 def test_bpe_odd_rows(odd):
+    assert bpe.encode_documents(odd.limit(0)).count() == bpe.token_digests(odd.limit(0)).count() == 0
     got = {r.doc_id: r.n_tokens for r in bpe.encode_documents(odd).collect()}
     assert got[1] == got[2] == 0 and got[6] == 60_000
 
@@ -96,6 +97,55 @@ def test_language_odd_rows(odd, spark):
     assert language_id.keep_known(odd).columns == odd.columns
 
 
+def test_language_equals_slow_cosine():
+    """The prediction against centroids compared one by one, on n-grams counted with plain dictionaries."""
+    draw = random.Random(9)
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["ne", "ri", "lo"], "cc": ["su", "ta", "ne"]}
+    say = lambda lang, n: " ".join("".join(draw.choice(syllables[lang]) for _ in range(draw.randrange(1, 4))) for _ in range(n))
+    langs = [lang for lang in syllables for _ in range(12)]
+    model = language_id.Centroids([say(lang, 40) for lang in langs], langs)
+    texts = [say(lang, draw.randrange(1, 60)) for lang in syllables for _ in range(10)] + ["x", "Ünïcode ß", "123 lo"]
+    lang, score, _ = model.predict(texts)
+    for k, text in enumerate(texts):
+        one = language_id.Centroids.counts([text])[0]
+        low = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower())
+        grams = Counter(low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1))
+        assert one.sum() == sum(grams.values())  # each n-gram is counted in one place
+        v = [c**0.5 * i for c, i in zip(one.tolist(), model.idf.tolist())]
+        size = sum(x * x for x in v) ** 0.5
+        cosines = [sum(a * b for a, b in zip(v, center.tolist()) if a) / size for center in model.centers]
+        assert max(cosines) == pytest.approx(score[k], abs=1e-4) and cosines[model.langs.index(lang[k])] <= max(cosines) + 1e-9
+        assert max(c for c, own in zip(cosines, model.langs) if own == lang[k]) == pytest.approx(max(cosines), abs=1e-5)
+
+
+def test_sample_does_not_depend_on_partitioning(spark):
+    from accordant.llm.common import bounded_sample
+
+    rows = [(k, f"t{k}", "abc"[min(2, k % 7)]) for k in range(7000)] + [(5, "again", "a")] * 400 + [(None, "n", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    first = bounded_sample(docs.repartition(3), "doc_id", 500, "kind")
+    assert first == bounded_sample(docs.repartition(11, "text"), "doc_id", 500, "kind")
+    assert Counter(r.kind for r in first) == {"a": 500, "b": 500, "c": 500}
+    assert Counter(r.kind for r in bounded_sample(docs, "doc_id", 500, "kind", most=90)) == {"a": 30, "b": 30, "c": 30}
+    assert len(bounded_sample(docs, "doc_id", 10_000)) == 7401 and bounded_sample(docs.limit(0), "doc_id", 5, "kind") == []
+    alone = bounded_sample(docs, "doc_id", 40)
+    assert alone == bounded_sample(docs.repartition(5), "doc_id", 40) and len(alone) == 40
+
+
+def brute_longest(text, items):
+    doc, best = decontaminate.words(text), None
+    for k, t in items:
+        w = decontaminate.words(t)
+        for i in range(len(w)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(w) and j + n < len(doc) and w[i + n] == doc[j + n]:
+                    n += 1
+                if n and n >= min(10, len(w)) and (best is None or (-n, str(k), i, j) < best):
+                    best = (-n, str(k), i, j)
+    return (-best[0], *best[1:]) if best else (0, None, 0, 0)
+
+
 def brute_hits(text, items):
     doc, marks, ids = decontaminate.words(text), set(), set()
     for k, t in items:
@@ -120,13 +170,42 @@ def test_decontamination(spark, odd, monkeypatch, block):
     for r in decontaminate.matches(docs, tests).collect():
         n, hit, ids = brute_hits(texts[r.doc_id], items)
         assert (r.n_words, sum(r.marks), ",".join(sorted(set(r.item_ids)))) == (n, hit, ids)
-        if hit:
-            found = decontaminate.words(texts[r.doc_id])[r.longest_word :][: r.longest_match]
-            assert any(decontaminate.words(t)[r.longest_item_word :][: r.longest_match] == found for k, t in items if str(k) == r.longest_item)
+        assert (r.longest_match, r.longest_item, r.longest_item_word, r.longest_word) == brute_longest(texts[r.doc_id], items)
     assert decontaminate.drop_contaminated(odd, tests).columns == odd.columns
     assert decontaminate.drop_contaminated(odd, tests.limit(0)).count() == len(ODD)
 
 
+def test_decontamination_equals_its_sql(spark, sf, tmp_path):
+    import duckdb
+
+    draw, con = random.Random(5), duckdb.connect()
+    say = lambda n: " ".join(draw.choice("abc") for _ in range(n))
+    items = [(k, say(draw.choice([3, 9, 12, 30, 45]))) for k in range(12)]
+    docs = [(k, say(draw.randrange(1, 80)) + draw.choice(["", " Z ", items[k % 12][1]])) for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for folder, files in ((str(tmp_path), "/*.parquet"), (sf, "")):
+        for t in ("documents", "benchmark"):
+            con.execute(f"create or replace view {t} as select * from '{folder}/{t}.parquet{files}'")
+        want = con.execute(decontaminate.SQL)
+        names = [d[0] for d in want.description]
+        got = decontaminate.op8_decontamination(spark, folder)
+        assert sorted(got.columns) == sorted(names)
+        assert sorted(map(repr, got.select(names).collect())) == sorted(map(repr, spark.createDataFrame(want.fetchall(), got.select(names).schema).collect()))
+
+
+def test_memory_of_items_with_one_opening():
+    import tracemalloc
+
+    opening = " ".join(f"w{k}" for k in range(40))
+    test = decontaminate.Test([(str(k), f"{opening} x{k} y{k}") for k in range(1500)])
+    tracemalloc.start()
+    rows = decontaminate.scan([f"{opening} z{k}" for k in range(400)], test)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(r[3:] == (40, "0", 0, 0) and len(r[2]) == 1500 for r in rows) and peak < 60e6
+
+
 def jaccard(a, b):
     bag = []
     for t in (a, b):
@@ -158,6 +237,57 @@ def test_near_classes(spark, odd):
     assert got == dict(enumerate(want))
     assert near_dedup.drop_near_copies(docs).count() == len(set(want))
     assert near_dedup.near_classes(odd).count() == len(ODD) and near_dedup.near_classes(odd.limit(0)).count() == 0
+    assert near_dedup.drop_near_copies(odd.limit(0)).columns == odd.columns
+
+
+def test_near_classes_of_shared_and_negative_ids(spark):
+    draw = random.Random(2)
+    base = [str(draw.randrange(10**6)) for _ in range(100)]
+    one, two, other = " ".join(base), " ".join([*base[:99], "x"]), " ".join(base[::-1])
+    rows = [(-5, one, "a"), (7, two, "b"), (7, other, "c"), (None, two, "d"), (None, "alone", "e"), (7, other, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    got = sorted(str((r.doc_id, r.class_id, r.class_size)) for r in near_dedup.near_classes(docs).collect())
+    assert got == sorted(map(str, [(-5, -5, 3), (7, -5, 3), (7, 7, 2), (7, 7, 2), (None, -5, 3), (None, None, 1)]))
+    assert sorted(r.own for r in near_dedup.drop_near_copies(docs).collect()) == ["a", "c", "e", "f"]
+
+
+def test_family_of_two_thousand_copies(spark):
+    """Copies at similarities round 0.8 of one text and of each other: the classes of all links that share a bucket."""
+    draw, texts = random.Random(3), []
+    base = [str(draw.randrange(10**6)) for _ in range(120)]
+    vocabulary = [f"v{k}" for k in range(8)]
+    for _ in range(2000):
+        copy = list(base)
+        for _ in range(draw.randrange(1, 9)):
+            at = draw.randrange(len(copy))
+            copy[at : at + 1] = draw.choice([[], [draw.choice(vocabulary)], [copy[at], draw.choice(vocabulary)]])
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    # all pairs by a product of shingle counts (hardly any shingle repeats within a text)
+    rows, columns, known = [], [], {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 4):
+            rows.append(k), columns.append(known.setdefault(tuple(w[i : i + 5]), len(known)))
+    x = np.zeros((len(texts), len(known)), "f4")
+    np.add.at(x, (rows, columns), 1)
+    n = x.sum(1)
+    same = x @ x.T
+    like = same >= near_dedup.LEAST * (n[:, None] + n[None, :] - same) - 1e-4
+    keys = near_dedup.bands(near_dedup.signatures(len(texts), *near_dedup.bags(*near_dedup.shingles(texts))))
+    meet = np.zeros(like.shape, bool)
+    for band in keys.T:
+        meet |= band[:, None] == band[None, :]
+    want = np.arange(len(texts))
+    while True:
+        low = np.where(like & meet, want[None, :], len(texts)).min(1)
+        if (low >= want).all():
+            break
+        want = np.minimum(want, low)
+    assert got == dict(enumerate(want.tolist()))
+    lost = like & ~meet
+    assert lost.sum() <= 0.002 * like.sum()
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -205,7 +335,7 @@ def test_hidden_pair_in_a_bucket_of_unlike_nodes(spark):
     texts += [hidden, hidden[:-12] + [f"b{k}" for k in range(12)]]
     plain = [" ".join(t) for t in texts]
     every = [(i, j) for i in range(54) for j in range(i)]
-    like = near_dedup.overlap([plain[i] for i, _ in every], [plain[j] for _, j in every]) >= near_dedup.LEAST
+    like = [jaccard(plain[i], plain[j]) >= near_dedup.LEAST for i, j in every]
     assert [p for p, x in zip(every, like) if x] == [(53, 52)]
     members = spark.createDataFrame([(1, k, 54, 54) for k in range(54)], "bucket long, node long, size long, mass long")
     got, labels = near_dedup.links(members, spark.createDataFrame(list(enumerate(plain)), "node long, text string"))

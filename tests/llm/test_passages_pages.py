@@ -1,5 +1,6 @@
 """Passages, pages, secrets and toxicity against brute force, hand-made cases or held-out labels."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -136,6 +137,32 @@ def test_main_text_keeps_all_of_an_article():
     assert html_text.main_text(f"<article><p>{long}<div class='x comments-list'>{short}</div></article><div class=site-footer>{short}</div>") == long
 
 
+def test_main_text_loses_no_word_of_an_article():
+    long = "word " * 200 + "end."
+    page = f"<article><h1>Title</h1><div class=intro>Intro.</div><div class=body>{long}</div><div class=end>Bye.</div></article>"
+    assert html_text.main_text(page) == f"Title\n\nIntro.\n\n{long}\n\nBye."
+    assert html_text.main_text(f"<body><div>{long}</div><div>Short.</div></body>") == f"{long}\n\nShort."
+    assert html_text.main_text('<article><p>a <span class="social">word</span> in a line.<p class="alert">Kept.</article>') == "a word in a line.\n\nKept."
+    assert html_text.main_text(f"<div><div>{long}</div><ul><li><a href=a>Home page</a><li><a href=b>All news</a></ul></div>") == long
+    for broken, want in (("<![xyz[ hi", ""), ("<!", ""), ("<?php x", ""), ("<p>a<![if x]>b", "ab"), ("<p>x<!--", "x"), ("<![CDATA[x]]>y", "y")):
+        assert html_text.main_text(broken) == want
+
+
+def test_main_text_of_any_markup():
+    draw = random.Random(1)
+    parts = ["<", "!", "[", "]", ">", "--", "/", "div", "p", "article", "x", " ", "class='ad'", "<?", "&", "&amp;", '"', "'", "<![", "<!DOCTYPE", "script", "a href=x", "td", "\0"]
+    for _ in range(3000):
+        html_text.main_text("".join(draw.choice(parts) for _ in range(draw.randrange(25))))
+    assert html_text.main_text("<div>x" * 20_000).count("x") == html_text.main_text("<div><p>x</p>" * 20_000).count("x") == 20_000
+
+
+def test_html_rows(spark):
+    rows = [(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>x", None), (3, "u", "<article><p>" + "w " * 100_000, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_text.extract(pages).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 1), (1, 0), (1, 0), (3, 199_999)] and html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_pages_have_their_article(spark, sf):
     import html
 
@@ -165,7 +192,21 @@ def test_secret_scan_against_slow_scan(spark, sf, odd):
         n = [sum(len(m[1] if k == 0 else m[0]) >= (12, 18, 16)[k] for m in p.finditer(texts[r.doc_id])) for k, p in enumerate(patterns)]
         assert [r.n_assign, r.n_access, r.n_hex] == n
         assert Counter(s.split(":")[0] for s in r.spans.split(",") if s)["markov"] == r.n_markov
-    assert secrets.scan(odd, secrets.fit(odd)).count() == len(ODD)
+        base = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p) in enumerate(zip(secrets.KINDS, patterns)) for m in p.finditer(texts[r.doc_id]) if len(m[1] if k == 0 else m[0]) >= (12, 18, 16)[k]]
+        base = [s for _, _, s in sorted(base)]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        every = r.spans.split(",") if r.spans else []
+        assert [s for s in every if not s.startswith("markov")] == base
+        assert [int(s.split(":")[1]) for s in every] == sorted(int(s.split(":")[1]) for s in every)
+    assert secrets.scan(odd, secrets.fit(odd)).count() == len(ODD) and secrets.scan(odd.limit(0), secrets.fit(odd.limit(0))).count() == 0
+
+
+def test_many_secrets_in_one_text():
+    text = " ".join(f"deadbeef{k:016x} Zq8Xw2Lk9PvB7nMc4RtYh1{k:04d}" for k in range(3000))
+    base, every = secrets.spans(text, secrets.train(["the quick brown fox jumps over lazy dogs and their friends " * 3]))
+    assert len(base) == 3000 and len(every) == 6000
+    cover = secrets.Covered([(5, 20, "a"), (6, 8, "b"), (30, 31, "c")])
+    assert [cover.meets(a, b) for a, b in ((0, 5), (4, 6), (9, 10), (20, 30), (19, 21), (31, 40))] == [False, True, True, False, True, False]
 
 
 def test_toxicity_held_out(spark, sf, odd):
@@ -177,7 +218,7 @@ def test_toxicity_held_out(spark, sf, odd):
     # most of the toxic words of three languages are inflected forms that training has not seen
     assert right >= 0.92 * len(got) and found >= 0.75 * sum(labels[r.doc_id] for r in got)
     none = toxicity.fit(odd, table(spark, sf, "labels").limit(0))
-    assert {r.score for r in toxicity.toxicity(odd, none).collect()} == {0.0}
+    assert {r.score for r in toxicity.toxicity(odd, none).collect()} == {0.0} and toxicity.toxicity(odd.limit(0), none).count() == 0
 
 
 def test_misspelling_shares_vectors():
