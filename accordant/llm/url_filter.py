@@ -7,7 +7,8 @@ seeds), distrust against them (from the blocked seeds):
 
     rank = seed + DAMPING x (sum over neighbours of rank x share of the neighbour's links)
 
-ROUNDS power iterations run, or fewer if nothing changes any more. A host is blocked where distrust exceeds trust by
+Power iterations run until no rank changes by more than TOLERANCE. What a round adds shrinks by DAMPING at least, so ROUNDS
+(a bound that follows from both) are enough for any graph. A host is blocked where distrust exceeds trust by
 more than LIMIT. Everything is DataFrame functions. Ranks and edges hold one row per host or host pair, are shuffled
 by host and written to the shared folder every round. The number of links between two hosts is summed before the
 shuffle, and pages meet host verdicts in an equi join that only pages without a rule take part in.
@@ -18,6 +19,8 @@ stay on their host and carry nothing; repeated pages count as often as they stan
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,9 @@ from .common import materialize, table
 
 #: (host, path, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-DAMPING, ROUNDS, LIMIT = 0.85, 20, 0.25
+DAMPING, TOLERANCE, LIMIT = 0.85, 1e-5, 0.25
+#: Seeds add up to one a host at most and shares to DAMPING, so round k changes the sum over all hosts by DAMPING ** k of it.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 #: The host of an absolute link (with or without a scheme).
@@ -67,7 +72,7 @@ def host_ranks(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         flow = ranks.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
         new = materialize(seed.select("kind", "host", "rank").unionByName(flow).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-        moved = new.join(ranks.withColumnRenamed("rank", "was"), ["kind", "host"], "left").filter("was is null or was <> rank").limit(1).count()
+        moved = new.join(ranks.withColumnRenamed("rank", "was"), ["kind", "host"], "left").filter(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))) > TOLERANCE).limit(1).count()
         ranks = new
         if not moved:
             break
