@@ -341,3 +341,54 @@ def test_hidden_pair_in_a_bucket_of_unlike_nodes(spark):
     got, labels = near_dedup.links(members, spark.createDataFrame(list(enumerate(plain)), "node long, text string"))
     assert [(r.a, r.b) for r in got.collect()] == [(52, 53)]
     assert {(r.node, r.label) for r in labels.collect()} == {(52, 52), (53, 52)}
+
+
+def test_pipeline_equals_brute_force(spark, sf):
+    """Every stage on its own input: copies and near copies by all pairs, windows by plain sets, ids by the library."""
+    import corpus_pipeline
+
+    tokenizers = pytest.importorskip("tokenizers")
+    docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    known = {r.doc_id for r in language_id.keep_known(table(spark, sf, "documents")).collect()}
+    best = {}
+    for k in known:
+        best[docs[k]] = max(k, best.get(docs[k], k))
+    left = sorted(best.values())
+    label = {k: k for k in left}
+    bags = {k: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for k in left if (w := decontaminate.words(docs[k]))}
+    sizes = {k: sum(b.values()) for k, b in bags.items()}
+    for a in bags:
+        for b in bags:
+            if a < b and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]):
+                same = sum((bags[a] & bags[b]).values())
+                if same >= 0.8 * (sizes[a] + sizes[b] - same):
+                    low, high = sorted((label[a], label[b]))
+                    label = {k: low if v == high else v for k, v in label.items()}
+    left = [k for k in left if label[k] == k]
+    windows = set()
+    for r in table(spark, sf, "benchmark").collect():
+        w = decontaminate.words(r.text)
+        windows |= {tuple(w[i : i + min(10, len(w))]) for i in range(len(w) - min(10, len(w)) + 1) if w}
+    lengths = {len(x) for x in windows}
+
+    def clean(text):
+        w = decontaminate.words(text)
+        return not any(tuple(w[i : i + n]) in windows for n in lengths for i in range(len(w) - n + 1))
+
+    library = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
+    want = {k: library.encode(docs[k], add_special_tokens=False).ids for k in left if clean(docs[k])}
+    assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
+def test_pipeline_stages_on_odd_and_empty_rows(spark, sf, odd):
+    import corpus_pipeline
+
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name == "bpe":
+                assert out.count() == docs.count()
+            else:
+                assert out.columns == docs.columns and out.count() <= docs.count()
+    # a document that is repeated stays with all its rows; copies under other ids or none go
+    assert sorted(str(r.doc_id) for r in near_dedup.drop_near_copies(odd).collect()) == sorted(map(str, [1, 4, 4, 5, 6, 7]))

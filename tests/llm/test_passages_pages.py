@@ -98,6 +98,19 @@ def test_verification_of_changed_passages():
     assert passages.aligned(a, b, 50, 40)[2] is None and passages.aligned(a[:45], b, 42, 32)[2] is None
 
 
+def test_bound_before_alignment():
+    """A place is promising exactly if some stretch of WIDTH or more around it is rich enough, by trying all stretches."""
+    draw = np.random.default_rng(4)
+    for n in (10, 46, 47, 60, 130, 130, 130):
+        common = draw.random(n) < draw.choice([0.6, 0.75, 0.8, 0.9])
+        want = np.zeros(n, bool)
+        for lo in range(n):
+            for hi in range(lo + passages.WIDTH, n + 1):
+                if common[lo:hi].mean() >= passages.LEAST - 1e-12:
+                    want[lo:hi] = True
+        assert (passages.promising(common, np.arange(n)) == want).all()
+
+
 def test_pairs_that_meet_in_one_hash_function(spark):
     draw = random.Random(6)
     fresh = lambda n: [draw.choice("bcdfgh") + str(draw.randrange(10**6)) for _ in range(n)]
