@@ -73,7 +73,8 @@ METHODS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 
 def consensus(scored: DataFrame, weights: DataFrame, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
     """Methods as rows (avg_type), with borrowed spreads and entities of finite, positive points only."""
-    rows = None
+    # one exchange by entity serves the aggregations of all methods
+    scored, rows = scored.repartition(*KEYS), None
     for name in methods:
         df = METHODS[name](scored, weights).withColumn("avg_type", F.lit(name))
         rows = df if rows is None else rows.unionByName(df)

@@ -103,6 +103,11 @@ def missed_kicks_fill(df: DataFrame) -> DataFrame:
     return group_rate_fill(df.withColumn("fg_miss", F.coalesce("fg_miss", F.col("fg_att") - F.col("fg"))), "fg_miss", "fg")
 
 
+def floored(c: Column) -> Column:
+    """At least 0; null stays null (greatest would skip it)."""
+    return F.when(c < 0, 0.0).otherwise(c)
+
+
 def linear_estimate(df: DataFrame, models: dict[str, tuple[float, str, float]], rollups: dict[str, list[str]]) -> DataFrame:
     """Counts of milestones: max(0, intercept + slope x metric) in gaps, then nested thresholds added up.
 
@@ -110,7 +115,7 @@ def linear_estimate(df: DataFrame, models: dict[str, tuple[float, str, float]],
     column count as nothing, parts that are count whether they are scored or not.
     """
     have = df.columns
-    new = {name: F.coalesce(*([F.col(name)] if name in have else []), F.greatest(F.lit(0.0), F.lit(a) + F.col(metric) * b)) for name, (a, metric, b) in models.items()}
+    new = {name: F.coalesce(*([F.col(name)] if name in have else []), floored(F.lit(a) + F.col(metric) * b)) for name, (a, metric, b) in models.items()}
     df = df.withColumns(new)
     have = df.columns
     return df.withColumns({n: sum((F.coalesce(F.col(c), F.lit(0.0)) for c in parts if c in have), F.lit(0.0)) for n, parts in rollups.items() if n in models})
@@ -119,7 +124,7 @@ def linear_estimate(df: DataFrame, models: dict[str, tuple[float, str, float]],
 def first_downs(df: DataFrame, rates: dict[str, float], metric: str, source: str) -> DataFrame:
     """Gaps of metric get max(0, rate of the group x source); groups without a rate stay as they are."""
     rate = F.element_at(F.create_map(*[F.lit(v) for kv in rates.items() for v in kv]), F.col("pos"))
-    return df.withColumn(metric, F.coalesce(metric, F.greatest(F.lit(0.0), F.when(rate.isNotNull() & F.col(source).isNotNull(), F.col(source) * rate))))
+    return df.withColumn(metric, F.coalesce(metric, floored(F.col(source) * rate)))
 
 
 def carry_first_downs(df: DataFrame, attempts: str, games: Column, ladder: list[tuple[float, float]], last: float) -> Column:
@@ -128,4 +133,45 @@ def carry_first_downs(df: DataFrame, attempts: str, games: Column, ladder: list[
     out = F.when(per_game < ladder[0][0], ladder[0][1])
     for top, rate in ladder[1:]:
         out = out.when(per_game <= top, rate)
-    return F.greatest(F.lit(0.0), F.col(attempts) * out.otherwise(last))
+    return floored(F.col(attempts) * out.otherwise(last))
+
+
+#: First downs per yard by group, with the yardage they come from, and a passer's carries (per game up to, rate).
+FIRST_DOWN_RATES = {
+    "pass_fd": ({"QB": 0.0483}, "pass_yds"),
+    "rush_fd": ({"RB": 0.0508, "WR": 0.0508, "TE": 0.0508}, "rush_yds"),
+    "rec_fd": ({"RB": 0.045, "WR": 0.0483, "TE": 0.0503}, "rec_yds"),
+}
+CARRY_RATES, MOST_CARRIES, SEASON_GAMES = [(2.0, 0.261), (4.0, 0.342)], 0.378, 17.0
+
+
+def scored_first_downs(df: DataFrame, scored: dict[str, list[str]], games: DataFrame | None = None, weekly: bool = False, passer: str = "QB") -> DataFrame:
+    """First downs that rules score (scored: group -> metrics) in gaps: from yards, and for a passer's runs from carries per game.
+
+    Games are those of games(id, games) for a season, else the line's own, else 17 (1 for a week), at least 1. Gaps of a
+    passer's carries are filled at the mean rate of all passers' lines, or their mean where that rate is of no use.
+    """
+    for stat, (rates, source) in FIRST_DOWN_RATES.items():
+        rates = {pos: rate for pos, rate in rates.items() if stat in scored.get(pos, [])}
+        if rates and source in df.columns:
+            have = df if stat in df.columns else df.withColumn(stat, F.lit(None).cast("double"))
+            df = first_downs(have, rates, stat, source)
+    if "rush_fd" not in scored.get(passer, []) or "rush_att" not in df.columns:
+        return df
+    own = F.col("pos") == passer
+    attempts = F.col("rush_att")
+    if "rush_yds" in df.columns:
+        known, yards = F.col("rush_att").isNotNull(), F.col("rush_yds")
+        rate = F.when(F.max(F.coalesce(known & (yards == 0), F.lit(False))), None).otherwise(F.avg(F.when(known, F.col("rush_att") / F.nullif(yards, F.lit(0.0)))))
+        one = df.filter(own).agg(rate.alias("__rate"), F.avg("rush_att").alias("__mean"))
+        df = df.join(F.broadcast(one))  # one row
+        attempts = F.coalesce(attempts, F.when(F.col("__rate").isNotNull(), F.col("__rate") * yards).otherwise(F.col("__mean")))
+    df = df.withColumn("__att", attempts)
+    played = [F.when(F.col("games") > 0, F.col("games").cast("double"))] if "games" in df.columns else []
+    if games is not None and not weekly:
+        df = df.join(games.select("id", F.col("games").cast("double").alias("__games")), "id", "left")
+        played.insert(0, F.col("__games"))
+    estimate = carry_first_downs(df, "__att", F.coalesce(*played, F.lit(1.0 if weekly else SEASON_GAMES)), CARRY_RATES, MOST_CARRIES)
+    have = F.col("rush_fd") if "rush_fd" in df.columns else F.lit(None).cast("double")
+    df = df.withColumn("rush_fd", F.coalesce(have, F.when(own & F.col("__att").isNotNull(), estimate)))
+    return df.drop("__att", "__rate", "__mean", "__games")

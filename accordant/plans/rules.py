@@ -217,3 +217,23 @@ def default_rules(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("pass_yds"), F.col("l_tax").alias("pass_tds"), F.col("l_linenumber").cast("double").alias("pass_int"))
     used = {m: v for m, v in settings.DEFAULTS.items() if m in rows.columns}
     return rounded(rows.select("l_orderkey", "l_linenumber", score.points(used).alias("points")))
+
+
+@query("""with k as (select l_orderkey, l_linenumber, l_partkey as id, ['QB', 'RB', 'WR', 'TE'][l_suppkey % 4 + 1] as pos, l_extendedprice / 100 as pass_yds, l_quantity * 10 as rush_yds, l_discount * 1000 as rec_yds,
+  case when l_linenumber % 3 <> 0 then l_quantity end as att, case when l_linenumber % 5 = 0 then l_tax * 10 end as fd, case when l_partkey % 2 = 0 then (l_partkey % 18)::double end as games from lineitem),
+r as (select case when max(case when att is not null and rush_yds = 0 then 1 else 0 end) = 1 then null else avg(case when att is not null then att / nullif(rush_yds, 0) end) end as rate, avg(att) as mean from k where pos = 'QB'),
+a as (select *, coalesce(att, case when rate is not null then rate * rush_yds else mean end) as c, greatest(1, coalesce(games, 17)) as g from k, r)
+select l_orderkey, l_linenumber, pos, round(case when pos = 'QB' then greatest(0, pass_yds * 0.0483) end, 9) as pass_fd,
+  round(coalesce(fd, case pos when 'RB' then rush_yds * 0.0508 when 'QB' then c * case when c / g < 2 then 0.261 when c / g <= 4 then 0.342 else 0.378 end end), 9) as rush_fd,
+  round(case pos when 'RB' then rec_yds * 0.045 when 'TE' then rec_yds * 0.0503 end, 9) as rec_fd from a""")
+def scored_first_downs(spark, sf):
+    """First downs only where the rules score them: all three kinds, the passer's runs by games of a table."""
+    n, items = F.col("l_linenumber"), table(spark, sf, "lineitem")
+    pos = F.element_at(F.array(*map(F.lit, ("QB", "RB", "WR", "TE"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    rows = items.select(
+        "l_orderkey", n, F.col("l_partkey").alias("id"), pos.alias("pos"), (F.col("l_extendedprice") / 100).alias("pass_yds"), (F.col("l_quantity") * 10).alias("rush_yds"), (F.col("l_discount") * 1000).alias("rec_yds"),
+        F.when(n % 3 != 0, F.col("l_quantity")).alias("rush_att"), F.when(n % 5 == 0, F.col("l_tax") * 10).alias("rush_fd"),
+    )
+    games = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 18).alias("games"))
+    out = impute.scored_first_downs(rows, {"QB": ["pass_fd", "rush_fd"], "RB": ["rush_fd", "rec_fd"], "WR": [], "TE": ["rec_fd"]}, games)
+    return out.select("l_orderkey", "l_linenumber", "pos", *[F.round(c, 9).alias(c) for c in ("pass_fd", "rush_fd", "rec_fd")])

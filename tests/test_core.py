@@ -217,6 +217,8 @@ def test_published_misses_stay(spark):
     assert (r.fg_att, r.fg_miss, r.xp_att, r.xp_miss) == (24.0, 4.0, 32.0, 2.0)
     partial = impute.linear_estimate(df, {"m": (0.0, "fg", 0.5)}, {"m": ["m", "not_there"]})
     assert partial.first().m == 10.0
+    yards = spark.createDataFrame([("A", 10.0, None), ("A", -3.0, None), ("A", None, None), ("B", 10.0, None), ("B", 1.0, 2.0)], "pos string, y double, d double")
+    assert [r.d for r in impute.first_downs(yards, {"A": 0.5}, "d", "y").collect()] == [5.0, 0.0, None, None, 2.0]
 
 
 def test_fills_in_order_of_their_rates(spark):
