@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from accordant.sources.stage import staged
 
@@ -60,3 +64,37 @@ def bounded_sample(df: DataFrame, key: str, rows: int, per: str | None = None, m
         out += [r for r in found if r["__per"] not in short]
         tops = {v: min(1 << 40, 2 * tops[v]) for v in short}
     return sorted(out, key=lambda r: (r["__per"], r["__n"]))
+
+
+def slices(batch: pa.RecordBatch, chars: int, texts: tuple[str, ...] = ("text",)) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many characters in their texts: bounds what one step holds besides the largest text."""
+    begun = size = 0
+    for k, each in enumerate(zip(*[batch.column(t).to_pylist() for t in texts])):
+        size += sum(len(t or "") for t in each)
+        if size >= chars:
+            yield batch.slice(begun, k + 1 - begun)
+            begun, size = k + 1, 0
+    if begun < batch.num_rows:
+        yield batch.slice(begun)
+
+
+def over_texts(docs: DataFrame, run: Callable[..., dict], fields: str, keep: list[str] | None = None, chars: int = 2_000_000, texts: tuple[str, ...] = ("text",)) -> DataFrame:
+    """docs' columns `keep` (all of them if None), and beside them the `fields` that run makes of a slice of the texts.
+
+    run takes one list a column of `texts` and gives one sequence a field. The kept columns stay in Arrow from end to end:
+    no value of theirs passes through Python or numpy, so a number beside a null keeps all its digits. They travel in one
+    struct, so their names cannot clash with those of the texts; a kept column of a field's name gives way to the field.
+    """
+    kept = docs.columns if keep is None else keep
+    made = StructType.fromDDL(fields)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), *[F.col(f"`{t}`").alias(t) for t in texts])
+    kinds = {f.name: to_arrow_type(f.dataType) for f in made}
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, chars, texts):
+                got = run(*[part.column(t).to_pylist() for t in texts])
+                yield pa.RecordBatch.from_arrays([part.column("__row"), *[pa.array(got[n], kind) for n, kind in kinds.items()]], ["__row", *kinds])
+
+    out = rows.mapInArrow(mapped, StructType([StructField("__row", rows.schema["__row"].dataType), *made]))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in kept if c not in kinds], *kinds)

@@ -10,21 +10,11 @@ with a probability equal to their weighted Jaccard similarity, and a process is
 all components, which needs few points a shingle.
 
 Signatures are cut into BANDS bands of ROWS components. Documents that agree in a band share a bucket, and are compared
-exactly (multiset overlap of all shingles, LEAST or more) in a way that stays linear for large groups of copies:
-
-1. Equal texts are one node, however many they are; a node is numbered by its digest's row, whatever its doc_id is.
-2. Every bucket has one leader: the node with the most neighbours in all its buckets, which in a family of mutated copies
-   is the original or the copy nearest to it. All buckets of a family tend to have the same leader. The nodes that share
-   a bucket led by L are the cell of L. Each is compared with L on the texts, once, and its difference is kept: what it
-   has more than L, and what L has more than it, as a set of tokens (a shingle n times more gives n tokens).
-3. The size of the symmetric difference of two nodes A and B of a cell follows from their differences d(A), d(B) to L:
-   |d(A)| + |d(B)| - 2 |d(A) and d(B) in common|. They are similar if that is at most (|A| + |B|) (1 - LEAST) / (1 + LEAST).
-   If A is not similar to L, A and B must then have tokens of their differences in common, so an equi join on
-   (cell, token) finds all such pairs. It is kept small by a prefix filter with places: tokens of each node are ordered
-   from rare to frequent in the cell, and the first common token of a similar pair stands early enough in both for the
-   rest to suffice. Tokens that a single node has (most changed words) only move the others back.
-4. Before that, while it links at least an eighth of them, the nodes outside their leader's class are compared with one
-   further leader each cell and round, so that a family without a centre leaves few pairs to the join.
+exactly (multiset overlap of all shingles, LEAST or more) in a way that stays linear for large groups of copies.
+
+Equal texts are one node, however many they are; a node is numbered by its digest's row, whatever its doc_id is. The nodes
+of a bucket are compared as `cells` describes: each with the bucket's leader on the texts, and all others by what they
+differ in from it, as a set of tokens (a shingle n times more gives n tokens).
 
 Every pair of one bucket whose classes differ is thus compared or excluded exactly. Bands of 6 x 24 miss a pair at 0.8 with
 a probability of 0.0007, at 0.9 below 1e-7. The join can only grow with the square of a family where many pairs outside
@@ -38,26 +28,20 @@ are ignored (`drop_near_copies` carries them).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, ranges
-from .bpe import slices
-from .common import materialize, sized, table
-from .components import components
+from .cells import labelled, links
+from .common import materialize, over_texts, sized, table
 from .decontaminate import words
 from .exact_dedup import digest
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 24, 6
-#: (1 + LEAST) / (1 - LEAST): multisets are similar if their difference times TOP is at most the sum of their sizes.
-TOP = 9
-#: A further leader is worth a round if it links more than one in FEW of the nodes left.
-FEW = 8
+#: (1 + LEAST) / (1 - LEAST): multisets are similar if their difference times 9 is at most the sum of their sizes.
+RATIO = (9, 1)
 SIZE = BANDS * ROWS
 SLICE_CHARS = 1_000_000
 #: Bits of a shingle's hash beside the number of its document in a slice.
@@ -129,15 +113,13 @@ def bands(signature: np.ndarray) -> np.ndarray:
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, bands) of every row; bands is null for texts without words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in slices(batch, SLICE_CHARS):
-                doc, element, weight = bags(*shingles(part.text.tolist()))
-                keys = bands(signatures(len(part), doc, element, weight))
-                full = np.isin(np.arange(len(part)), doc)
-                yield pd.DataFrame({"doc_id": part.doc_id.values, "digest": part.digest.values, "bands": [k if f else None for k, f in zip(keys, full)]})
+    def run(texts: list[str | None]) -> dict:
+        doc, element, weight = bags(*shingles(texts))
+        keys = bands(signatures(len(texts), doc, element, weight))
+        full = np.isin(np.arange(len(texts)), doc)
+        return {"bands": [k if f else None for k, f in zip(keys, full)]}
 
-    return docs.select("doc_id", digest().alias("digest"), "text").mapInPandas(run, "doc_id long, digest binary, bands array<long>")
+    return over_texts(docs.select("doc_id", digest().alias("digest"), "text"), run, "bands array<long>", ["doc_id", "digest"], SLICE_CHARS)
 
 
 def difference(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -161,99 +143,13 @@ def difference(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, list
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, lead, n, n_lead, diff) of pairs(node, lead): numbers of shingles, and the difference as tokens; texts(node, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in slices(batch, SLICE_CHARS):
-                n, n_lead, diff = difference(part.text.tolist(), part.text_lead.tolist())
-                yield pd.DataFrame({"node": part.node.to_numpy(), "lead": part.lead.to_numpy(), "n": n, "n_lead": n_lead, "diff": diff})
+    def run(own: list[str], lead: list[str]) -> dict:
+        n, n_lead, diff = difference(own, lead)
+        return {"n": n, "n_lead": n_lead, "diff": diff}
 
     one = pairs.join(texts, "node")
     two = one.join(texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead")
-    return two.select("node", "lead", "text", "text_lead").mapInPandas(run, "node long, lead long, n int, n_lead int, diff array<long>")
-
-
-def alike(apart: Column, n: Column, m: Column) -> Column:
-    """Whether multisets of n and m shingles that differ in `apart` have a Jaccard similarity of LEAST or more."""
-    return TOP * apart <= n + m
-
-
-def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
-    """rows with the label of a node, which is the node itself if it has no link."""
-    return rows.join(labels.select(F.col("node").alias(node), F.col("label").alias(label)), node, "left").withColumn(label, F.coalesce(label, node))
-
-
-def renewed(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """labels after further links found(label_a, label_b) between classes."""
-    new = components(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-    moved = new.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return materialize(old.unionByName(new).groupBy("node").agg(F.min("label").alias("label")))
-
-
-def rivals(cells: DataFrame) -> DataFrame:
-    """Pairs (a, b) of cells(lead, node, n, diff, label, other) that can be similar: of different labels, one of them at least `other` (of another class than its lead)."""
-    size = F.size("diff")
-    rows = materialize(cells.select("lead", "node", "label", "other", "n", size.alias("d"), (TOP * size - F.col("n")).alias("x"), F.explode("diff").alias("token")))
-    shared = rows.groupBy("lead", "token").agg(F.count("*").alias("times"), F.min("x").alias("x_any"), F.min(F.when(F.col("other"), F.col("x"))).alias("x_other"), F.min("label").alias("low"), F.max("label").alias("high")).filter("times > 1")
-    own = Window.partitionBy("lead", "node")
-    # tokens of this node only come first; `before` counts them and the rarer ones of several nodes
-    placed = rows.join(shared, ["lead", "token"])
-    before = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "token")) - 1
-    placed = placed.withColumn("y", TOP * (F.col("d") - 2 * before) + F.col("n")).filter("low <> high and x_other is not null and y >= least(x_any, x_other)")
-    placed = materialize(placed.select("lead", "token", "node", "label", "other", "x", "y", "x_any", "x_other"))
-    left = placed.filter("other and y >= x_any").select("lead", "token", F.struct("node", "label", "x", "y").alias("l"))
-    right = placed.filter("y >= x_other").select("lead", "token", F.struct("node", "label", "x", "y", "other").alias("r"))
-    fits = (F.col("l.label") != F.col("r.label")) & (F.col("l.x") <= F.col("r.y")) & (F.col("r.x") <= F.col("l.y")) & (~F.col("r.other") | (F.col("l.node") < F.col("r.node")))
-    return left.join(right, ["lead", "token"]).filter(fits).select("lead", F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-
-
-def met(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Those of pairs(lead, a, b) that are similar by their differences to the lead: (a, b, label_a, label_b)."""
-    side = lambda c: cells.select("lead", F.col("node").alias(c), F.struct("n", "diff", "label").alias(f"of_{c}"))
-    both = pairs.join(side("a"), ["lead", "a"]).join(side("b"), ["lead", "b"])
-    apart = F.size("of_a.diff") + F.size("of_b.diff") - 2 * F.size(F.array_intersect("of_a.diff", "of_b.diff"))
-    return both.filter(alike(apart, F.col("of_a.n"), F.col("of_b.n"))).select("a", "b", F.col("of_a.label").alias("label_a"), F.col("of_b.label").alias("label_b")).distinct()
-
-
-def links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between nodes that share a bucket, and the classes (node, label) that they form.
-
-    members(bucket, node, size, mass): buckets of `size` nodes; mass is the sum of the sizes of a node's buckets. Only
-    links that join different classes at the time are looked for, so the links are not all there are; the classes are.
-    """
-    lead = members.groupBy("bucket").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("lead"))
-    pairs = materialize(members.join(lead, "bucket").filter("node <> lead").groupBy("node", "lead").agg(F.first("mass").alias("mass")))
-    tried = materialize(compared(pairs.select("node", "lead"), texts))
-    verified = tried.filter(alike(F.size("diff"), F.col("n"), F.col("n_lead"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    labels = components(verified)
-
-    def cells(of: DataFrame) -> DataFrame:
-        """The cells that still hold several classes, with their labels."""
-        known = labelled(labelled(of, labels), labels, "lead", "lead_label").withColumn("other", F.col("label") != F.col("lead_label")).drop("lead_label")
-        open_ = known.groupBy("lead").agg(F.max("other").alias("open")).filter("open").select("lead")
-        return materialize(known.join(open_, "lead"))
-
-    open_, spent = cells(tried.join(pairs, ["node", "lead"]).select("lead", "node", "mass", "n", "diff")), None
-    while True:
-        others = open_.filter("other")
-        n = others.count()
-        if not n:
-            return verified, labels
-        heads = others if spent is None else others.join(spent, ["lead", "node"], "left_anti")
-        heads = materialize(heads.groupBy("lead").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("b")))
-        spent = heads.withColumnRenamed("b", "node") if spent is None else spent.unionByName(heads.withColumnRenamed("b", "node"))
-        head_label = labelled(heads, labels, "b", "label_b")
-        found = materialize(met(open_.join(head_label, "lead").filter("label <> label_b").select("lead", F.col("node").alias("a"), "b"), open_))
-        more = found.count()
-        if more:
-            verified, labels = verified.unionByName(found.select("a", "b")), renewed(labels, found)
-            open_ = cells(open_.drop("label", "other"))
-        if more * FEW < n:
-            break
-    found = materialize(met(rivals(open_), open_))
-    if found.limit(1).count():
-        verified, labels = verified.unionByName(found.select("a", "b")), renewed(labels, found)
-    return verified, labels
+    return over_texts(two, run, "n int, n_lead int, diff array<long>", ["node", "lead"], SLICE_CHARS, ("text", "text_lead"))
 
 
 def near_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,7 +166,8 @@ def near_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = materialize(places.join(places.groupBy("node").agg(F.sum("size").alias("mass")), "node"))
     some = materialize(members.select("node").distinct().join(nodes.select("node", "digest"), "node"))
     texts = docs.select(digest().alias("digest"), "text").join(sized(some), "digest").groupBy("node").agg(F.first("text").alias("text"))
-    labels = links(members, materialize(texts))[1]
+    texts = materialize(texts)
+    labels = links(members, lambda pairs: compared(pairs, texts), RATIO)[1]
     known = labelled(nodes.select("digest", "node", "doc_id", "rows"), labels)
     one = known.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"), F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("keeper"))
     classes = known.join(one, "label").select("digest", "doc_id", "class_id", "class_size", (F.col("node") == F.col("keeper")).alias("keeps"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, language_id, near_dedup, passages, secrets, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, near_dedup, passages, secrets, toxicity, url_filter
 
 
 def queries() -> dict:
     import corpus_pipeline
 
-    out = [url_filter.op1_url_filter, bpe.op2_bpe, exact_dedup.op3_exact_dedup, passages.op4_substring_dedup, toxicity.op5_toxicity, html_text.op6_html_extraction, language_id.op7_language_id, decontaminate.op8_decontamination, secrets.op9_secret_scan, near_dedup.op10_minhash_near_dedup]
+    out = [url_filter.op1_url_filter, bpe.op2_bpe, exact_dedup.op3_exact_dedup, passages.op4_substring_dedup, toxicity.op5_toxicity, html_text.op6_html_extraction, language_id.op7_language_id, decontaminate.op8_decontamination, secrets.op9_secret_scan, near_dedup.op10_minhash_near_dedup, jaccard_join.op11_jaccard_join]
     return {f.__name__: f for f in out} | {"pipeline": corpus_pipeline.run}
 
 
