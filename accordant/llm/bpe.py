@@ -10,7 +10,7 @@ it met in a cache of bounded size (two generations, so that frequent words stay)
 
 Defined cases: null is the empty text and gives no tokens; a special token's string inside a text becomes its id;
 rows are encoded one by one, so repeated rows, ties and further columns have no influence; texts of any length are
-encoded whole.
+encoded whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import over_texts, table
 
 #: Words that a generation of a worker's cache may hold.
 CACHE_WORDS = 400_000
@@ -213,14 +213,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids array<int>, decoded string of every row of docs(doc_id, text)."""
     model = docs.sparkSession.sparkContext.broadcast(load(path or vocabulary_path()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = model.value
-        for batch in batches:
-            for part in slices(batch):
-                ids = [bpe.encode(t) for t in part.text]
-                yield pd.DataFrame({"doc_id": part.doc_id, "n_tokens": [len(x) for x in ids], "ids": [x.astype("int32") for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+    def run(texts: list[str | None]) -> dict:
+        ids = [model.value.encode(t) for t in texts]
+        return {"n_tokens": [len(x) for x in ids], "ids": [x.astype("int32") for x in ids], "decoded": [model.value.decode(x) for x in ids]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string")
+    return over_texts(docs.select("doc_id", "text"), run, "n_tokens long, ids array<int>, decoded string", ["doc_id"])
 
 
 def slices(batch: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
@@ -239,16 +236,14 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the same work as encode_documents, returned as digests."""
     model = docs.sparkSession.sparkContext.broadcast(load(path or vocabulary_path()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = model.value
-        for batch in batches:
-            rows = []
-            for text in batch.text:
-                ids = bpe.encode(text)
-                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=batch.doc_id.values)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+    def run(texts: list[str | None]) -> dict:
+        rows = []
+        for text in texts:
+            ids = model.value.encode(text)
+            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(model.value.decode(ids).encode()).hexdigest()))
+        return dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), zip(*rows)))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return over_texts(docs.select("doc_id", "text"), run, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def over_texts(docs: DataFrame, run: Callable[..., dict], fields: str, keep: lis
     """
     kept = docs.columns if keep is None else keep
     made = StructType.fromDDL(fields)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), *[F.col(f"`{t}`").alias(t) for t in texts])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), *[F.col(f"`{t}`") for t in texts])
     kinds = {f.name: to_arrow_type(f.dataType) for f in made}
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,29 +12,31 @@ of the suffix array. That loses no match and makes the arrays small. A match cou
 common stretches are not reported.
 
 The test side is read in blocks of at most BLOCK_BYTES of text, one broadcast each. With one block, documents are mapped
-and nothing is shuffled; with several, the documents are written to the shared folder between blocks, so that workers
-hold one block at a time. What a shard holds grows with its hits, and with the distinct sets of items that share a
+and nothing is shuffled; with several, the documents are written to the shared folder once and every block gives rows
+for its hits only, so that workers hold one block at a time. What a shard holds grows with its hits, and with the distinct sets of items that share a
 window, not with hits times items.
 
 Defined cases: null texts have no words; an item without words has no window; an item with fewer than WINDOW words is
 one window; an item_id that repeats counts once; a null item_id is the empty string; of matches of equal length the one
 with the least item_id (as text), then item word, then document word is reported, and null and zeros without a match; repeated
-document rows are judged alike; without items no document is contaminated; further columns are ignored
+document rows are judged alike; without items no document is contaminated; an empty table gives no rows; further columns are ignored
 (`drop_contaminated` keeps them).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .arrays import Running, common_run, ranges
-from .bpe import slices
-from .common import materialize, table
+from .common import materialize, over_texts, table
 
 WINDOW = 10
 #: Most bytes of test text in one broadcast.
@@ -242,25 +244,47 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
         yield [(r.item_id, r.text) for r in block.collect()]
 
 
-def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, marks, item_ids (sorted), longest_match, longest_item, longest_item_word, longest_word."""
-    out = docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    found = ["n_words", "marks", "item_ids", "longest_match", "longest_item", "longest_item_word", "longest_word"]
-    kinds = ["long", "binary", "array<string>", "long", "string", "long", "long"]
-    for k, block in enumerate(blocks(items)):
-        test = docs.sparkSession.sparkContext.broadcast(Test(block))
-
-        def run(batches: Iterator[pd.DataFrame], test=test, first=k == 0) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for part in slices(batch, SHARD_CHARS):
-                    rows = scan(part[text].tolist(), test.value)
-                    if not first:
-                        rows = [joined(a, b) for a, b in zip(part[found].itertuples(index=False), rows)]
-                    yield part.drop(columns=found, errors="ignore").assign(**dict(zip(found, map(list, zip(*rows)))))
-
-        out = (out if k == 0 else materialize(out)).mapInPandas(run, f"{schema}, {', '.join(map(' '.join, zip(found, kinds)))}")
-    return out
+FOUND = ["n_words", "marks", "item_ids", "longest_match", "longest_item", "longest_item_word", "longest_word"]
+KINDS = "n_words: bigint, marks: binary, item_ids: array<string>, longest_match: bigint, longest_item: string, longest_item_word: bigint, longest_word: bigint"
+
+
+def found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs' columns in the struct `doc`, and the columns FOUND in the struct `found`.
+
+    With several blocks of items the documents are written once; each further block gives rows for its hits only, which
+    meet by a document's number.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+
+    def looked(rows: DataFrame, block: list, keep: list[str]) -> DataFrame:
+        test = spark.sparkContext.broadcast(Test(block))
+        return over_texts(rows, lambda texts: {"found": [dict(zip(FOUND, r)) for r in scan(texts, test.value)]}, f"found struct<{KINDS}>", keep, SHARD_CHARS)
+
+    every = blocks(items)
+    first, second = next(every), next(every, None)
+    if second is None:
+        return looked(rows, first, ["doc"])
+    rows = materialize(rows.withColumn("place", F.monotonically_increasing_id()))  # numbers are fixed once they are written
+    out = [materialize(looked(rows.select("place", "text"), first, ["place"]))]
+    for block in (second, *every):
+        out.append(materialize(looked(rows.select("place", "text"), block, ["place"]).filter(F.size("found.item_ids") > 0)))
+    schema = StructType.fromDDL(f"place long, found struct<{KINDS}>")
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = [reduce(joined, [tuple(f.values()) for f in each]) for each in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([dict(zip(FOUND, m)) for m in met], to_arrow_type(schema["found"].dataType))], ["place", "found"])
+
+    # one row a block and document at most
+    met = reduce(DataFrame.unionByName, out).groupBy("place").agg(F.collect_list("found").alias("found")).mapInArrow(merged, schema)
+    return rows.select("place", "doc").join(met, "place").select("doc", "found")
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs with n_words, marks, item_ids (sorted), longest_match, longest_item, longest_item_word, longest_word; these replace columns of docs of the same name."""
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in FOUND]
+    return found(docs, items).select(*own, "found.*")
 
 
 def joined(a: tuple, b: tuple) -> tuple:
@@ -268,18 +292,18 @@ def joined(a: tuple, b: tuple) -> tuple:
     marks = a[1] or b[1]
     if a[1] and b[1]:
         marks = (np.frombuffer(a[1], "u1") | np.frombuffer(b[1], "u1")).tobytes()
-    return a[0], marks, [*a[2], *b[2]], *min(a[3:], b[3:], key=lambda x: (-x[0], x[1] or "", *x[2:]))
+    return a[0], marks, sorted([*a[2], *b[2]]), *min(a[3:], b[3:], key=lambda x: (-x[0], x[1] or "", *x[2:]))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those in which a window of an item occurs; same columns."""
-    return matches(docs, items).filter(F.size("item_ids") == 0).select(*docs.columns)
+    """docs without those in which a window of an item occurs; same columns, whatever their names."""
+    return found(docs, items).filter(F.size("found.item_ids") == 0).select("doc.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found_ = matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hits = F.length(F.translate(F.hex("marks"), "0", ""))
-    return found.select(
+    return found_.select(
         "doc_id", "n_words", hits.cast("long").alias("n_hit"), F.size(F.array_distinct("item_ids")).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.array_distinct("item_ids")), ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"),
         "longest_match", "longest_item", "longest_item_word", "longest_word",

@@ -22,14 +22,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import over_texts, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -217,12 +215,11 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [main_text(h) for h in batch.html]
-            yield pd.DataFrame({"page_id": batch.page_id.values, "url": batch.url.values, "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(pages: list[str | None]) -> dict:
+        texts = [main_text(h) for h in pages]
+        return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return over_texts(pages.select("page_id", "url", "html"), run, "text string, n_chars long", ["page_id", "url"], texts=("html",))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

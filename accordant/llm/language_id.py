@@ -10,22 +10,18 @@ hashes of doc_id, texts of more than SAMPLE_CHARS characters aside), so it is th
 
 Defined cases: null text or text without a letter gives `und`, score 0, rejected; with no labelled row at all, every
 text gives `und`; a null doc_id is not held out and not learned from; equal cosines go to the language first in order;
-repeated rows are scored alike; further columns are ignored (`keep_known` carries them).
+repeated rows are scored alike; an empty table gives no rows; further columns are ignored (`keep_known` carries them).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import slices
-from .common import bounded_sample, remainder, table
+from .common import bounded_sample, over_texts, remainder, table
 
-SAMPLE_ROWS, SAMPLE_MOST, SAMPLE_CHARS = 300, 12_000, 50_000
+SAMPLE_ROWS, SAMPLE_MOST, SAMPLE_CHARS = 300, 4_000, 25_000
 SIZE, CENTROIDS, ROUNDS, FLOOR, HELD_OUT = 1 << 13, 4, 12, 0.5, 1
 STEP_CHARS = 500_000
 #: Blanks, digits and punctuation of ASCII count as one blank.
@@ -34,7 +30,7 @@ PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], "u4")
 
 def add_counts(out: np.ndarray, texts: list[str]) -> None:
     """Adds the n-gram counts of texts to the rows of out; long texts go in parts that overlap by two characters."""
-    parts, rows = [], []
+    parts, rows, lapped = [], [], []
 
     def flush():
         if not parts:
@@ -48,22 +44,26 @@ def add_counts(out: np.ndarray, texts: list[str]) -> None:
         three = two[:-1] * np.uint64(0x165667B19E3779F9) + c[2:] * np.uint64(0x27D4EB2F165667C5)
         shift = np.uint64(64 - SIZE.bit_length() + 1)
         ends = codes == 0
+        # a gram that ends in the overlap was counted with the part before
+        old = np.zeros(len(codes), bool)
+        at = np.cumsum([0, *[len(p) + 2 for p in parts[:-1]]])
+        for n in (1, 2):
+            old[[a + n - 1 for a, lap in zip(at, lapped) if lap >= n]] = True
         for n, h in ((1, c * np.uint64(0x9E3779B97F4A7C15)), (2, two), (3, three)):
-            whole = ~ends[: len(h)]
+            whole = ~ends[: len(h)] & ~old[n - 1 : len(h) + n - 1]
             for k in range(1, n):
                 whole &= ~ends[k : len(h) + k]
             h = h ^ (h >> np.uint64(29))
             at = row[: len(h)][whole] * SIZE + ((h[whole] * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype("i8")
             out.reshape(-1)[:] += np.bincount(at, minlength=out.size).astype("f4")
-        parts.clear(), rows.clear()
+        parts.clear(), rows.clear(), lapped.clear()
 
     size = 0
     for k, text in enumerate(texts):
         text = text.lower().replace("\0", " ")
         for begin in range(0, max(1, len(text)), STEP_CHARS):
-            # one- and two-character grams of the overlap count once more; it is two characters in STEP_CHARS
             parts.append(text[max(0, begin - 2) : begin + STEP_CHARS])
-            rows.append(k)
+            rows.append(k), lapped.append(min(2, begin))
             size += len(parts[-1])
             if size >= STEP_CHARS:
                 flush()
@@ -130,33 +130,31 @@ def fit(docs: DataFrame) -> Centroids:
     return Centroids([r.text for r in sample], [r.lang for r in sample])
 
 
-def languages(docs: DataFrame, model: Centroids) -> DataFrame:
-    """docs with lang_pred, score and rejected."""
+def languages(docs: DataFrame, model: Centroids, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns `keep` (all, if None) with lang_pred, score and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in slices(batch):
-                for k in range(0, len(part), 128):
-                    rows = part.iloc[k : k + 128]
-                    known = rows.__letter.to_numpy(bool)
-                    lang, score, out = np.full(len(rows), "und", object), np.zeros(len(rows)), np.ones(len(rows), bool)
-                    if known.any():
-                        lang[known], score[known], out[known] = shared.value.predict(rows.text[known].tolist())
-                    yield rows.drop(columns="__letter").assign(lang_pred=lang, score=score, rejected=out)
+    def run(texts: list[str | None]) -> dict:
+        lang, score, out = np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
+        known = np.array([k for k, t in enumerate(texts) if t is not None], "i8")
+        for k in range(0, len(known), 128):
+            own = known[k : k + 128]
+            lang[own], score[own], out[own] = shared.value.predict([texts[j] for j in own])
+        return {"lang_pred": lang, "score": score, "rejected": out}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInPandas(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    # texts without a letter go as null
+    told = docs.withColumn("__told", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
+    return over_texts(told, run, "lang_pred string, score double, rejected boolean", docs.columns if keep is None else keep, texts=("__told",))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those that the model, learned from them, rejects; same columns."""
-    scored = languages(docs.select("doc_id", "text", *[F.col(c).alias(f"__{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]), fit(docs))
-    kept = scored.filter(~F.col("rejected") & (F.col("lang_pred") != "und"))
-    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)])
+    """docs without those that the model, learned from them, rejects; same columns, whatever their names."""
+    row = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    scored = languages(row, fit(docs), ["doc"])
+    return scored.filter(~F.col("rejected") & (F.col("lang_pred") != "und")).select("doc.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = languages(docs.select("doc_id", "text"), fit(docs))
+    scored = languages(docs.select("doc_id", "text"), fit(docs), ["doc_id"])
     return scored.select("doc_id", F.coalesce(remainder("doc_id", 3) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -13,20 +13,17 @@ multiplied; scoring is a map over all rows, whole texts and every window.
 
 Defined cases: null and empty texts, and texts without words, score 0; without labels every text scores 0; a label of
 null is left out, of several labels of a doc_id the highest counts; a null doc_id is not held out; repeated rows score
-alike; further columns are ignored.
+alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, remainder, table
+from .common import bounded_sample, over_texts, remainder, table
 from .decontaminate import words
 
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000
@@ -143,13 +140,12 @@ def toxicity(docs: DataFrame, model: Bag) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = np.array([shared.value.score(t) for t in batch.text], "f8")
-            yield pd.DataFrame({"doc_id": batch.doc_id.values, "held_out": batch.held_out.values, "score": score, "predicted": (score >= 0.5).astype("i4")})
+    def run(texts: list[str | None]) -> dict:
+        score = np.array([shared.value.score(t) for t in texts], "f8")
+        return {"score": score, "predicted": (score >= 0.5).astype("i4")}
 
     rows = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", 5) == HELD_OUT, F.lit(False)).alias("held_out"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return over_texts(rows, run, "score double, predicted int", ["doc_id", "held_out"])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

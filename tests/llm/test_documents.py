@@ -338,7 +338,8 @@ def test_hidden_pair_in_a_bucket_of_unlike_nodes(spark):
     like = [jaccard(plain[i], plain[j]) >= near_dedup.LEAST for i, j in every]
     assert [p for p, x in zip(every, like) if x] == [(53, 52)]
     members = spark.createDataFrame([(1, k, 54, 54) for k in range(54)], "bucket long, node long, size long, mass long")
-    got, labels = near_dedup.links(members, spark.createDataFrame(list(enumerate(plain)), "node long, text string"))
+    texts = spark.createDataFrame(list(enumerate(plain)), "node long, text string")
+    got, labels = near_dedup.links(members, lambda pairs: near_dedup.compared(pairs, texts), near_dedup.RATIO)
     assert [(r.a, r.b) for r in got.collect()] == [(52, 53)]
     assert {(r.node, r.label) for r in labels.collect()} == {(52, 52), (53, 52)}
 
