@@ -128,8 +128,12 @@ def first_downs(df: DataFrame, rates: dict[str, float], metric: str, source: str
 
 
 def carry_first_downs(df: DataFrame, attempts: str, games: Column, ladder: list[tuple[float, float]], last: float) -> Column:
-    """Attempts times a rate that rises with attempts per game (at least one game); ladder of (per game up to, rate)."""
-    per_game = F.col(attempts) / F.greatest(F.lit(1.0), games)
+    """Attempts times a rate that rises with attempts per game (at least one game); ladder of (per game up to, rate).
+
+    Attempts per game are rounded before they meet the ladder: where they come from a mean, its last bits depend on the
+    order of summation, and must not decide on which side of an edge a line falls.
+    """
+    per_game = F.round(F.col(attempts) / F.greatest(F.lit(1.0), games), 9)
     out = F.when(per_game < ladder[0][0], ladder[0][1])
     for top, rate in ladder[1:]:
         out = out.when(per_game <= top, rate)

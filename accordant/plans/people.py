@@ -287,9 +287,12 @@ def wide_drilldown(spark, sf):
     return publish.wide(publish.drill_down(lines(spark, sf), ["qty", "disc"]), ["1-URGENT", "5-LOW"])
 
 
-@query("with " + PICKS + "select true as stale, max(ts) as last from picks")
+@query("with m as (select max(ts) as top from events), s as (select user_id as scope, max(ts) as last from events group by 1) select scope, last, epoch_us(top) - epoch_us(last) > 3600 * 1000000::bigint as stale from s, m")
 def freshness(spark, sf):
-    return live.freshness(picks(spark, sf), 1.0)
+    """Scopes of a feed polled every quarter of an hour, as of its last event: those without one for an hour are stale."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("scope"), "ts")
+    top = rows.agg(F.max("ts")).first()[0]
+    return live.freshness(rows, 900.0, F.lit(top), ["scope"])
 
 
 def _both(c: str) -> str:

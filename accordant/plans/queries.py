@@ -6,6 +6,7 @@ with gaps made by rule. Doubles are rounded to 8 digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -198,9 +199,9 @@ def score_many_rules(spark, sf):
     return rounded(score.many_rule_points(lines(spark, sf), supplier_rules(spark, sf), ["qty", "yds", "disc"], ["id", "data_src"]))
 
 
-@query()
+@query(SQL["score_many_rules"].replace(" where s_suppkey <= 20", ""))
 def score_all_rules(spark, sf):
-    """score_many_rules for all suppliers: rows grow with lines times suppliers, so it has no SQL."""
+    """score_many_rules for all suppliers: rows grow with lines times suppliers."""
     return rounded(score.many_rule_points(lines(spark, sf), supplier_rules(spark, sf, "true"), ["qty", "yds", "disc"], ["id", "data_src"]))
 
 
@@ -348,12 +349,13 @@ def board(spark, sf):
     return boards.consensus_table(staged(scored(spark, sf), "scored"), weights(spark), baselines(spark, sf))
 
 
-_PUBLISHED: dict[tuple[str, str], str] = {}
+#: Boards that this session has published, by the files they were made from.
+_PUBLISHED: dict[tuple, str] = {}
 
 
 def published_board(spark, sf):
-    """The weighted board, built and published once in a session for a folder of tables; the queries on it only read it."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The weighted board, built and published once in a session for the tables as they are; the queries on it only read it."""
+    key = (spark.sparkContext.applicationId, sf, publish.stamps(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "part", "supplier")]))
     if key not in _PUBLISHED:
         path = f"{shared_dir(spark)}/{RUN}/published-{len(_PUBLISHED)}"
         publish.publish({"board": consensus.one_method(board(spark, sf))}, path, order={"board": ["rank"]})
@@ -572,6 +574,35 @@ def live_board(spark, sf):
     return live.overlay(published_board(spark, sf), scope.latest_holder(picks(spark, sf))).select("pos", "id", "points_vor", "manager")
 
 
+def _streamed(spark, sf) -> tuple:
+    """Pick events of the table as a stream, and a new folder for its state."""
+    where = f"{shared_dir(spark)}/{RUN}/stream-{uuid.uuid4().hex}"
+    return live.read_picks(spark, f"{sf}/events*.parquet", table(spark, sf, "events").schema), where
+
+
+@query("with " + PICKS + ", l as (select entity, max((ts, pick)) as last from picks group by entity) select held.entity, manager, (last)[2] as pick, true as new from held join l using (entity)")
+def streamed_holders(spark, sf):
+    """The holders' table that a stream keeps by keyed state, and the change feed of its first batch."""
+    rows, where = _streamed(spark, sf)
+    state = live.Holders(spark, f"{where}/state")
+    state.start(rows, f"{where}/checkpoint").awaitTermination()
+    new = state.new().select("entity", F.lit(True).alias("new"))
+    return state.table().join(new, "entity", "left").select("entity", "manager", "pick", F.coalesce("new", F.lit(False)).alias("new"))
+
+
+@query(SQL["live_board"])
+def streamed_board(spark, sf):
+    """live_board kept by a running query: first beside half of the board, then the whole board is published."""
+    rows, where = _streamed(spark, sf)
+    board = published_board(spark, sf)
+    publish.publish({"board": board.filter("id % 2 = 0")}, f"{where}/published")
+    state = live.LiveBoard(spark, where, f"{where}/published")
+    state.start(rows, f"{where}/checkpoint").awaitTermination()
+    publish.publish({"board": board}, f"{where}/published")
+    state.update(spark.createDataFrame([], live.CHANGES), state.says()["batch"] + 1)
+    return state.table().select("pos", "id", "points_vor", "manager")
+
+
 @query(LINES + ONE + "select pos, id, points_vor from one order by 3 desc, id limit 25")
 def top_n(spark, sf):
     return published_board(spark, sf).select("pos", "id", "points_vor").orderBy(F.col("points_vor").desc(), "id").limit(25)

@@ -224,7 +224,7 @@ def default_rules(spark, sf):
 r as (select case when max(case when att is not null and rush_yds = 0 then 1 else 0 end) = 1 then null else avg(case when att is not null then att / nullif(rush_yds, 0) end) end as rate, avg(att) as mean from k where pos = 'QB'),
 a as (select *, coalesce(att, case when rate is not null then rate * rush_yds else mean end) as c, greatest(1, coalesce(games, 17)) as g from k, r)
 select l_orderkey, l_linenumber, pos, round(case when pos = 'QB' then greatest(0, pass_yds * 0.0483) end, 9) as pass_fd,
-  round(coalesce(fd, case pos when 'RB' then rush_yds * 0.0508 when 'QB' then c * case when c / g < 2 then 0.261 when c / g <= 4 then 0.342 else 0.378 end end), 9) as rush_fd,
+  round(coalesce(fd, case pos when 'RB' then rush_yds * 0.0508 when 'QB' then c * case when round(c / g, 9) < 2 then 0.261 when round(c / g, 9) <= 4 then 0.342 else 0.378 end end), 9) as rush_fd,
   round(case pos when 'RB' then rec_yds * 0.045 when 'TE' then rec_yds * 0.0503 end, 9) as rec_fd from a""")
 def scored_first_downs(spark, sf):
     """First downs only where the rules score them: all three kinds, the passer's runs by games of a table."""

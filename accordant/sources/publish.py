@@ -2,53 +2,127 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Versions that `vacuum` leaves: readers of the last one go on while the next is committed.
+KEEP = 2
 
-def publish(tables: dict[str, DataFrame], path: str, partition: dict[str, str] | None = None, order: dict[str, list[str]] | None = None) -> dict[str, int]:
-    """Replaces the snapshot under path and returns rows per table, counted while they are written.
 
-    All tables go to a new version first; a pointer beside them names it once they are complete, so that readers see the
-    whole old or the whole new snapshot, and a failed run leaves the old one. `order` sorts rows within files for lookups.
-    """
-    out, version = {}, uuid.uuid4().hex
-    for name, df in tables.items():
-        seen = Observation(name)
-        df = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        by, sort = (partition or {}).get(name), (order or {}).get(name, [])
-        if by or sort:
-            df = df.sortWithinPartitions(*([by] if by else []), *sort)
-        writer = df.write.partitionBy(by) if by else df.write
-        writer.parquet(f"{path}/{version}/{name}")
-        out[name] = seen.get["n"]
-    spark = next(iter(tables.values())).sparkSession
-    point_to(spark, path, version)
-    return out
+class Conflict(RuntimeError):
+    """Another writer has committed the version that this one was based on the predecessor of."""
+
+
+def _at(spark: SparkSession, path: str):
+    """The file system of path, in any store that Spark reads, and the path in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def point_to(spark: SparkSession, path: str, version: str) -> None:
-    """Adds a pointer; the newest by its number counts, so a reader never meets a missing one."""
-    n = current(spark, path)[1] + 1
-    spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").parquet(f"{path}/pointers")
+def stamps(spark: SparkSession, paths: list[str]) -> tuple:
+    """Files under the paths with size and time of change: differs when a table has been written again."""
+    out = []
+    for path in paths:
+        fs, where = _at(spark, path)
+        found = list(fs.listStatus(where)) if fs.exists(where) else []
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    return tuple(sorted(out))
 
 
-def current(spark: SparkSession, path: str) -> tuple[str | None, int]:
-    """The version that is published under path and its number; None and -1 before the first."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers under which something was committed, in order."""
+    fs, where = _at(spark, f"{path}/_versions")
+    if not fs.exists(where):
+        return []
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit())
+
+
+def _read(spark: SparkSession, path: str, number: int) -> dict | None:
+    """What a version says; None for one that its writer did not complete."""
+    fs, where = _at(spark, f"{path}/_versions/{number:012d}")
+    stream = fs.open(where)
     try:
-        row = spark.read.schema("n long, version string").parquet(f"{path}/pointers").orderBy(F.col("n").desc()).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        row = None
-    return (row.version, row.n) if row else (None, -1)
+        text = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return json.loads(text) if text.endswith("\n") else None
+
+
+def manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number of the last version under path and what it says (table -> folder, and facts); -1 and nothing before the first."""
+    numbers = versions(spark, path)
+    for number in reversed(numbers):
+        if (found := _read(spark, path, number)) is not None:
+            return numbers[-1], found
+    return (numbers[-1] if numbers else -1), {}
+
+
+def commit(spark: SparkSession, path: str, number: int, says: dict) -> None:
+    """Makes `says` version `number`; of several writers of one number the first succeeds, the others get Conflict.
+
+    The file is created only if it is not there, which the store decides, and counts once its last line is complete.
+    """
+    fs, where = _at(spark, f"{path}/_versions/{number:012d}")
+    try:
+        stream = fs.create(where, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName() or fs.exists(where):
+            raise Conflict(f"version {number} of {path} is there") from error
+        raise
+    stream.write((json.dumps(says) + "\n").encode())
+    stream.close()
+
+
+def write(df: DataFrame, path: str, by: str | None = None, sort: list[str] | None = None) -> tuple[str, int]:
+    """Writes a table of a new version under path; its folder, and its rows as they were counted while they were written."""
+    folder, seen = uuid.uuid4().hex, Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    if by or sort:
+        df = df.sortWithinPartitions(*([by] if by else []), *(sort or []))
+    (df.write.partitionBy(by) if by else df.write).parquet(f"{path}/{folder}")
+    return folder, seen.get["n"]
+
+
+def publish(tables: dict[str, DataFrame], path: str, partition: dict[str, str] | None = None, order: dict[str, list[str]] | None = None, carry: bool = False, facts: dict | None = None) -> dict[str, int]:
+    """Replaces the snapshot under path and returns rows per table.
+
+    All tables go to new folders first; one version file names them once they are complete, so that readers see the
+    whole old or the whole new snapshot, and a failed run leaves the old one. With `carry` the other tables of the last
+    version stay in the new one, for a refresh of some tables as one commit. A writer whose version another one has taken
+    meanwhile gets Conflict, and nothing of it is seen. `order` sorts rows within files for lookups; `facts` go with the version.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    number, held = manifest(spark, path)
+    says, out = {**(held if carry else {}), **(facts or {})}, {}
+    for name, df in tables.items():
+        says[name], out[name] = write(df, path, (partition or {}).get(name), (order or {}).get(name, []))
+    commit(spark, path, number + 1, says)
+    return out
 
 
 def published(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{current(spark, path)[0]}/{name}")
+    return spark.read.parquet(f"{path}/{manifest(spark, path)[1][name]}")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = KEEP) -> int:
+    """Removes all versions but the last `keep`, and folders that none of these names; returns how many folders went.
+
+    Folders that are being written belong to no version yet; so only one writer may vacuum, after its own commit.
+    """
+    fs, where = _at(spark, path)
+    numbers = versions(spark, path)
+    left = [v for v in (_read(spark, path, n) for n in numbers[-keep:]) if v]
+    named = json.dumps(left)
+    for number in numbers[:-keep]:
+        fs.delete(_at(spark, f"{path}/_versions/{number:012d}")[1], False)
+    gone = [f.getPath() for f in fs.listStatus(where) if f.isDirectory() and not f.getPath().getName().startswith("_") and f.getPath().getName() not in named]
+    for folder in gone:
+        fs.delete(folder, True)
+    return len(gone)
 
 
 def as_views(tables: dict[str, DataFrame]) -> None:

@@ -7,6 +7,8 @@ import random
 import statistics
 import subprocess
 import sys
+import threading
+import time
 from pathlib import Path
 
 import duckdb
@@ -158,7 +160,7 @@ def test_live_state_equals_batch(spark, sf, tmp_path, files):
         own = rows.filter("event_type = 'purchase'").select(F.get_json_object("props", "$.k").cast("long").alias("entity"), F.col("user_id").alias("manager"), F.col("event_id").alias("pick"), "ts")
         state.update(own, k)
         state.update(own, k)
-        assert state.version()[1] == k
+        assert state.version() == k
         # a new object goes on where the last one stopped
         state = live.Holders(spark, f"{tmp_path}/state")
     want = {(r.entity, r.manager) for r in scope.latest_holder(queries.picks(spark, sf)).collect()}
@@ -280,6 +282,102 @@ def test_stream_run(spark, sf, tmp_path):
     state.start(live.read_picks(spark, f"{tmp_path}/in", schema), f"{tmp_path}/check").awaitTermination()
     assert {(r.entity, r.manager) for r in state.table().collect()} == {(r.entity, r.manager) for r in scope.latest_holder(queries.picks(spark, sf)).collect()}
     assert live.freshness(state.table(), 1.0).first().stale
+    # nothing new has landed: a restart runs no batch; then late and new picks
+    state.start(live.read_picks(spark, f"{tmp_path}/in", schema), f"{tmp_path}/check").awaitTermination()
+    held = {r.entity: r for r in state.table().collect()}
+    old, top = next(iter(held.values())), max(r.ts for r in held.values())
+    fields = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    more = [(10**9, top + datetime.timedelta(days=1), 77, "purchase", 1.0, '{"k": %d}' % old.entity), (10**9 + 1, top + datetime.timedelta(hours=2), 78, "purchase", 1.0, '{"k": 123456789}'), (10**9 + 2, top + datetime.timedelta(minutes=1), 79, "purchase", 1.0, '{"k": %d}' % old.entity), (10**9 + 1, top + datetime.timedelta(hours=2), 78, "purchase", 1.0, '{"k": 123456789}')]
+    spark.createDataFrame(more, fields).select(*schema.names).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    again = live.Holders(spark, f"{tmp_path}/state")
+    again.start(live.read_picks(spark, f"{tmp_path}/in", schema), f"{tmp_path}/check").awaitTermination()
+    assert sorted((r.entity, r.manager) for r in again.last().collect()) == sorted([(old.entity, 77), (123456789, 78)])
+    assert [r.entity for r in again.new().collect()] == [123456789]
+    assert {r.entity: r.manager for r in again.table().collect()} == {**{e: r.manager for e, r in held.items()}, old.entity: 77, 123456789: 78}
+
+
+def test_feed_costs_its_batches_and_clears_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 3)
+    feed = live.Feed(spark, str(tmp_path), ["k"], "k long, v long")
+    want = {}
+    for n in range(8):
+        rows = [(k, 10 * n + k) for k in range(n % 4 + 1)]
+        want |= dict(rows)
+        assert feed.append(spark.createDataFrame(rows, "k long, v long"), n)
+        assert not feed.append(spark.createDataFrame([(0, -1)], "k long, v long"), n)
+        assert {r.k: r.v for r in feed.table().collect()} == want
+        assert {r.k: r.v for r in feed.last().collect()} == dict(rows)
+        says = feed.says()
+        assert len(says["changes"]) < 3 and says["batch"] == n
+    assert len([p for p in tmp_path.iterdir() if not p.name.startswith("_")]) <= 6
+    assert len(publish.versions(spark, str(tmp_path))) <= 5
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    path = str(tmp_path)
+    publish.publish({"ownership": spark.range(3), "order": spark.range(5)}, path, facts={"stamp": 1})
+    # both read version 0, both want to be version 1
+    number, says = publish.manifest(spark, path)
+    publish.publish({"ownership": spark.range(4)}, path, carry=True, facts={"stamp": 2})
+    with pytest.raises(publish.Conflict):
+        publish.commit(spark, path, number + 1, {**says, "stamp": 3})
+    number, says = publish.manifest(spark, path)
+    assert (number, says["stamp"]) == (1, 2)
+    assert publish.published(spark, path, "ownership").count() == 4 and publish.published(spark, path, "order").count() == 5
+    results = []
+
+    def write(n):
+        try:
+            publish.commit(spark, path, 2, {**says, "stamp": n})
+            results.append(n)
+        except publish.Conflict:
+            pass
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(results) == 1 and publish.manifest(spark, path)[1]["stamp"] == results[0]
+    # a writer that died in the middle of its version is passed over
+    (tmp_path / "_versions" / f"{3:012d}").write_text('{"ownership": ')
+    assert publish.manifest(spark, path) == (3, {**says, "stamp": results[0]})
+    publish.publish({"order": spark.range(6)}, path, carry=True)
+    assert publish.vacuum(spark, path, 1) >= 1 and publish.published(spark, path, "ownership").count() == 4
+
+
+def test_live_board_follows_a_new_board(spark, tmp_path):
+    row = lambda *r: spark.createDataFrame(r, live.CHANGES)
+    day = lambda d: datetime.datetime(2024, 1, d)
+    put = lambda *r: publish.publish({"board": spark.createDataFrame(r, "pos string, id long, points double")}, f"{tmp_path}/b")
+    put(("a", 1, 5.0), ("a", 2, 4.0))
+    state = live.LiveBoard(spark, f"{tmp_path}/live", f"{tmp_path}/b")
+    seen = lambda: {(r.id, r.points, r.manager) for r in state.table().collect()}
+    state.update(row((1, 7, 1, day(1), True)), 0)
+    assert seen() == {(1, 5.0, 7), (2, 4.0, None)}
+    state.update(row((2, 8, 2, day(2), True)), 1)
+    state.update(row((2, 9, 2, day(2), True)), 1)  # again
+    assert seen() == {(1, 5.0, 7), (2, 4.0, 8)} and len(state.says()["changes"]) == 1
+    put(("a", 1, 6.0), ("a", 3, 3.0))
+    state.update(row((1, 9, 3, day(3), False), (3, 9, 4, day(3), True)), 2)
+    assert seen() == {(1, 6.0, 9), (3, 3.0, 9)} and state.says()["changes"] == []
+
+
+def test_freshness_of_queries(spark, sf, tmp_path):
+    watch = live.Freshness(1.0)
+    spark.streams.addListener(watch)
+    try:
+        rows = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events*.parquet")
+        rows.writeStream.queryName("scope_a").format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if "scope_a" in watch.last:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watch)
+    last = watch.last["scope_a"]
+    assert not watch.stale("scope_a", last + datetime.timedelta(seconds=9)) and watch.stale("scope_a", last + datetime.timedelta(seconds=11))
+    assert watch.stale("other", last)
+    watch.poll_seconds = 5.0
+    assert not watch.stale("scope_a", last + datetime.timedelta(seconds=19)) and watch.stale("scope_a", last + datetime.timedelta(seconds=21))
 
 
 @pytest.mark.parametrize("gone", ["accordant.llm", "corpus_pipeline"])
