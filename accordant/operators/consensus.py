@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accordant.functions.select import medians
 from accordant.functions.stats import hodges_lehmann, mad, weighted_bounds
+from accordant.sources.stage import sized, small, staged
 
 KEYS = ("pos", "id")
 #: Half the width of a 90 % interval in standard deviations.
@@ -29,9 +31,9 @@ def robust(scored: DataFrame) -> DataFrame:
 
 def with_weights(scored: DataFrame, weights: DataFrame) -> DataFrame:
     """scored with w from weights(data_src, weight); a group in which no weight is positive weighs all alike."""
-    known = scored.join(F.broadcast(weights), "data_src", "left").withColumn("w", F.coalesce("weight", F.lit(0.0)))
+    known = scored.join(sized(weights), "data_src", "left").withColumn("w", F.coalesce("weight", F.lit(0.0)))
     some = known.groupBy("pos").agg(F.max(F.col("w") > 0).alias("some"))
-    return known.join(F.broadcast(some), "pos").withColumn("w", F.when(F.col("some"), F.col("w")).otherwise(1.0)).drop("some", "weight")
+    return known.join(small(some), "pos").withColumn("w", F.when(F.col("some"), F.col("w")).otherwise(1.0)).drop("some", "weight")
 
 
 def weighted(scored: DataFrame, weights: DataFrame, quantiles: bool = True) -> DataFrame:
@@ -55,9 +57,10 @@ def weighted(scored: DataFrame, weights: DataFrame, quantiles: bool = True) -> D
 
 def borrow_spread(summary: DataFrame, group: tuple[str, ...] = ("pos",)) -> DataFrame:
     """Entities of one source without a spread take the median spread of entities with several."""
-    typical = summary.groupBy(*group).agg(F.median(F.when(F.col("sources") > 1, F.col("sd_pts"))).alias("typical"))
+    summary = staged(summary)
+    typical = medians(summary.filter("sources > 1"), list(group), "sd_pts", "typical")
     solo = (F.col("sources") == 1) & F.col("sd_pts").isNull() & F.col("typical").isNotNull()
-    out = summary.join(F.broadcast(typical), list(group))
+    out = summary.join(small(typical), list(group), "left")
     half = HALF_WIDTH * F.col("typical")
     new = {"floor": F.greatest(F.lit(0.0), F.col("points") - half), "ceiling": F.col("points") + half, "sd_pts": F.col("typical")}
     return out.withColumns({c: F.when(solo, v).otherwise(F.col(c)) for c, v in new.items()}).drop("typical")

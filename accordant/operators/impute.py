@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions.select import medians, quantiles
+from accordant.sources.stage import small
+
 ENTITY = ("pos", "id")
 
 
@@ -42,7 +45,7 @@ def group_rates(df: DataFrame, metric: str, reference: Column, name: str = "grou
 
 def group_rate_fill(df: DataFrame, metric: str, reference: str) -> DataFrame:
     """rate_fill with the group's rate for entities that no source covers."""
-    joined = df.join(F.broadcast(group_rates(df, metric, F.col(reference))), "pos")
+    joined = df.join(small(group_rates(df, metric, F.col(reference))), "pos")
     return rate_fill(joined, metric, reference, F.col("group_rate")).drop("group_rate")
 
 
@@ -50,7 +53,7 @@ def touch_rate_fill(df: DataFrame, metric: str, touches: list[str]) -> DataFrame
     """Gaps get the group's rate per touch times the row's touches (null if it has none)."""
     any_ = F.coalesce(*touches).isNotNull()
     touch = F.when(any_, sum((F.coalesce(F.col(c), F.lit(0.0)) for c in touches[1:]), F.coalesce(F.col(touches[0]), F.lit(0.0))))
-    joined = df.join(F.broadcast(group_rates(df, metric, touch)), "pos")
+    joined = df.join(small(group_rates(df, metric, touch)), "pos")
     return joined.withColumn(metric, F.coalesce(metric, touch * F.col("group_rate"))).drop("group_rate")
 
 
@@ -59,12 +62,11 @@ def decile_fill(df: DataFrame, metric: str, by: str) -> DataFrame:
 
     Deciles are cut at the group's exact quantiles, right-closed, equal cuts merged; rows without `by` are a bucket.
     """
-    cuts = df.groupBy("pos").agg(F.percentile(by, [k / 10 for k in range(11)]).alias("cuts"))
+    cuts = quantiles(df, ["pos"], by, [k / 10 for k in range(11)], "cuts")
     inner = F.filter(F.array_distinct("cuts"), lambda e: e < F.col(by))
-    placed = df.join(F.broadcast(cuts), "pos").withColumn("bucket", F.when(F.col(by).isNull(), -1).otherwise(F.greatest(F.size(inner) - 1, F.lit(0))))
-    near = placed.groupBy("pos", "bucket").agg(F.median(metric).alias("near"))
-    whole = df.groupBy("pos").agg(F.median(metric).alias("whole"))
-    out = placed.join(F.broadcast(near), ["pos", "bucket"]).join(F.broadcast(whole), "pos")
+    placed = df.join(small(cuts), "pos", "left").withColumn("bucket", F.when(F.col(by).isNull(), -1).otherwise(F.greatest(F.size(inner) - 1, F.lit(0))))
+    near, whole = medians(placed, ["pos", "bucket"], metric, "near"), medians(df, ["pos"], metric, "whole")
+    out = placed.join(small(near), ["pos", "bucket"], "left").join(small(whole), "pos", "left")
     return out.withColumn(metric, F.coalesce(metric, "near", "whole")).drop("cuts", "bucket", "near", "whole")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions.select import medians
+from accordant.sources.stage import small, staged
+
 
 def null_rank(value: str, by: list[str]) -> Column:
     """Dense rank, highest first; nulls have none."""
@@ -55,8 +58,9 @@ def rank_and_tier(table: DataFrame, thresholds: dict[str, float], default: float
     one, two = F.lead("points", 1).over(w), F.lead("points", 2).over(w)
     table = table.withColumn("dropoff", F.coalesce(F.col("points") - (one + F.coalesce(two, one)) / 2, F.lit(0.0)))
     scale = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in thresholds.items() for v in kv]), F.col("pos")), F.lit(default)) if thresholds else F.lit(default)
-    stats = table.groupBy(*group).agg(F.median("sd_pts").alias("typical"), F.max("points").alias("best"))
-    table = table.join(stats, group).withColumn("step", F.col("typical") * scale)
+    table = staged(table)
+    stats = table.groupBy(*group).agg(F.max("points").alias("best")).join(medians(table, group, "sd_pts", "typical"), group, "left")
+    table = table.join(small(stats), group).withColumn("step", F.col("typical") * scale)
     fallen = ((F.col("best") - F.col("points")) / F.col("step")).cast("bigint")
     table = table.withColumn("fallen", F.when(F.col("step") > 0, fallen).otherwise(0))
     return table.withColumn("tier", F.dense_rank().over(Window.partitionBy(*group).orderBy("fallen"))).drop("fallen", "step", "typical", "best")
@@ -76,12 +80,17 @@ def over_replacement(table: DataFrame, baselines: DataFrame, defaults: dict[str,
     defaults = DEFAULT_BASELINES if defaults is None else defaults
     known = F.element_at(F.create_map(*[F.lit(v) for kv in defaults.items() for v in kv]), F.col("pos")) if defaults else F.lit(None).cast("int")
     table = table.join(baselines, "pos", "left").withColumn("baseline", F.coalesce("baseline", known, F.lit(1)))
-    for c in ("points", "floor", "ceiling"):
-        table = table.withColumn(f"{c}_rank", null_rank(c, group))
-    best = table.groupBy(*group).agg(*[F.coalesce(F.max(F.when(F.col(f"{c}_rank") > F.col("baseline"), F.col(c))), F.min(c)).alias(f"{c}_base") for c in ("points", "floor", "ceiling")])
-    table = table.join(best, group)
-    table = table.withColumns({f"{c}_vor": F.col(c) - F.col(f"{c}_base") for c in ("points", "floor", "ceiling")})
-    table = table.drop("baseline", *[f"{c}{s}" for c in ("points", "floor", "ceiling") for s in ("_rank", "_base")])
+    names = ("points", "floor", "ceiling")
+    most = table.agg(F.max("baseline")).first()[0] or 1
+    # one row a value before they are ranked, and of these the first of each group only: a task gives most + 1 rows a group
+    values = table.select(*group, "baseline", F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("value")) for c in names])).alias("v")).select(*group, "baseline", "v.*")
+    values = values.filter("value is not null").groupBy(*group, "of", "value").agg(F.max("baseline").alias("baseline"))
+    first = F.row_number().over(Window.partitionBy(*group, "of").orderBy(F.col("value").desc()))
+    beyond = values.withColumn("n", first).filter(F.col("n") <= int(most) + 1).filter("n > baseline").groupBy(*group, "of").agg(F.max("value").alias("base"))
+    worst = values.groupBy(*group, "of").agg(F.min("value").alias("worst"))
+    base = worst.join(beyond, [*group, "of"], "left").groupBy(*group).agg(*[F.max(F.when(F.col("of") == c, F.coalesce("base", "worst"))).alias(f"{c}_base") for c in names])
+    table = table.join(small(base), group, "left")
+    table = table.withColumns({f"{c}_vor": F.col(c) - F.col(f"{c}_base") for c in names}).drop("baseline", *[f"{c}_base" for c in names])
     return table
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordant.functions import stats
+from accordant.functions import select, stats
 from accordant.operators import board, clean, consensus, impute, rank, scope, score, settings
 from accordant.plans import cleaning, people, queries, rules  # noqa: F401
 from accordant.sources import payloads, publish, readers
@@ -414,3 +414,19 @@ def test_all_rules_and_whole_sorts(spark, sf):
         want = sorted(rows, key=lambda r: (r.qty is None, sign * (r.qty or 0), r.id, r.data_src))
         assert [(r.id, r.data_src, r.qty) for r in queries.QUERIES[name](spark, sf).collect()] == [(r.id, r.data_src, r.qty) for r in want]
         assert want[-1].qty is None
+
+
+@pytest.mark.parametrize("parts", [4, 64])
+def test_selected_quantiles_are_exact(spark, monkeypatch, parts):
+    """By ranges as by one buffer: one group that holds nearly all rows, many ties, tiny groups, groups without a value."""
+    monkeypatch.setattr(select, "PARTS", parts)
+    draw = random.Random(2)
+    rows = [("big", draw.choice([draw.gauss(0, 1), float(draw.randrange(5)), 7.0])) for _ in range(20_000)] + [("one", 3.0), ("two", 1.0), ("two", 4.0), ("none", None), ("same", 2.5), ("same", 2.5)]
+    df = spark.createDataFrame(rows, "pos string, v double").repartition(5)
+    shares = [0.0, 0.05, 0.1, 0.5, 0.77, 0.95, 1.0]
+    want = {r.pos: r.q for r in select.quantiles(df, ["pos"], "v", shares).collect()}
+    monkeypatch.setattr(select, "WHOLE", 10)
+    got = {r.pos: r.q for r in select.quantiles(df, ["pos"], "v", shares).collect()}
+    assert set(got) == {"big", "one", "two", "same"} and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
+    assert select.quantiles(df.limit(0), ["pos"], "v", shares).count() == 0
