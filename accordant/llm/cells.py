@@ -77,23 +77,23 @@ def met(pairs: DataFrame, cells: DataFrame, ratio: tuple[int, int]) -> DataFrame
 def links(members: DataFrame, compare: Callable[[DataFrame], DataFrame], ratio: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between nodes that share a bucket, and the classes (node, label) that they form.
 
-    members(bucket, node, mass): mass is the sum of the sizes of a node's buckets. compare gives (node, lead, n, n_lead,
-    diff) of pairs(node, lead). Only links that join different classes at the time are looked for, so the links are not
+    members(bucket, node, mass): mass is the sum of the sizes of a node's buckets. compare gives pairs(node, lead, mass)
+    with n, n_lead and diff. Only links that join different classes at the time are looked for, so the links are not
     all there are; the classes are.
     """
     lead = members.groupBy("bucket").agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("lead"))
     pairs = materialize(members.join(lead, "bucket").filter("node <> lead").groupBy("node", "lead").agg(F.first("mass").alias("mass")))
-    tried = materialize(compare(pairs.select("node", "lead")))
+    tried = materialize(compare(pairs))
     verified = tried.filter(alike(F.size("diff"), F.col("n"), F.col("n_lead"), ratio)).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     labels = components(verified)
 
     def cells(of: DataFrame) -> DataFrame:
-        """The cells that still hold several classes, with their labels."""
+        """The cells that still hold several classes, with their labels; a cell of one node has no pair left to look for."""
         known = labelled(labelled(of, labels), labels, "lead", "lead_label").withColumn("other", F.col("label") != F.col("lead_label")).drop("lead_label")
-        open_ = known.groupBy("lead").agg(F.max("other").alias("open")).filter("open").select("lead")
+        open_ = known.groupBy("lead").agg(F.max("other").alias("open"), F.count("*").alias("nodes")).filter("open and nodes > 1").select("lead")
         return materialize(known.join(open_, "lead"))
 
-    open_, spent = cells(tried.join(pairs, ["node", "lead"]).select("lead", "node", "mass", "n", "diff")), None
+    open_, spent = cells(tried.select("lead", "node", "mass", "n", "diff")), None
     while True:
         others = open_.filter("other")
         n = others.count()

@@ -129,20 +129,21 @@ def signed(docs: DataFrame) -> DataFrame:
     return over_texts(rows, run, "digest binary, n long, block int, own int, below int, least array<long>", ["doc_id", "key"], SLICE_CHARS)
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """rows(node, q, block, own, below, token) of tokens that several nodes have, with `place`; nodes that no list needs are left out."""
+def placed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows(node, token) of tokens that several nodes have, with block, own, below and `place`; nodes(node, q, block, own, below) that no list needs are left out."""
     times = rows.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
-    shared, node = rows.join(times, "token"), Window.partitionBy("node")
+    shared, node = rows.join(times, "token").join(sized(nodes), "node"), Window.partitionBy("node")
     place = F.col("q") - F.count("*").over(node) + F.row_number().over(node.orderBy("times", "token")) - 1
     first = F.min("place").over(node)
-    return shared.withColumn("place", place).withColumn("first", first).filter("first < greatest(own, below)").drop("times", "first")
+    return shared.withColumn("place", place).withColumn("first", first).filter("first < greatest(own, below)").drop("times", "first", "q")
 
 
-def index_lists(nodes: DataFrame) -> DataFrame:
-    """members(bucket, node, mass) of nodes(node, n, block, own, below, least): a bucket is the list of a token and a block."""
-    rows = nodes.select("node", "block", "own", "below", F.size("least").alias("q"), F.explode("least").alias("token"))
-    kept = materialize(placed(rows).drop("place"))
-    kept = placed(kept)
+def index_lists(heads: DataFrame) -> DataFrame:
+    """members(bucket, node, mass) of heads(node, block, own, below, least): a bucket is the list of a token and a block."""
+    nodes = materialize(heads.select("node", F.size("least").alias("q"), "block", "own", "below"))
+    # a posting is two numbers when it is dealt; what belongs to its node comes back to the few that several nodes share
+    kept = materialize(placed(heads.select("node", F.explode("least").alias("token")), nodes).select("node", "token"))
+    kept = placed(kept, nodes)
     blocks = F.array_compact(F.array(F.when(F.expr("place < own"), F.col("block")), F.when(F.expr("place < below"), F.col("block") - 1)))
     # lists of one hash would only be looked at together
     lists = materialize(kept.select("node", "token", F.explode(blocks).alias("in")).select("node", F.xxhash64("token", "in").alias("bucket")))
@@ -159,16 +160,16 @@ def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         return {"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in own], "set": [s.view("i8") for s in own]}
 
     key = F.xxhash64("text")
-    texts = docs.join(sized(nodes.select("key").distinct()), key == F.col("key"), "left_semi").select("text").distinct()
+    texts = docs.join(sized(nodes.select("key").distinct()), key == F.col("key"), "left_semi").select("text")
     made = over_texts(texts, run, "digest binary, set array<long>", [], SLICE_CHARS)
     return made.join(sized(nodes.select("node", "digest")), "digest").groupBy("node").agg(F.first("set").alias("set")).withColumn("n", F.size("set"))
 
 
 def compared(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """(node, lead, n, n_lead, diff) of pairs(node, lead); of(node, n, set)."""
+    """pairs(node, lead, mass) with n, n_lead, diff; of(node, n, set)."""
     one = pairs.join(of.select("node", "n", F.col("set").alias("a")), "node")
     two = one.join(of.select(F.col("node").alias("lead"), F.col("n").alias("n_lead"), F.col("set").alias("b")), "lead")
-    return two.select("node", "lead", "n", "n_lead", F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("diff"))
+    return two.select("node", "lead", "mass", "n", "n_lead", F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("diff"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -141,7 +141,7 @@ def difference(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, list
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, lead, n, n_lead, diff) of pairs(node, lead): numbers of shingles, and the difference as tokens; texts(node, text)."""
+    """pairs(node, lead, mass) with n, n_lead, diff: numbers of shingles, and the difference as tokens; texts(node, text)."""
 
     def run(own: list[str], lead: list[str]) -> dict:
         n, n_lead, diff = difference(own, lead)
@@ -149,7 +149,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = pairs.join(texts, "node")
     two = one.join(texts.select(F.col("node").alias("lead"), F.col("text").alias("text_lead")), "lead")
-    return over_texts(two, run, "n int, n_lead int, diff array<long>", ["node", "lead"], SLICE_CHARS, ("text", "text_lead"))
+    return over_texts(two, run, "n int, n_lead int, diff array<long>", ["node", "lead", "mass"], SLICE_CHARS, ("text", "text_lead"))
 
 
 def near_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
