@@ -3,7 +3,7 @@
 A stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents. Nulls, empty
 texts, repeated rows and empty tables have the results that each operator's docstring states: texts that are null, empty or
 without a letter are rejected by the first stage, rows without doc_id stay unless they are copies, and an empty table gives
-an empty one.
+an empty one. Further columns of any name, also of one that an operator uses, come through all stages but the last.
 """
 
 from __future__ import annotations
