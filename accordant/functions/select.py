@@ -22,14 +22,18 @@ def between(at: Column, low: Column, high: Column) -> Column:
     return F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
 
+def largest(rows: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group; rows are read for it, so they should be a stage or a table."""
+    return rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], name: str = "q") -> DataFrame:
     """(by..., name): the array of `percentile` of the value at the shares, for every group with a value that is not null.
 
     Where no group is large this is one aggregation; otherwise `selected`. Both are exact. by has no nulls.
     """
     known = rows.filter(F.col(value).isNotNull())
-    largest = known.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= WHOLE:
+    if largest(known, by) <= WHOLE:
         return known.groupBy(*by).agg(F.percentile(value, shares).alias(name))
     return selected(known, by, value, shares, name)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.sources.stage import sized, staged
+
 #: Texts that mean "no value".
 BLANKS = ("", "-", "--", "—", "–", "NA", "N/A", "None", "null")
 
@@ -166,6 +168,26 @@ def drop_constant_text(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in text if n[c] is not False])
 
 
+def column_kinds(cells: DataFrame, frame: list[str]) -> DataFrame:
+    """(frame..., column, is_number, kept) of cells(frame..., column, value): the decisions of numeric_columns, drop_empty_columns and
+    drop_constant_text for all frames at once, from one aggregation.
+
+    A column is a number if it has values and all are numbers; it is dropped if it has no value, or is text of one value.
+    """
+    v = blank_to_null(F.col("value"))
+    found = cells.groupBy(*frame, "column").agg(F.count(v).alias("n"), F.count_if(v.isNotNull() & number(v).isNull()).alias("bad"), (F.min(v) < F.max(v)).alias("varies"))
+    is_number = (F.col("n") > 0) & (F.col("bad") == 0)
+    return found.select(*frame, "column", is_number.alias("is_number"), ((F.col("n") > 0) & (is_number | F.coalesce("varies", F.lit(False)))).alias("kept"))
+
+
+def typed_cells(cells: DataFrame, frame: list[str]) -> DataFrame:
+    """cells(frame..., column, value, ...) of the kept columns that are not blank, with `number` in columns of numbers and `text` in the others."""
+    kinds = column_kinds(cells, frame).filter("kept").drop("kept")
+    v = blank_to_null(F.col("value"))
+    out = cells.join(sized(staged(kinds, "kinds")), [*frame, "column"]).withColumns({"number": F.when(F.col("is_number"), number(v)), "text": F.when(~F.col("is_number"), v)})
+    return out.filter("number is not null or text is not null").drop("value", "is_number")
+
+
 def split_total(total: str, a: str, b: str) -> tuple[Column, Column]:
     """A combined total divided by the shares of a and b; yardages of 0 give all to b, none at all gives null."""
     both = F.nullif(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)), F.lit(0.0))

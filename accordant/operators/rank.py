@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.functions import select
 from accordant.functions.select import medians
 from accordant.sources.stage import small, staged
 
@@ -42,6 +43,35 @@ def spread_rank(table: DataFrame, value: str, by: list[str], name: str = "rank",
     return placed.withColumn(name, F.when(F.col(value).isNotNull(), (F.col("__above") + own).cast("int"))).drop("__part", "__above")
 
 
+def ladder(table: DataFrame, value: str, by: list[str], parts: int = PARTS) -> DataFrame:
+    """(by..., value, __count, __total, __rank, __above, __next): one row per distinct value of a group, for groups of any size.
+
+    __count rows have the value, __total the group, __above are higher; __rank is the dense rank from the top, __next the
+    next two lower values, each a struct of v and its rows c. Rows are counted by value first, so ties meet in no task.
+    Each group is cut in ranges at approximate quantiles of its values; a range is put in order by itself, and the sums
+    and the first two values of the ranges beside it are carried over its border. by has no nulls, null values are left out.
+    """
+    known = table.filter(F.col(value).isNotNull())
+    values = staged(known.groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c")))
+    cuts = F.array_distinct(F.approx_percentile("__v", [k / parts for k in range(1, parts)], 20 * parts))
+    groups = small(values.groupBy(*by).agg(cuts.alias("__cuts"), F.sum("__c").alias("__total")))
+    part = F.size(F.filter("__cuts", lambda e: e < F.col("__v")))
+    placed = values.join(groups, by).select(*by, "__v", "__c", "__total", part.alias("__part"))
+    own = Window.partitionBy(*by, "__part").orderBy(F.col("__v").desc())
+    pair = F.struct(F.col("__v").alias("v"), F.col("__c").alias("c"))
+    ordered = staged(placed.withColumns({"__n": F.row_number().over(own), "__upto": F.sum("__c").over(own), "__own": F.collect_list(pair).over(own.rowsBetween(1, 2))}))
+    ends = ordered.groupBy(*by, "__part").agg(F.max("__n").alias("__k"), F.max("__upto").alias("__rows"), F.sort_array(F.collect_list(F.when(F.col("__n") <= 2, pair)), asc=False).alias("__tops"))
+    # at most `parts` rows a group
+    across = Window.partitionBy(*by).orderBy(F.col("__part").desc())
+    higher = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = {"__ranks": F.coalesce(F.sum("__k").over(higher), F.lit(0)), "__more": F.coalesce(F.sum("__rows").over(higher), F.lit(0)), "__low": F.flatten(F.collect_list("__tops").over(across.rowsBetween(1, 2)))}
+    out = ordered.join(small(ends.select(*by, "__part", *[c.alias(n) for n, c in carried.items()])), [*by, "__part"])
+    return out.select(
+        *by, F.col("__v").alias(value), F.col("__c").alias("__count"), "__total", (F.col("__ranks") + F.col("__n")).cast("int").alias("__rank"), (F.col("__more") + F.col("__upto") - F.col("__c")).alias("__above"),
+        F.slice(F.concat("__own", "__low"), 1, 2).alias("__next"),
+    )
+
+
 def zscored(table: DataFrame, values: dict[str, str], by: list[str]) -> DataFrame:
     """table with a z-score per name of values (name -> column): one aggregation, joined back; null where the spread is 0 or unknown."""
     stats = table.groupBy(*by).agg(*[f(c).alias(f"__{k}_{name}") for name, c in values.items() for k, f in (("m", F.avg), ("s", F.stddev_samp))])
@@ -51,19 +81,42 @@ def zscored(table: DataFrame, values: dict[str, str], by: list[str]) -> DataFram
 
 
 def rank_and_tier(table: DataFrame, thresholds: dict[str, float], default: float = 1.0) -> DataFrame:
-    """pos_rank, dropoff (points above the mean of the next two, 0 for the last) and tier."""
+    """pos_rank, dropoff (points above the mean of the next two, 0 for the last) and tier; ids are unique in a group.
+
+    Windows by group while no group has more than select.WHOLE rows; beyond it ladders, with the same result.
+    """
     group = ["avg_type", "pos"]
+    scale = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in thresholds.items() for v in kv]), F.col("pos")), F.lit(default)) if thresholds else F.lit(default)
+    table = staged(table)
+    stats = table.groupBy(*group).agg(F.max("points").alias("best")).join(medians(table, group, "sd_pts", "typical"), group, "left")
+    stats = small(stats.withColumn("step", F.col("typical") * scale).drop("typical"))
+    fallen = F.when(F.col("step") > 0, ((F.col("best") - F.col("points")) / F.col("step")).cast("bigint")).otherwise(0)
+    if select.largest(table, group) > select.WHOLE:
+        return _spread_tiers(table, stats, fallen, group)
     w = Window.partitionBy(*group).orderBy(F.col("points").desc(), "id")
     table = table.withColumn("pos_rank", null_rank("points", group))
     one, two = F.lead("points", 1).over(w), F.lead("points", 2).over(w)
     table = table.withColumn("dropoff", F.coalesce(F.col("points") - (one + F.coalesce(two, one)) / 2, F.lit(0.0)))
-    scale = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in thresholds.items() for v in kv]), F.col("pos")), F.lit(default)) if thresholds else F.lit(default)
-    table = staged(table)
-    stats = table.groupBy(*group).agg(F.max("points").alias("best")).join(medians(table, group, "sd_pts", "typical"), group, "left")
-    table = table.join(small(stats), group).withColumn("step", F.col("typical") * scale)
-    fallen = ((F.col("best") - F.col("points")) / F.col("step")).cast("bigint")
-    table = table.withColumn("fallen", F.when(F.col("step") > 0, fallen).otherwise(0))
-    return table.withColumn("tier", F.dense_rank().over(Window.partitionBy(*group).orderBy("fallen"))).drop("fallen", "step", "typical", "best")
+    table = table.join(stats, group).withColumn("fallen", fallen)
+    return table.withColumn("tier", F.dense_rank().over(Window.partitionBy(*group).orderBy("fallen"))).drop("fallen", "step", "best")
+
+
+def _spread_tiers(table: DataFrame, stats: DataFrame, fallen: Column, group: list[str]) -> DataFrame:
+    """rank_and_tier by distinct values: of equal points only the two last ids are followed by lower ones."""
+    key = [*group, "points"]
+    steps = staged(ladder(table, "points", group).join(stats, group).withColumn("__left", -fallen))
+    tiers = ladder(steps.select(*group, "__left").distinct(), "__left", group).select(*group, "__left", F.col("__rank").alias("tier"))
+    ties = staged(table.groupBy(*key).agg(F.max("id").alias("__last"), F.min("id").alias("__first"), F.count("*").alias("__n")))
+    third = table.join(ties.filter("__n > 2"), key).filter(F.col("id") < F.col("__last")).groupBy(*key).agg(F.max("id").alias("__before"))
+    ties = ties.join(third, key, "left").withColumn("__second", F.when(F.col("__n") == 2, F.col("__first")).otherwise(F.col("__before")))
+    values = steps.join(tiers, [*group, "__left"]).join(ties.select(*key, "__last", "__second"), key)
+    out = table.join(values.select(*key, F.col("__rank").alias("pos_rank"), "tier", "__next", "__last", "__second"), key, "left")
+    low, second = F.get("__next", 0), F.get("__next", 1)
+    then = F.when(low["c"] > 1, low["v"]).otherwise(second["v"])
+    one = F.when(F.col("id") == F.col("__last"), low["v"]).otherwise(F.col("points"))
+    two = F.when(F.col("id") == F.col("__last"), then).when(F.col("id") == F.col("__second"), low["v"]).otherwise(F.col("points"))
+    out = out.withColumn("dropoff", F.coalesce(F.col("points") - (one + F.coalesce(two, one)) / 2, F.lit(0.0)))
+    return out.drop("__next", "__last", "__second")
 
 
 #: Baselines of groups that a scope names none for.
@@ -97,11 +150,17 @@ def over_replacement(table: DataFrame, baselines: DataFrame, defaults: dict[str,
 def uncertainty(table: DataFrame) -> DataFrame:
     """1 to 99 from the spreads sd_pts and sd_ecr, by group with all methods pooled.
 
-    Means and spreads are aggregations joined back; only the percent rank is a window, over the values of one group.
+    Means and spreads are aggregations joined back; the percent rank is a window while no group has more than
+    select.WHOLE rows, and a ladder beyond it.
     """
     table = zscored(table, {"z1": "sd_pts", "z2": "sd_ecr"}, ["pos"])
     table = table.withColumn("z0", F.coalesce((F.col("z1") + F.col("z2")) / 2, "z1", "z2"))
-    table = zscored(table, {"z": "z0"}, ["pos"]).withColumn("z", F.round("z", 10))
-    share = percent(F.col("z"), [F.col("pos")])
+    table = staged(zscored(table, {"z": "z0"}, ["pos"]).withColumn("z", F.round("z", 10)))
+    if select.largest(table, ["pos"]) > select.WHOLE:
+        below = F.col("__total") - F.col("__above") - F.col("__count")
+        shares = ladder(table, "z", ["pos"]).select("pos", "z", F.when(F.col("__total") > 1, below / (F.col("__total") - 1)).alias("__share"))
+        table, share = table.join(shares, ["pos", "z"], "left"), F.col("__share")
+    else:
+        share = percent(F.col("z"), [F.col("pos")])
     score = F.least(F.lit(99), F.greatest(F.lit(1), F.bround(share * 100).cast("int")))
-    return table.withColumn("uncertainty", F.when(F.col("z").isNotNull() & share.isNotNull(), score)).drop("z0", "z1", "z2", "z")
+    return table.withColumn("uncertainty", F.when(F.col("z").isNotNull() & share.isNotNull(), score)).drop("z0", "z1", "z2", "z", "__share")

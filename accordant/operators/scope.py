@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.sources.stage import sized, small, staged
+
+from .rank import ladder
+
 
 def replacement_ranks(table: DataFrame, slots: list[tuple[str, list[str]]], teams: int) -> DataFrame:
     """(pos, baseline) of table(pos, id, points): dedicated slots, then flex slots filled best first.
@@ -35,6 +39,46 @@ def replacement_ranks(table: DataFrame, slots: list[tuple[str, list[str]]], team
     return rows.groupBy("pos").agg(F.count_if("starter").cast("int").alias("baseline")).filter("baseline > 0")
 
 
+def replacement_ranks_of_all(board: DataFrame, slots: DataFrame) -> DataFrame:
+    """(scope, pos, baseline) for any number of scopes in one plan, from slots(scope, slot_order, eligible array, teams).
+
+    board(pos, id, points) is shared by all scopes, or has a scope of its own per row. A slot with one group starts `teams` of it; the
+    other slots are filled in their order, one start at a time, with the best of what is left of their groups, the first
+    named of equals. A scope keeps as many sorted points of a group as its slots can start; the filling is a fold over
+    these arrays. Groups without rows have no baseline unless all slots of the scope are dedicated; a scope without any
+    row takes the shares of share_ranks.
+    """
+    shared = "scope" not in board.columns
+    slots = slots.filter(F.size("eligible") > 0).withColumn("teams", F.greatest(F.lit(1), F.col("teams")))
+    single = F.when(F.size("eligible") == 1, F.col("teams")).otherwise(0)
+    needs = staged(slots.select("scope", F.explode("eligible").alias("pos"), "teams", single.alias("own")).groupBy("scope", "pos").agg(F.sum("teams").alias("need"), F.sum("own").alias("own")))
+    most = needs.agg(F.max("need")).first()[0] or 0
+    # the tasks of a group give `most` rows each before they meet
+    by = ["pos"] if shared else ["scope", "pos"]
+    best = Window.partitionBy(*by).orderBy(F.col("points").desc(), "id")
+    top = board.filter("points is not null").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= int(most)).select(*by, "points", "n")
+    pools = needs.join(small(top) if shared else top, by).filter("n <= need").groupBy("scope", "pos", "own").agg(F.sort_array(F.collect_list("points"), asc=False).alias("pool"))
+    pools = pools.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("pos", "own", "pool"))).alias("g"))
+    flex = F.when(F.size("eligible") > 1, F.struct("slot_order", "eligible", "teams"))
+    flexes = slots.groupBy("scope").agg(F.array_sort(F.collect_list(flex)).alias("flexes"))
+    each = F.flatten(F.transform("flexes", lambda f: F.array_repeat(f["eligible"], f["teams"])))
+    names, pool = F.transform("g", lambda x: x["pos"]), F.transform("g", lambda x: x["pool"])
+
+    def fill(taken: Column, eligible: Column) -> Column:
+        left = F.transform(eligible, lambda p, k: F.struct(F.get(F.get(pool, F.array_position(names, p).cast("int") - 1), F.get(taken, F.array_position(names, p).cast("int") - 1)).alias("points"), (-k).alias("k"), p.alias("pos")))
+        first = F.array_max(F.filter(left, lambda x: x["points"].isNotNull()))
+        return F.transform(taken, lambda t, i: F.when(F.get(names, i).eqNullSafe(first["pos"]), t + 1).otherwise(t))
+
+    filled = pools.join(flexes, "scope").withColumn("taken", F.aggregate(each, F.transform("g", lambda x: x["own"].cast("int")), fill))
+    starters = filled.select("scope", F.explode(F.arrays_zip(names.alias("pos"), F.col("taken").alias("baseline"))).alias("s")).select("scope", "s.*").filter("baseline > 0")
+    held = staged(starters)
+    # scopes without a flex slot keep all their groups, those without rows their shares
+    plain = flexes.filter("size(flexes) = 0").select("scope")
+    rest = needs.filter("own > 0").join(plain, "scope", "left_semi").join(held.select("scope", "pos"), ["scope", "pos"], "left_anti").select("scope", "pos", F.col("own").cast("int").alias("baseline"))
+    without = slots.join(plain, "scope", "left_anti").join(pools.select("scope"), "scope", "left_anti")
+    return held.unionByName(rest).unionByName(share_ranks(without))
+
+
 def share_ranks(slots: DataFrame) -> DataFrame:
     """(scope, pos, baseline) without projections, from slots(scope, slot, eligible array, teams): each slot counts teams / number of its groups for each of them; half-even rounding, at least 1."""
     each = slots.select("scope", F.explode("eligible").alias("pos"), (F.col("teams") / F.size("eligible")).alias("share"))
@@ -123,10 +167,43 @@ def waiting_cost(board: DataFrame, value: str, picks: int) -> DataFrame:
     return left.groupBy("pos").agg(F.max(value).alias("now"), F.max(F.when(F.col("gone").isNull(), F.col(value))).alias("later")).withColumn("cost", F.col("now") - F.col("later"))
 
 
+def turn_costs(board: DataFrame, value: str, teams: int, rounds: int) -> DataFrame:
+    """(slot, round, pick, until, pos, now, later, cost): what it costs a slot at each of its turns to leave a group for its next turn.
+
+    Everybody takes the best of the board in value, the least id of equals, except the slot: it takes the best of another
+    group at the turn itself. now is the group's best at `pick`, later at `until`, the slot's next turn (the pick after
+    the last one if there is none); both are null where the group is used up. Only as many rows as there are picks can
+    go, and of the others only the best of each group counts, so the board is cut to these; a table of (group, number
+    of gone rows) then answers every turn by an equal join.
+    """
+    picks = teams * rounds
+    known = board.filter(F.col(value).isNotNull() & F.col("pos").isNotNull()).select("id", "pos", F.col(value).alias("v"))
+    top = staged(known.orderBy(F.col("v").desc(), "id").limit(picks + 1).withColumn("n", F.row_number().over(Window.orderBy(F.col("v").desc(), "id"))))  # one row a pick
+    rest = known.join(F.broadcast(top.select("id", "pos")), ["id", "pos"], "left_anti").groupBy("pos").agg(F.max("v").alias("v")).withColumn("n", F.lit(picks + 2))
+    rows = staged(top.select("pos", "n", "v").unionByName(rest.select("pos", "n", "v")))
+    one = Window.partitionBy("pos").orderBy("n")  # picks + 2 rows at most
+    since = F.coalesce(F.lag("n").over(one), F.lit(0)) + 1
+    ahead = sized(rows.withColumn("since", since).withColumn("from", F.explode(F.sequence("since", "n"))).select("pos", "from", "v").filter(F.col("from") <= picks + 1))
+    changes = top.withColumn("next", F.lead("pos").over(Window.orderBy("n")))
+    # the end of a run of one group: from any of its rows on, the next row of another group comes after it
+    ends = changes.filter("next is null or next <> pos").select("pos", F.col("n").alias("end"))
+    runs = top.join(ends, "pos").filter("end >= n").groupBy("pos", "n").agg(F.min("end").alias("end"))
+    slots = board.sparkSession.range(1, teams + 1).select(F.col("id").cast("int").alias("slot"))
+    turns = picks_of(slots, teams, rounds)
+    until = F.coalesce(F.lead("pick").over(Window.partitionBy("slot").orderBy("pick")), F.lit(picks + 1))
+    turns = turns.withColumn("until", until).crossJoin(sized(rows.select("pos").distinct()))  # a row a turn and group is the result
+    # if all rows up to the next turn are of the group, the slot's own pick is beyond them and one row more is left
+    turns = turns.join(runs.select("pos", F.col("n").alias("pick"), "end"), ["pos", "pick"], "left")
+    turns = turns.withColumn("gone", F.col("until") - F.when(F.col("end") >= F.col("until") - 1, 1).otherwise(0))
+    out = turns.join(ahead.select("pos", F.col("from").alias("pick"), F.col("v").alias("now")), ["pos", "pick"], "left").join(ahead.select("pos", F.col("from").alias("gone"), F.col("v").alias("later")), ["pos", "gone"], "left")
+    return out.select("slot", "round", "pick", "until", "pos", "now", "later", (F.col("now") - F.col("later")).alias("cost"))
+
+
 def ranked_standings(teams: DataFrame, picks: DataFrame, slots: list[tuple[str, list[str]]]) -> DataFrame:
     """standings of every team of teams(team), those without picks too, with their place: most points first."""
-    out = teams.join(standings(picks, slots), "team", "left").fillna(0, ["points", "filled", "picks"])
-    return out.withColumn("place", F.rank().over(Window.orderBy(F.col("points").desc())))  # one row a team of a league
+    out = staged(teams.join(standings(picks, slots), "team", "left").fillna(0, ["points", "filled", "picks"]).withColumn("__all", F.lit(1)))
+    places = ladder(out, "points", ["__all"]).select("points", (F.col("__above") + 1).cast("int").alias("place"))
+    return out.drop("__all").join(places, "points").select(*[c for c in out.columns if c != "__all"], "place")
 
 
 def standings(picks: DataFrame, slots: list[tuple[str, list[str]]]) -> DataFrame:

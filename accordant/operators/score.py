@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accordant.sources.stage import sized, small
+
 
 def points(rules: dict[str, float]) -> Column:
     """Sum of metric x value over the rules that are not 0; gaps count as 0."""
@@ -39,6 +41,35 @@ def bracket(value: Column, tiers: list[tuple[float, float]]) -> Column:
     return out.otherwise(sorted(tiers)[-1][1]) if tiers else F.lit(0.0)
 
 
+#: Bins that tiers and values meet in.
+BINS = 64
+
+
+def tier_join(rows: DataFrame, value: str, tiers: DataFrame, name: str = "points") -> DataFrame:
+    """rows(scope, value, ...) with the points of their scope's tier of tiers(scope, max_allowed, points), as `bracket` gives them.
+
+    Tiers are intervals above the ceiling of the tier before up to their own, the last one without end. Intervals and
+    values meet in bins, cut at quantiles of all ceilings, so a scope's values spread over its bins and no tier is
+    compared with a value of another bin. Null values have no points, scopes without tiers give 0. Of tiers with one ceiling the one with least
+    points counts, above all the one with most.
+    """
+    cuts = tiers.agg(F.array_distinct(F.approx_percentile("max_allowed", [k / BINS for k in range(1, BINS)], 20 * BINS)).alias("c")).first()["c"] or []
+    edges = F.array(*map(F.lit, cuts)).cast("array<double>")
+    bin_of = lambda c: F.size(F.filter(edges, lambda e: e < c))
+    each = Window.partitionBy("scope").orderBy("max_allowed", "points")  # the tiers of one scope
+    spans = tiers.select("scope", F.col("points").alias("__p"), F.lag("max_allowed").over(each).alias("__low"), F.when(F.lead("max_allowed").over(each).isNotNull(), F.col("max_allowed")).alias("__high"))
+    first, last = F.coalesce(F.when(F.col("__low").isNotNull(), bin_of(F.col("__low"))), F.lit(0)), F.coalesce(F.when(F.col("__high").isNotNull(), bin_of(F.col("__high"))), F.lit(len(cuts)))
+    binned = small(spans.filter("__low is null or __high is null or __low < __high").withColumn("__bin", F.explode(F.sequence(first, last))))
+    at = F.when(F.col(value).isNotNull(), bin_of(F.col(value).cast("double")))
+    x = rows.withColumn("__bin", at).alias("x")
+    t = binned.alias("t")
+    on = (F.col("x.scope") == F.col("t.scope")) & (F.col("x.__bin") == F.col("t.__bin")) & F.coalesce(F.col(f"x.{value}") > F.col("t.__low"), F.lit(True)) & F.coalesce(F.col(f"x.{value}") <= F.col("t.__high"), F.lit(True))
+    known = sized(tiers.select(F.col("scope").alias("__scope")).distinct())
+    out = x.join(t, on, "left").join(known, F.col("x.scope") == F.col("__scope"), "left")
+    points = F.when(F.col("__scope").isNull(), 0.0).when(F.col(f"x.{value}").isNotNull(), F.col("t.__p"))
+    return out.select(*[F.col(f"x.`{c}`") for c in rows.columns], points.alias(name))
+
+
 def season_bracket(df: DataFrame, keys: list[str], season: Column, sd: Column, tiers: list[tuple[float, float]], games: int = 17, seed: int = 1) -> DataFrame:
     """Season total of bracket points over simulated games: normal draws around season / games, rounded, floored at 0.
 

@@ -63,10 +63,15 @@ def overridden(rules: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.select("scope", "pos", "stat", "points").unionByName(new)
 
 
+def tier_table(settings: DataFrame, ceilings: dict[str, float]) -> DataFrame:
+    """(scope, max_allowed, points) of the settings that are brackets, a row a tier, for `score.tier_join`."""
+    top = F.element_at(F.create_map(*[F.lit(v) for kv in ceilings.items() for v in kv]), F.col("key"))
+    return settings.filter(F.col("key").isin(*ceilings)).select("scope", top.alias("max_allowed"), F.col("value").alias("points"))
+
+
 def bracket_tiers(settings: DataFrame, ceilings: dict[str, float]) -> DataFrame:
     """(scope, tiers array<struct<max_allowed, points>>) of the settings that are brackets, in rising order; a setting of 0 is a tier."""
-    top = F.element_at(F.create_map(*[F.lit(v) for kv in ceilings.items() for v in kv]), F.col("key"))
-    rows = settings.filter(F.col("key").isin(*ceilings)).select("scope", F.struct(top.alias("max_allowed"), F.col("value").alias("points")).alias("tier"))
+    rows = tier_table(settings, ceilings).select("scope", F.struct("max_allowed", "points").alias("tier"))
     return rows.groupBy("scope").agg(F.array_sort(F.collect_list("tier")).alias("tiers"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accordant.operators.clean import header_map, nan_to_null, recode, renamed
 
 from .readers import delimited
+from .stage import staged
 
 
 def first_stat_block(df: DataFrame, payload: str, codes: dict[str, str], keep: list[str]) -> DataFrame:
@@ -24,25 +25,28 @@ def first_stat_block(df: DataFrame, payload: str, codes: dict[str, str], keep: l
     return each.select(*keep, F.col("e.id").alias("src_id"), F.col("e.player.fullName").alias("player"), F.col("e.player.proTeamId").alias("team_code"), *metrics)
 
 
-def objects_with(df: DataFrame, payload: str, marks: tuple[str, ...], fields: str, keep: list[str], depth: int = 6) -> DataFrame:
-    """Objects that hold all keys of `marks`, at any depth up to `depth` of a JSON document, with their `fields`.
+def objects_with(df: DataFrame, payload: str, marks: tuple[str, ...], fields: str, keep: list[str]) -> DataFrame:
+    """Objects that hold all keys of `marks`, at any depth of a JSON document, with their `fields`.
 
-    Each level is one explode: values of an object that is no match, and elements of an array, go on to the next. A match
-    is not searched further. Rows only grow by what the document holds.
+    A document is parsed once, to a Variant. Each level is one pass: values of an object that is no match, and elements of an array, go on to
+    the next, until none is left. A match is not searched further. Rows only grow by what the document holds. A text that
+    is no JSON, or an object with a key twice, gives no rows.
     """
-    level = df.select(*keep, F.col(payload).alias("__json"))
+    level = df.select(*keep, F.try_parse_json(payload).alias("__v"))
     out = None
-    for n in range(depth + 1):
-        as_map = F.from_json("__json", "map<string,string>")
-        text = F.ltrim(F.col("__json"))
-        is_object, is_array = F.startswith(text, F.lit("{")), F.startswith(text, F.lit("["))
-        keys = F.map_keys(as_map)
-        is_match = F.coalesce(is_object & F.forall(F.array(*map(F.lit, marks)), lambda m: F.array_contains(keys, m)), F.lit(False))
-        found = level.filter(is_match).select(*keep, F.from_json("__json", fields).alias("o")).select(*keep, "o.*")
+    while True:
+        as_map, as_list = F.try_variant_get("__v", "$", "map<string,variant>"), F.try_variant_get("__v", "$", "array<variant>")
+        level = level.withColumns({"__map": as_map, "__list": as_list}).filter("__map is not null or __list is not null")
+        keys = F.map_keys("__map")
+        is_match = F.coalesce(F.forall(F.array(*map(F.lit, marks)), lambda m: F.array_contains(keys, m)), F.lit(False))
+        level = staged(level.select(*keep, "__v", F.coalesce(F.map_values("__map"), "__list").alias("__parts"), is_match.alias("__match")), "nested")
+        if level.isEmpty():
+            break
+        found = level.filter("__match").select(*keep, F.from_json(F.to_json("__v"), fields).alias("__o")).select(*keep, "__o.*")
         out = found if out is None else out.unionByName(found)
-        if n < depth:
-            parts = F.when(is_array, F.from_json("__json", "array<string>")).when(is_object, F.map_values(as_map))
-            level = level.filter(~is_match).select(*keep, F.explode(parts).alias("__json")).filter(F.col("__json").isNotNull())
+        level = level.filter("not __match").select(*keep, F.explode("__parts").alias("__v"))
+    if out is None:
+        out = level.select(*keep, F.from_json(F.lit(None).cast("string"), fields).alias("__o")).select(*keep, "__o.*")
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions import select, stats
 from accordant.operators import board, clean, consensus, impute, rank, scope, score, settings
-from accordant.plans import cleaning, people, queries, rules  # noqa: F401
+from accordant.plans import cleaning, people, queries, rules, scopes  # noqa: F401
 from accordant.sources import payloads, publish, readers
 from accordant.streaming import live
 
