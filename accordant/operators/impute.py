@@ -181,3 +181,13 @@ def scored_first_downs(df: DataFrame, scored: dict[str, list[str]], games: DataF
     have = F.col("rush_fd") if "rush_fd" in df.columns else F.lit(None).cast("double")
     df = df.withColumn("rush_fd", F.coalesce(have, F.when(own & F.col("__att").isNotNull(), estimate)))
     return df.drop("__att", "__rate", "__mean", "__games")
+
+
+def unfilled(df: DataFrame, scored: dict[str, list[str]]) -> DataFrame:
+    """(pos, metric, n) of scored metrics (group -> metrics) that still have n gaps, from one aggregation; no rows if all are filled."""
+    used = [m for m in dict.fromkeys(m for own in scored.values() for m in own) if m in df.columns]
+    if not used:
+        return df.sparkSession.createDataFrame([], "pos string, metric string, n long")
+    counts = df.filter(F.col("pos").isin(*scored)).groupBy("pos").agg(*[F.count_if(F.col(m).isNull()).alias(m) for m in used])
+    owned = F.create_map(*[x for pos, own in scored.items() for x in (F.lit(pos), F.array(*map(F.lit, own)).cast("array<string>"))])
+    return counts.unpivot("pos", used, "metric", "n").filter((F.col("n") > 0) & F.array_contains(F.element_at(owned, F.col("pos")), F.col("metric")))

@@ -80,6 +80,10 @@ def zscored(table: DataFrame, values: dict[str, str], by: list[str]) -> DataFram
     return out.drop(*[f"__{k}_{name}" for name in values for k in "ms"])
 
 
+#: Steps of tiers, in typical spreads, of groups that differ from 1.
+DEFAULT_THRESHOLDS = {"DST": 0.1}
+
+
 def rank_and_tier(table: DataFrame, thresholds: dict[str, float], default: float = 1.0) -> DataFrame:
     """pos_rank, dropoff (points above the mean of the next two, 0 for the last) and tier; ids are unique in a group.
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from accordant.operators import clean, scope, score
+from accordant.operators import board as boards
+from accordant.operators import clean, impute, scope, score
 from accordant.operators import settings as settings_of
 
-from .queries import LINES, ONE, SQL, TEAMS, published_board, query, rounded, table
+from accordant.sources import payloads
+from accordant.sources.stage import staged
+
+from .queries import LINES, ONE, SCORED, SLOTTED, SQL, TEAMS, TIERS, lines, over, published_board, query, rounded, table, weights
 from .rules import CEILINGS, scope_settings
 
 ROUNDS = 12
@@ -25,10 +29,10 @@ def scope_slots(spark, sf):
 @query(LINES + ONE + """, t as (select p_type as pos, row_number() over (order by p_type) as k from (select distinct p_type from part)),
 n0 as (select pos, points, k, row_number() over (partition by pos order by points desc, id) as n from one join t using (pos) where k <= 5),
 leagues as (select s_suppkey as scope, s_suppkey % 9 + 4 as teams, s_suppkey % 5 <> 0 as flex, s_suppkey % 3 <> 0 as wide from supplier),
-c as (select *, case when k <= 3 then teams else 0 end as own from leagues, n0 where n <= 3 * teams),
-f as (select scope, pos, count(*) as f from (select *, row_number() over (partition by scope order by points desc, k, n) as r from c where flex and k <= 3 and n > own) where r <= teams group by all),
-w as (select scope, pos, count(*) as w from (select c.*, row_number() over (partition by scope order by points desc, k, n) as r from c left join f using (scope, pos) where wide and k between 2 and 5 and n > own + coalesce(f, 0)) where r <= teams group by all)
-select scope, pos, (case when k <= 3 then teams else 0 end + coalesce(f, 0) + coalesce(w, 0))::int as baseline from leagues cross join t left join f using (scope, pos) left join w using (scope, pos) where k <= 3 or w > 0""")
+cand as (select *, case when k <= 3 then teams else 0 end as own from leagues, n0 where n <= 3 * teams),
+flexed as (select scope, pos, count(*) as f from (select *, row_number() over (partition by scope order by points desc, k, n) as r from cand where flex and k <= 3 and n > own) where r <= teams group by all),
+wider as (select scope, pos, count(*) as w from (select cand.*, row_number() over (partition by scope order by points desc, k, n) as r from cand left join flexed using (scope, pos) where wide and k between 2 and 5 and n > own + coalesce(f, 0)) where r <= teams group by all)
+select scope, pos, (case when k <= 3 then teams else 0 end + coalesce(f, 0) + coalesce(w, 0))::int as baseline from leagues cross join t left join flexed using (scope, pos) left join wider using (scope, pos) where k <= 3 or w > 0""")
 def scope_baselines(spark, sf):
     """Baselines of all scopes in one plan, flex slots filled best first."""
     return scope.replacement_ranks_of_all(published_board(spark, sf), scope_slots(spark, sf))
@@ -73,3 +77,88 @@ union all select data_src, pos, l_orderkey, l_linenumber, 'mixed', case when s %
 def typed_cells(spark, sf):
     """Types and dropped columns of all frames, decided by one aggregation."""
     return clean.typed_cells(frame_cells(spark, sf), ["data_src", "pos"])
+
+
+#: Groups of the given types, in the same order.
+NAMES = {"ECONOMY": "DST", "LARGE": "K", "MEDIUM": "QB", "PROMO": "RB", "SMALL": "TE", "STANDARD": "WR"}
+_NAMED = "(case p_type " + " ".join(f"when '{k}' then '{v}'" for k, v in NAMES.items()) + " end)"
+SEASON_RULES = {
+    "pass_yds": 0.04, "rush_yds": 0.1, "rec_yds": 0.1, "pass_300_yds": 3.0, "pass_350_yds": 2.0, "pass_fd": 0.5, "rush_fd": 0.5, "rec_fd": 0.5,
+    "fg_0019": 3.0, "fg_2029": 3.0, "fg_3039": 3.0, "fg_4049": 4.0, "fg_miss": -1.0, "dst_sacks": 1.0,
+}
+MILESTONES = {"pass_300_yds": (-0.5, "pass_yds", 0.001), "pass_350_yds": (-0.2, "pass_yds", 0.0004)}
+SEASON = """,
+sl as (select id, pos, data_src, case when pos = 'QB' then yds / 7 end as pass_yds, case when pos not in ('K', 'DST') then tax * 1000 / 3 + 10 end as rush_yds, case when pos = 'QB' then qty end as att, case when pos in ('RB', 'WR', 'TE') then yds / 13 end as rec_yds,
+  case when pos = 'K' then tax * 500 / 7 end as short, case when pos = 'K' then yds / 1300 end as far, case when pos = 'K' then qty + 40 end as tried, case when pos = 'DST' then coalesce(qty, avg(qty) over (partition by pos, id)) end as sacks, case when pos = 'DST' then yds / 200 end as allowed from lines),
+run as (select avg(att / rush_yds) as rate from sl where pos = 'QB' and att is not null),
+fd as (select sl.*, pos = 'QB' as qb, coalesce(att, rate * rush_yds) as carries, greatest(1, coalesce(case when id % 2 = 0 then id % 18 end, 17)) as played from sl, run),
+fk as (select *, short * 0.04 + short * 0.38 + short * 0.58 + far as made from fd), fm as (select *, tried - made as missed from fk),
+fr as (select pos, sum(case when missed is not null then missed end) / nullif(sum(case when missed is not null then made end), 0) as g from fm group by pos),
+fs as (select fm.*, g, count(missed) over w as n, max(case when missed is not null and made = 0 then 1 else 0 end) over w as z, avg(missed / nullif(made, 0)) over w as r, avg(missed) over w as mean from fm join fr using (pos) window w as (partition by pos, id)),
+spreads as (select p_partkey as id, 4.0 + p_partkey % 5 as intercept from part where p_partkey % 13 <> 0),
+games as (select id, data_src, allowed / 17 as mean, intercept + 0.1 * (allowed / 17) as sd, unnest(range(1, 18)) as game from sl join spreads using (id) where pos = 'DST'),
+draws as (select *, (('0x' || substr(md5(concat_ws('|', id, data_src, game, 1, 1)), 1, 10))::bigint + 0.5) / 1099511627776 as a, (('0x' || substr(md5(concat_ws('|', id, data_src, game, 1, 2)), 1, 10))::bigint + 0.5) / 1099511627776 as b from games),
+played as (select id, data_src, round_even(mean + sd * (sqrt(-2 * ln(a)) * cos(2 * pi() * b)), 0) as x from draws),
+bracket as (select id, data_src, sum(case when x <= 5 then 10.0 when x <= 15 then 7.0 when x <= 25 then 4.0 when x <= 35 then 1.0 else -1.0 end::double) as bracket from played group by all),
+scored as (select id, pos, data_src, case pos
+  when 'QB' then pass_yds * 0.04 + rush_yds * 0.1 + 3 * (greatest(0, pass_yds * 0.001 - 0.5) + greatest(0, pass_yds * 0.0004 - 0.2)) + 2 * greatest(0, pass_yds * 0.0004 - 0.2) + 0.5 * pass_yds * 0.0483 + 0.5 * carries * case when round(carries / played, 9) < 2 then 0.261 when round(carries / played, 9) <= 4 then 0.342 else 0.378 end
+  when 'K' then 3 * short + 4 * far - coalesce(missed, case when n = 0 then made * g when z = 1 or r is null then mean else made * r end)
+  when 'DST' then coalesce(sacks, 0) + bracket
+  else rush_yds * 0.1 + rec_yds * case when pos = 'TE' then 0.15 else 0.1 end + 0.5 * rush_yds * 0.0508 + 0.5 * rec_yds * case pos when 'RB' then 0.045 when 'WR' then 0.0483 else 0.0503 end end as points
+  from fs left join bracket using (id, data_src) where pos <> 'DST' or bracket is not null)
+"""
+
+
+def season_lines(spark, sf):
+    """Stat lines of six groups from the common input, each with the metrics of its group and gaps in some."""
+    pos = F.element_at(F.create_map(*[F.lit(v) for kv in NAMES.items() for v in kv]), F.col("pos"))
+    rows = lines(spark, sf).withColumn("pos", pos)
+    of = lambda groups, c: F.when(F.col("pos").isin(*groups), c)
+    run, catch = ("QB", "RB", "WR", "TE"), ("RB", "WR", "TE")
+    metrics = {
+        "pass_yds": of(["QB"], F.col("yds") / 7), "rush_yds": of(run, F.col("tax") * 1000 / 3 + 10), "rush_att": of(["QB"], F.col("qty")), "rec_yds": of(catch, F.col("yds") / 13),
+        "fg_0039": of(["K"], F.col("tax") * 500 / 7), "fg_4049": of(["K"], F.col("yds") / 1300), "fg_att": of(["K"], F.col("qty") + 40), "dst_sacks": of(["DST"], F.col("qty")), "dst_pts_allowed": of(["DST"], F.col("yds") / 200),
+    }
+    return rows.select("id", "pos", "data_src", *[c.alias(k) for k, c in metrics.items()])
+
+
+def season(spark, sf):
+    part = table(spark, sf, "part")
+    key = F.col("p_partkey")
+    games = part.filter(key % 2 == 0).select(key.alias("id"), (key % 18).alias("games"))
+    # a seventh of the teams is only known by the second key
+    landed = part.filter(key % 13 != 0).select(F.when(key % 7 != 0, key).alias("id"), F.when(key % 7 == 0, key).alias("nfl_id"), key.alias("team"), (key % 5 + 4).cast("double").alias("Intercept"), F.lit(0.1).alias("season_mean"))
+    return boards.Season(MILESTONES, {"pass_300_yds": ["pass_300_yds", "pass_350_yds"]}, games, TIERS, payloads.team_spreads(landed))
+
+
+def of_season(sql: str) -> str:
+    """SQL over the season's points and groups, with the step of a defence's tiers."""
+    own = "median(sd_pts) * any_value(case when pos = 'DST' then 0.1 else 1 end) as step"
+    sql = sql.replace("(select distinct p_type from part)", "(select distinct p_type as kind from part)").replace("select p_type as pos, row_number() over (order by p_type)", "select kind as pos, row_number() over (order by kind)")
+    return sql.replace(SCORED, SEASON).replace("p_type", _NAMED).replace("median(sd_pts) as step", own)
+
+
+
+def season_scored(spark, sf):
+    return boards.scored_lines(season_lines(spark, sf), SEASON_RULES, {"TE": {"rec_yds": 0.15}}, boards.Fills(level="none"), season(spark, sf))
+
+
+@query(of_season(LINES + SCORED + "select id, pos, data_src, round(points, 8) as points from scored"))
+def season_points(spark, sf):
+    """Points of stat lines of all groups: kickers reconciled, gaps filled, milestones, first downs and the defences' bracket."""
+    return season_scored(spark, sf).withColumn("points", F.round("points", 8))
+
+
+@query(of_season(LINES + ONE + SLOTTED + ", final_lines as (select pos, baseline from slotted)" + over("coalesce(baseline, case pos when 'QB' then 13 when 'RB' then 35 when 'WR' then 36 when 'TE' then 13 when 'K' then 8 else 3 end)", "final")) + " select avg_type, rank, pos, id, points, points_vor, tier from final")
+def board_from_lines(spark, sf):
+    """The whole board in one call, from stat lines of all groups."""
+    g = list(NAMES.values())
+    slots = [(x, [x]) for x in g[:3]] + [("flex", g[:3]), ("super", g[1:5])]
+    out = boards.board_from_lines(season_lines(spark, sf), SEASON_RULES, weights(spark), slots, TEAMS, {"TE": {"rec_yds": 0.15}}, boards.Fills(level="none"), season(spark, sf))
+    return out.select("avg_type", "rank", "pos", "id", "points", "points_vor", "tier")
+
+
+@query(of_season(LINES + """ select 'K' as pos, 'fg_att' as metric, count(*) as n from lines where pos = 'K' and qty is null having count(*) > 0 union all select 'DST', 'dst_sacks', count(*) from lines where pos = 'DST' and qty is null having count(*) > 0"""))
+def unfilled_metrics(spark, sf):
+    """Gaps of scored metrics by group, here before they are filled."""
+    return impute.unfilled(season_lines(spark, sf), {"K": ["fg_att"], "DST": ["dst_sacks", "dst_pts_allowed"], "QB": ["pass_yds"]})

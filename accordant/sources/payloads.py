@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant.operators.clean import header_map, nan_to_null, recode, renamed
+from accordant.operators.identity import resolve
 
 from .readers import delimited
 from .stage import staged
@@ -114,6 +115,24 @@ def regression_models(spark: SparkSession, path: str) -> DataFrame:
     return each.select("name", F.get("m", 0).cast("double").alias("intercept"), F.get("m", 1).alias("metric"), F.get("m", 2).cast("double").alias("slope"))
 
 
+def team_spreads(landed: DataFrame) -> DataFrame:
+    """(id, intercept, slope) of landed(id, nfl_id, team, Intercept, season_mean): a team is found by either key, by its own id first.
+
+    The slope is one for all teams, that of the first by team.
+    """
+    keys = F.array(F.struct(F.col("id").alias("key"), F.lit(0).alias("n")), F.struct(F.col("nfl_id").alias("key"), F.lit(1).alias("n")))
+    each = landed.select(F.explode(keys).alias("k"), "team", F.col("Intercept").cast("double").alias("a")).filter("k.key is not null")
+    slope = landed.agg(F.min_by(F.col("season_mean").cast("double"), "team").alias("slope"))
+    one = each.groupBy(F.col("k.key").alias("id")).agg(F.min_by("a", F.struct("k.n", "team")).alias("intercept"))
+    return one.join(F.broadcast(slope))  # one row on the right
+
+
+def passer_games(landed: DataFrame, players: DataFrame, group: str = "QB") -> DataFrame:
+    """(id, games) of landed(name, team, games), whose ids are found by name in players(ref_id, name, pos, team); names without one are left out."""
+    rows = landed.select(F.xxhash64("name", "team").alias("row_id"), "name", F.lit(group).alias("pos"), "team", F.col("games").cast("double").alias("games"))
+    return resolve(rows, players).filter("ref_id is not null").groupBy(F.col("ref_id").alias("id")).agg(F.max("games").alias("games"))
+
+
 def stat_file(spark: SparkSession, path: str, data_src: str, mapping: list[tuple[str, str | None, str, str]], variant: str | None = None, drop: tuple[str, ...] = ("Rank",)) -> DataFrame:
     """A landed delimited file as text columns: ranks dropped, headers mapped for its source and group."""
     df = delimited(spark, path).drop(*drop)

@@ -1,13 +1,14 @@
 """Operators that take groups of any size, any number of scopes, frames or levels, against plain forms of themselves."""
 
 import json
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from accordant.functions import select
-from accordant.operators import clean, rank, scope, score
+from accordant.operators import board, clean, impute, rank, scope, score
 from accordant.sources import payloads
 
 
@@ -163,3 +164,46 @@ def test_columns_of_sixty_frames(spark):
         if one is not None:
             assert (one.schema[0].dataType.simpleString() == "double") == number
             assert bool(clean.drop_constant_text(clean.drop_empty_columns(one)).columns) == got[key][1]
+
+
+def test_parts_of_a_season(spark):
+    """Kickers, milestones, first downs and the defence's bracket within one call; other groups keep their kicks."""
+    schema = "id string, pos string, data_src string, pass_yds double, rush_yds double, rush_att double, fg_0039 double, fg_att double, fg double, xp double, dst_sacks double, dst_pts_allowed double"
+    rows = [
+        ("q", "QB", "s", 4000.0, 340.0, 68.0, None, None, None, None, None, None), ("k", "K", "s", None, None, None, 20.0, 25.0, None, 30.0, None, None), ("r", "RB", "s", None, 100.0, 10.0, 5.0, 9.0, 7.0, None, None, None),
+        ("d", "DST", "s", None, None, None, None, None, None, None, 40.0, 340.0), ("d", "DST", "t", None, None, None, None, None, None, None, None, None), ("x", "DST", "s", None, None, None, None, None, None, None, 9.0, 300.0), (None, "QB", "s", 1.0, 1.0, 1.0, None, None, None, None, None, None),
+    ]
+    lines = spark.createDataFrame(rows, schema)
+    rules = {"pass_yds": 0.04, "pass_300_yds": 1.0, "pass_fd": 1.0, "rush_fd": 1.0, "fg_0019": 3.0, "fg_2029": 3.0, "fg_3039": 3.0, "fg_miss": -1.0, "xp": 1.0, "dst_sacks": 1.0}
+    landed = spark.createDataFrame([("t1", "d", "T", 0.0, 0.0), ("d0", None, "U", 5.0, 0.0)], "id string, nfl_id string, team string, Intercept double, season_mean double")
+    season = board.Season({"pass_300_yds": (-0.5, "pass_yds", 0.001), "pass_400_yds": (1.0, "pass_yds", 1.0)}, {"pass_300_yds": ["pass_300_yds", "pass_400_yds"]}, None, [(21.0, 3.0), (math.inf, -4.0)], payloads.team_spreads(landed))
+    got = {(r.id, r.data_src): r.points for r in board.scored_lines(lines, rules, None, board.Fills(level="none"), season).collect()}
+    # 4 carries a game; a spread of 0 plays 20 points in each of 17 games; x has no spread
+    assert got.keys() == {("q", "s"), ("k", "s"), ("r", "s"), ("d", "s"), ("d", "t")}
+    assert got["q", "s"] == pytest.approx(160 + 3.5 + 4000 * 0.0483 + 68 * 0.342)
+    assert got["k", "s"] == pytest.approx(60 - 5 + 30)
+    # kicks of other groups are not reconciled, and their misses are filled by the rules' own fills only
+    assert got["r", "s"] == pytest.approx(100 * 0.0508 - (9 - 7))
+    assert got["d", "s"] == 40 + 17 * 3 and got["d", "t"] == 40 + 17 * 3
+    week = board.Season(brackets=[(21.0, 3.0), (math.inf, -4.0)], weekly=True)
+    got = {(r.id, r.data_src): r.points for r in board.scored_lines(lines, rules, None, board.Fills(level="none"), week).collect()}
+    assert got["x", "s"] == 9 - 4 and got["d", "s"] == 36
+    assert board.scored_lines(lines.limit(0), rules, None, board.Fills(level="none"), season).count() == 0
+    left = impute.unfilled(lines, {"K": ["fg", "xp", "none"], "QB": ["pass_yds"], "DST": ["dst_sacks"]}).collect()
+    assert {(r.pos, r.metric, r.n) for r in left} == {("K", "fg", 1), ("DST", "dst_sacks", 1)}
+
+
+def test_season_totals_by_row(spark):
+    df = spark.createDataFrame([(str(k), 17.0 * k, float(k % 5)) for k in range(40)] + [("n", None, 1.0), ("m", 3.0, None)], "id string, season double, sd double")
+    tiers = [(5.0, 10.0), (15.0, 7.0), (25.0, 4.0)]
+    want = {r.id: r.points for r in score.season_bracket(df, ["id"], F.col("season"), F.col("sd"), tiers).collect()}
+    got = {r.id: r.points for r in df.select("id", score.season_total(["id"], F.col("season") / 17, F.col("sd"), tiers).alias("points")).collect()}
+    assert got == want and got["n"] is None and got["m"] is None
+
+
+def test_landed_team_and_passer_tables(spark):
+    landed = spark.createDataFrame([("a", "b", "T1", 1.0, 0.3), ("b", None, "T2", 2.0, 0.3), (None, "c", "T3", 3.0, 0.3)], "id string, nfl_id string, team string, Intercept double, season_mean double")
+    assert {r.id: (r.intercept, r.slope) for r in payloads.team_spreads(landed).collect()} == {"a": (1.0, 0.3), "b": (2.0, 0.3), "c": (3.0, 0.3)}
+    players = spark.createDataFrame([(1, "Jo Ann Jr.", "QB", "KC"), (2, "Al Bo", "QB", "NE"), (3, "Al Bo", "RB", "NE")], "ref_id int, name string, pos string, team string")
+    games = spark.createDataFrame([("jo ann", "KC", 12.5), ("Al Bo", "NE", 16.0), ("Nobody", "NE", 3.0)], "name string, team string, games double")
+    assert {r.id: r.games for r in payloads.passer_games(games, players).collect()} == {1: 12.5, 2: 16.0}
