@@ -69,3 +69,9 @@ def from_crosswalk(rows: DataFrame, crosswalk: DataFrame, column: str, id_column
         raise ValueError(f"the crosswalk has no column {column}")
     first = F.min_by(id_column, F.struct(order, id_column)) if order else F.min(id_column)
     return rows.join(crosswalk.filter(F.col(column).isNotNull()).groupBy(column).agg(first.alias("ref_id")), column, "left")
+
+
+def by_id_or_name(rows: DataFrame, crosswalk: DataFrame, column: str, reference: DataFrame, id_column: str = "id", recodes: list[dict[str, str]] | None = None, team_group: str | None = None) -> DataFrame:
+    """rows(column, name, pos, team, ...) with ref_id: that of the crosswalk for the source's own id, else found by name as `resolve` does."""
+    known = from_crosswalk(rows, crosswalk, column, id_column).withColumnRenamed("ref_id", "__known")
+    return resolve(known, reference, recodes, team_group).withColumn("ref_id", F.coalesce("__known", "ref_id")).drop("__known")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from accordant.operators import board as boards
 from accordant.operators import clean, impute, scope, score
 from accordant.operators import settings as settings_of
 
-from accordant.sources import payloads
-from accordant.sources.stage import staged
+from accordant.sources import payloads, publish
+from accordant.sources.stage import RUN, shared_dir
 
-from .queries import LINES, ONE, SCORED, SLOTTED, SQL, TEAMS, TIERS, lines, over, published_board, query, rounded, table, weights
+from .queries import LINES, ONE, PICKS, SCORED, SLOTTED, SQL, TEAMS, TIERS, lines, over, picks, published_board, query, rounded, table, weights
 from .rules import CEILINGS, scope_settings
 
 ROUNDS = 12
@@ -162,3 +164,45 @@ def board_from_lines(spark, sf):
 def unfilled_metrics(spark, sf):
     """Gaps of scored metrics by group, here before they are filled."""
     return impute.unfilled(season_lines(spark, sf), {"K": ["fg_att"], "DST": ["dst_sacks", "dst_pts_allowed"], "QB": ["pass_yds"]})
+
+
+@query("select c_custkey as id, case when c_nationkey % 3 = 0 then 'list' when c_nationkey % 3 = 1 then 'map' else 'page' end as data_src, c_acctbal as adp from customer")
+def draft_feeds(spark, sf):
+    """Draft values of three feeds as they land (a list and a map in JSON, a table in a page), ids by crosswalk and else by name."""
+    customer, key = table(spark, sf, "customer"), F.col("c_custkey")
+    players = customer.select(key.alias("ref_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("pos"), F.concat(F.lit("t"), "c_nationkey").alias("team"))
+    crosswalk = customer.filter(key % 3 != 0).select(key.alias("id"), *[F.concat(F.lit(k), key).alias(f"{k}_id") for k in "abc"])
+    where = f"{shared_dir(spark)}/{RUN}/feeds-{uuid.uuid4().hex}"
+    kind, team = F.col("c_nationkey") % 3, F.concat(F.lit("t"), "c_nationkey")
+    o = lambda k: F.struct(F.concat(F.lit(k), key).alias("player_id"), F.upper("c_name").alias("name"), F.col("c_mktsegment").alias("position"), team.alias("team"), F.col("c_acctbal").alias("avg"))
+    as_list = customer.filter(kind == 0).groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(o("a")).alias("player_list"))).alias("value"))
+    as_map = customer.filter(kind == 1).groupBy("c_nationkey").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(key.cast("string"), o("b")))).alias("player_list"))).alias("value"))
+    row = F.concat(F.lit("<tr><td>c"), key, F.lit("<td> "), "c_name", F.lit("<td>"), "c_mktsegment", F.lit("<td>"), team, F.lit("<td>"), F.format_number("c_acctbal", 2), F.lit("</tr>"))
+    page = customer.filter(kind == 2).groupBy("c_nationkey").agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    page = page.select(F.concat(F.lit("<table><tr><td>other</table><table><tr><th>Id<th>Player<th>Pos<th>Team<th>Avg Pos</tr>"), "rows", F.lit("</table>")).alias("value"))
+    for name, df in (("list", as_list), ("map", as_map), ("page", page)):
+        df.select("value").write.text(f"{where}/{name}")
+    fields = {"src_id": "player_id", "name": "name", "pos": "position", "team": "team", "value": "avg"}
+    read = lambda name: spark.read.text(f"{where}/{name}")
+    pages = read("page").select(F.xxhash64("value").alias("page_id"), F.col("value").alias("html"))
+    feeds = {
+        "list": (payloads.json_feed(read("list"), "value", "player_list", fields), "a_id"), "map": (payloads.json_feed(read("map"), "value", "player_list", fields), "b_id"),
+        "page": (payloads.table_feed(pages, {"src_id": "Id", "name": "Player", "pos": "Pos", "team": "Team", "value": "Avg Pos"}), "c_id"),
+    }
+    return payloads.with_feed_ids(feeds, crosswalk, players, "adp")
+
+
+@query("with " + PICKS + ", mid as (select max(event_id) // 2 as m from events), old as (select distinct entity from picks, mid where pick <= m) select held.entity as platform_id, manager, old.entity is null as new, (select count(distinct user_id) from events) as slots, '2024-09-05T00:20:00+00:00' as written_at from held left join old using (entity)")
+def refreshed_ownership(spark, sf):
+    """A snapshot with the holders of half of the picks, refreshed with all of them, the order and the stamp by one commit."""
+    where = f"{shared_dir(spark)}/{RUN}/refresh-{uuid.uuid4().hex}"
+    rows = picks(spark, sf)
+    mid = table(spark, sf, "events").agg(F.floor(F.max("event_id") / 2).alias("m"))
+    owned = lambda df: scope.latest_holder(df).select(F.col("entity").alias("platform_id"), "manager")
+    early = rows.join(F.broadcast(mid)).filter("pick <= m")  # one row on the right
+    publish.publish({"board": rows.select("pick"), "ownership": owned(early)}, where, facts={"written_at": "before"})
+    order = table(spark, sf, "events").select(F.col("user_id").alias("manager")).distinct()
+    new = publish.refresh(where, owned(rows), order, "2024-09-05T00:20:00+00:00")
+    slots = publish.published(spark, where, "draft").agg(F.count("*").alias("slots"))
+    out = publish.published(spark, where, "ownership").join(new.withColumn("new", F.lit(True)), "platform_id", "left").join(F.broadcast(slots))
+    return out.select("platform_id", "manager", F.coalesce("new", F.lit(False)).alias("new"), "slots", F.lit(publish.manifest(spark, where)[1]["written_at"]).alias("written_at"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.operators.clean import header_map, nan_to_null, recode, renamed
-from accordant.operators.identity import resolve
+from accordant.operators.clean import header_map, nan_to_null, number, recode, renamed
+from accordant.operators.identity import by_id_or_name, resolve
 
-from .readers import delimited
+from .readers import delimited, tables
 from .stage import staged
 
 
@@ -88,6 +88,39 @@ def draft_values(feeds: dict[str, DataFrame], metric: str) -> DataFrame:
     return out
 
 
+#: What a draft feed says of a player.
+FEED = ("src_id", "name", "pos", "team", "value")
+
+
+def json_feed(df: DataFrame, payload: str, at: str, fields: dict[str, str]) -> DataFrame:
+    """FEED columns as text of a feed in JSON: under the key `at` an array of objects, or a map of them; fields: FEED column -> the object's key.
+
+    A payload without that key, or that is no JSON, gives no rows.
+    """
+    inner = F.get_json_object(payload, f"$.{at}")
+    each = F.coalesce(F.map_values(F.from_json(inner, "map<string,map<string,string>>")), F.from_json(inner, "array<map<string,string>>"))
+    is_list = F.startswith(F.ltrim(inner), F.lit("["))
+    each = F.when(is_list, F.from_json(inner, "array<map<string,string>>")).otherwise(each)
+    rows = df.select(F.explode(each).alias("__o")).filter("__o is not null")
+    return rows.select(*[(F.element_at("__o", fields[c]) if c in fields else F.lit(None).cast("string")).alias(c) for c in FEED])
+
+
+def table_feed(pages: DataFrame, headers: dict[str, str]) -> DataFrame:
+    """FEED columns as text of tables in pages(page_id, html); headers: FEED column -> the table's header. Rows of other tables have no value and stay out."""
+    cells = headed(tables(pages), ["page_id", "table_no"]).filter(F.col("header").isin(*headers.values()))
+    own = cells.groupBy("page_id", "table_no", "row_no").agg(*[F.max(F.when(F.col("header") == h, F.col("value"))).alias(c) for c, h in headers.items()])
+    return own.filter("value is not null").select(*[(F.col(c) if c in headers else F.lit(None).cast("string")).alias(c) for c in FEED])
+
+
+def with_feed_ids(feeds: dict[str, tuple[DataFrame, str]], crosswalk: DataFrame, players: DataFrame, metric: str) -> DataFrame:
+    """(id, data_src, metric) of feeds: source -> (FEED rows, the crosswalk's column of its ids), ids by crosswalk and else by name."""
+    known = {}
+    for name, (rows, column) in feeds.items():
+        found = by_id_or_name(rows.withColumnRenamed("src_id", column), crosswalk, column, players)
+        known[name] = found.select(F.col("ref_id").alias("id"), number(F.col("value")).alias(metric))
+    return draft_values(known, metric)
+
+
 def page_files(spark: SparkSession, path: str, pattern: str = r"-p(\d+)\.") -> DataFrame:
     """Lines of text files that are pages of one listing, with the page number from the file's name; all files are one dataset."""
     rows = spark.read.text(path)

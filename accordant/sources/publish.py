@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import uuid
 
@@ -108,6 +109,23 @@ def published(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{manifest(spark, path)[1][name]}")
 
 
+def refresh(path: str, ownership: DataFrame, order: DataFrame | None = None, written_at: str | None = None, key: str = "platform_id") -> DataFrame:
+    """One commit of the tables that change during a draft, and the keys that are newly held since the version before.
+
+    ownership, the draft's order where it is given, and the stamp go to one version; the other tables of the snapshot stay
+    as they are. Without a snapshot under path it fails, as there is nothing to refresh.
+    """
+    spark = ownership.sparkSession
+    number, held = manifest(spark, path)
+    if number < 0:
+        raise FileNotFoundError(f"no snapshot under {path}")
+    before = spark.read.parquet(f"{path}/{held['ownership']}").select(key) if "ownership" in held else ownership.select(key).limit(0)
+    stamp = written_at or datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
+    publish({"ownership": ownership, **({"draft": order} if order is not None else {})}, path, carry=True, facts={"written_at": stamp})
+    now = published(spark, path, "ownership").select(key).filter(F.col(key).isNotNull()).distinct()
+    return now.join(before, key, "left_anti")
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = KEEP) -> int:
     """Removes all versions but the last `keep`, and folders that none of these names; returns how many folders went.
 

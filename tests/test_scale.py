@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordant.functions import select
-from accordant.operators import board, clean, impute, rank, scope, score
-from accordant.sources import payloads
+from accordant.operators import board, clean, identity, impute, rank, scope, score
+from accordant.sources import payloads, publish
 
 
 def board_rows(n, ties):
@@ -207,3 +207,34 @@ def test_landed_team_and_passer_tables(spark):
     players = spark.createDataFrame([(1, "Jo Ann Jr.", "QB", "KC"), (2, "Al Bo", "QB", "NE"), (3, "Al Bo", "RB", "NE")], "ref_id int, name string, pos string, team string")
     games = spark.createDataFrame([("jo ann", "KC", 12.5), ("Al Bo", "NE", 16.0), ("Nobody", "NE", 3.0)], "name string, team string, games double")
     assert {r.id: r.games for r in payloads.passer_games(games, players).collect()} == {1: 12.5, 2: 16.0}
+
+
+def test_ids_by_crosswalk_then_name(spark):
+    rows = spark.createDataFrame([("x1", "Other Name", "QB", "KC"), ("x9", "Al Bo", "QB", "NE"), (None, "Al Bo", "QB", "NE"), ("x8", "Nobody", "K", "LA")], "src string, name string, pos string, team string")
+    cross = spark.createDataFrame([(1, "x1"), (5, None)], "id int, src string")
+    players = spark.createDataFrame([(2, "Al Bo", "QB", "NE"), (3, "Jo", "QB", "KC")], "ref_id int, name string, pos string, team string")
+    got = [(r.src, r["name"], r.ref_id) for r in identity.by_id_or_name(rows, cross, "src", players).collect()]
+    assert sorted(got, key=str) == sorted([("x1", "Other Name", 1), ("x9", "Al Bo", 2), (None, "Al Bo", 2), ("x8", "Nobody", None)], key=str)
+
+
+def test_feeds_that_are_odd(spark):
+    texts = ['{"p": [{"i": "1", "v": "2.5"}, null, {"v": "7"}]}', '{"p": {"a": {"i": "3", "v": null}}}', '{"p": []}', '{"q": 1}', "broken", None, '{"p": 7}']
+    got = payloads.json_feed(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "p", {"src_id": "i", "value": "v"}).collect()
+    assert sorted((str(r.src_id), str(r.value), r["name"]) for r in got) == [("1", "2.5", None), ("3", "None", None), ("None", "7", None)]
+    page = "<table><tr><th>Id<th>Avg</tr><tr><td>4<td>1,200</tr><tr><td>5</tr></table><table><tr><td>9<td>9</tr></table>"
+    got = payloads.table_feed(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string"), {"src_id": "Id", "value": "Avg"}).collect()
+    assert sorted((r.src_id, r.value) for r in got) == [("4", "1,200"), ("5", "")]
+
+
+def test_refresh_is_one_commit(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    held = lambda *ids: spark.createDataFrame([(i, f"m{i}") for i in ids], "platform_id string, manager string")
+    with pytest.raises(FileNotFoundError):
+        publish.refresh(path, held("a"))
+    publish.publish({"board": held("z"), "draft": held("o")}, path, facts={"written_at": "first"})
+    assert {r[0] for r in publish.refresh(path, held("a", None), None, "second").collect()} == {"a"}
+    assert {r[0] for r in publish.refresh(path, held("a", "b"), held("p"), "third").collect()} == {"b"}
+    assert publish.refresh(path, held()).count() == 0 and publish.published(spark, path, "ownership").count() == 0
+    says = publish.manifest(spark, path)[1]
+    assert says["written_at"] not in ("first", "second", "third")
+    assert [r[0] for r in publish.published(spark, path, "board").collect()] == ["z"] and [r[0] for r in publish.published(spark, path, "draft").collect()] == ["p"]
