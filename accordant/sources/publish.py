@@ -65,16 +65,28 @@ def manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
 def commit(spark: SparkSession, path: str, number: int, says: dict) -> None:
     """Makes `says` version `number`; of several writers of one number the first succeeds, the others get Conflict.
 
-    The file is created only if it is not there, which the store decides, and counts once its last line is complete.
+    The file is created only if it is not there, and counts once its last line is complete. HDFS decides this itself in
+    `create`; Hadoop's local file system looks first and creates then, so there the file is opened exclusively by the
+    operating system. A store whose `create` is not exclusive either needs a single writer.
     """
     fs, where = _at(spark, f"{path}/_versions/{number:012d}")
+    text = json.dumps(says) + "\n"
+    taken = f"version {number} of {path} is there"
+    if fs.getUri().getScheme() == "file":
+        fs.mkdirs(where.getParent())
+        try:
+            with open(where.toUri().getPath(), "x", encoding="utf-8") as file:
+                file.write(text)
+        except FileExistsError as error:
+            raise Conflict(taken) from error
+        return
     try:
         stream = fs.create(where, False)
     except Py4JJavaError as error:
         if "AlreadyExists" in error.java_exception.getClass().getName() or fs.exists(where):
-            raise Conflict(f"version {number} of {path} is there") from error
+            raise Conflict(taken) from error
         raise
-    stream.write((json.dumps(says) + "\n").encode())
+    stream.write(text.encode())
     stream.close()
 
 

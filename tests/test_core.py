@@ -326,17 +326,20 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert publish.published(spark, path, "ownership").count() == 4 and publish.published(spark, path, "order").count() == 5
     results = []
 
-    def write(n):
+    def write(n, where, number):
         try:
-            publish.commit(spark, path, 2, {**says, "stamp": n})
+            publish.commit(spark, where, number, {**says, "stamp": n})
             results.append(n)
         except publish.Conflict:
             pass
 
-    threads = [threading.Thread(target=write, args=(n,)) for n in range(6)]
-    [t.start() for t in threads]
-    [t.join() for t in threads]
-    assert len(results) == 1 and publish.manifest(spark, path)[1]["stamp"] == results[0]
+    for k in (*range(40), None):  # forty races beside the one on the table itself
+        results.clear()
+        where, number = (path, 2) if k is None else (str(tmp_path.parent / f"{tmp_path.name}-races"), k)
+        threads = [threading.Thread(target=write, args=(n, where, number)) for n in range(6)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert len(results) == 1 and publish.manifest(spark, where)[1]["stamp"] == results[0]
     # a writer that died in the middle of its version is passed over
     (tmp_path / "_versions" / f"{3:012d}").write_text('{"ownership": ')
     assert publish.manifest(spark, path) == (3, {**says, "stamp": results[0]})
