@@ -238,3 +238,14 @@ def test_refresh_is_one_commit(spark, tmp_path):
     says = publish.manifest(spark, path)[1]
     assert says["written_at"] not in ("first", "second", "third")
     assert [r[0] for r in publish.published(spark, path, "board").collect()] == ["z"] and [r[0] for r in publish.published(spark, path, "draft").collect()] == ["p"]
+
+
+def test_rules_of_scopes_meet_lines_without_a_shuffle(spark):
+    """The product of lines and scopes is scored where it arises: own rules, rules of 0, gaps, and scopes with one kind of rule."""
+    lines = spark.createDataFrame([(1, "A", 2.0, None), (2, "B", None, 3.0), (3, None, 4.0, 5.0), (4, "A", None, None)], "id long, pos string, x double, y double")
+    rules = spark.createDataFrame([(1, None, "x", 10.0), (1, "A", "x", 7.0), (2, None, "x", 0.0), (2, "A", "x", 0.0), (2, "B", "y", 1.0), (3, None, "y", 2.0), (3, None, "z", 9.0)], "scope long, pos string, stat string, points double")
+    out = score.many_rule_points(lines, rules, ["x", "y"], ["id"])
+    got = {(r.scope, r.id): r.points for r in out.collect()}
+    assert got == {(1, 1): 14.0, (1, 3): 40.0, (2, 1): 0.0, (2, 2): 3.0, (3, 2): 6.0, (3, 3): 10.0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
