@@ -433,3 +433,15 @@ def test_selected_quantiles_are_exact(spark, monkeypatch, parts):
     assert set(got) == {"big", "one", "two", "same"} and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
     assert select.quantiles(df.limit(0), ["pos"], "v", shares).count() == 0
+
+
+def test_first_downs_at_the_edge_of_a_rate(spark):
+    """14 attempts in 7 games are 2 a game, though 0.07 * 100 is more than 7: on both sides the rounded rate counts."""
+    con = duckdb.connect()
+    sf = "/root/testdata/sf0.01"
+    for t in ("lineitem", "orders", "part"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES["first_downs"](spark, sf)
+    got = con.execute(queries.SQL["first_downs"])
+    names = [d[0] for d in got.description]
+    assert rows_of(df.columns, df.collect()) == rows_of(names, got.fetchall())
