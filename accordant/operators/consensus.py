@@ -104,7 +104,9 @@ def source_table(values: DataFrame, metric: str, sources: list[str]) -> DataFram
     each = values.filter(F.col("id").isNotNull()).groupBy("id", "data_src").agg(F.min(metric).alias(metric))
     per = [F.max(F.when(F.col("data_src") == s, F.col(metric))).alias(f"{metric}_{s.lower()}") for s in sources]
     each = each.filter(F.col("data_src").isin(*sources))
-    return each.groupBy("id").agg(*per, F.round(F.avg(metric), 1).alias(metric), F.round(F.stddev_samp(metric), 2).alias(f"{metric}_sd"))
+    # means halfway between two decimals are off by the last bit, to either side: 8 digits first, so that halves go up
+    mean, sd = F.round(F.avg(metric), 8), F.round(F.stddev_samp(metric), 8)
+    return each.groupBy("id").agg(*per, F.round(mean, 1).alias(metric), F.round(sd, 2).alias(f"{metric}_sd"))
 
 
 def source_values(values: DataFrame, metric: str) -> DataFrame:

@@ -43,7 +43,7 @@ def rankings(spark, sf):
     return attach.with_ranking(ids(spark, sf), rows, "seq")
 
 
-@query(LINES + """, v as (select id, round(avg(site_pts), 1) as adp, round(stddev_samp(site_pts), 2) as adp_sd from lines where data_src in ('1-URGENT', '5-LOW') group by id)
+@query(LINES + """, v as (select id, round(round(avg(site_pts), 8)::decimal(28, 8), 1)::double as adp, round(round(stddev_samp(site_pts), 8)::decimal(28, 8), 2)::double as adp_sd from lines where data_src in ('1-URGENT', '5-LOW') group by id)
 select p_partkey as id, p_partkey + 1 as rank, adp, adp_sd, round(p_partkey + 1 - adp, 6) as adp_diff from part left join v on id = p_partkey""")
 def draft_difference(spark, sf):
     feeds = {s: lines(spark, sf).filter(F.col("data_src") == s).withColumnRenamed("site_pts", "adp") for s in ("1-URGENT", "5-LOW")}
@@ -52,7 +52,7 @@ def draft_difference(spark, sf):
     return out.withColumn("adp_diff", F.round("adp_diff", 6))
 
 
-@query(LINES + """select id, max(case when data_src = '1-URGENT' then site_pts end) as site_pts_urgent, max(case when data_src = '5-LOW' then site_pts end) as site_pts_low, round(avg(site_pts), 1) as site_pts, round(stddev_samp(site_pts), 2) as site_pts_sd
+@query(LINES + """select id, max(case when data_src = '1-URGENT' then site_pts end) as site_pts_urgent, max(case when data_src = '5-LOW' then site_pts end) as site_pts_low, round(round(avg(site_pts), 8)::decimal(28, 8), 1)::double as site_pts, round(round(stddev_samp(site_pts), 8)::decimal(28, 8), 2)::double as site_pts_sd
 from lines where data_src in ('1-URGENT', '5-LOW') group by id""")
 def values_by_source(spark, sf):
     rows = lines(spark, sf).withColumn("data_src", F.when(F.col("data_src") == "1-URGENT", "urgent").when(F.col("data_src") == "5-LOW", "low"))

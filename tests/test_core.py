@@ -445,3 +445,15 @@ def test_first_downs_at_the_edge_of_a_rate(spark):
     got = con.execute(queries.SQL["first_downs"])
     names = [d[0] for d in got.description]
     assert rows_of(df.columns, df.collect()) == rows_of(names, got.fetchall())
+
+
+def test_means_halfway_go_up(spark):
+    """Halves in decimals, a bit off as doubles: query and SQL round them up alike."""
+    rows = [(1, 57.60561, 66.29438999999999), (2, 11.41484, 17.88516), (3, 90.46945, 98.43055), (4, 1.0, 1.1)]
+    df = spark.createDataFrame([(i, s, v) for i, a, b in rows for s, v in (("u", a), ("l", b))], "id long, data_src string, v double")
+    got = {r.id: (r.v, r.v_sd) for r in consensus.source_table(df, "v", ["u", "l"]).collect()}
+    assert {i: m for i, (m, _) in got.items()} == {1: 62.0, 2: 14.7, 3: 94.5, 4: 1.1}
+    for name in ("draft_difference", "values_by_source"):
+        assert "round(round(avg(site_pts), 8)::decimal(28, 8), 1)::double" in queries.SQL[name]
+    means = duckdb.connect().execute("select round(round((a + b) / 2, 8)::decimal(28, 8), 1)::double from (values (57.60561::double, 66.29438999999999::double), (11.41484, 17.88516), (90.46945, 98.43055), (1.0, 1.1)) t(a, b)").fetchall()
+    assert [m for m, in means] == [62.0, 14.7, 94.5, 1.1]
