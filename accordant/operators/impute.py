@@ -2,6 +2,8 @@
 
 Frames hold one row per (pos, id, data_src). A null is a gap, a published zero stays. Windows are per entity (a few
 rows each); numbers of a whole group come from an aggregation that is joined back by broadcast (one row per group).
+Functions that need both read their frame several times, so it is written first, or a chain of fills would double its
+work with each of them.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.functions.select import medians, quantiles
-from accordant.sources.stage import small
+from accordant.sources.stage import cheap, once, small
 
 ENTITY = ("pos", "id")
 
@@ -45,16 +47,18 @@ def group_rates(df: DataFrame, metric: str, reference: Column, name: str = "grou
 
 def group_rate_fill(df: DataFrame, metric: str, reference: str) -> DataFrame:
     """rate_fill with the group's rate for entities that no source covers."""
+    df = once(df)
     joined = df.join(small(group_rates(df, metric, F.col(reference))), "pos")
     return rate_fill(joined, metric, reference, F.col("group_rate")).drop("group_rate")
 
 
 def touch_rate_fill(df: DataFrame, metric: str, touches: list[str]) -> DataFrame:
     """Gaps get the group's rate per touch times the row's touches (null if it has none)."""
+    df = once(df)
     any_ = F.coalesce(*touches).isNotNull()
     touch = F.when(any_, sum((F.coalesce(F.col(c), F.lit(0.0)) for c in touches[1:]), F.coalesce(F.col(touches[0]), F.lit(0.0))))
     joined = df.join(small(group_rates(df, metric, touch)), "pos")
-    return joined.withColumn(metric, F.coalesce(metric, touch * F.col("group_rate"))).drop("group_rate")
+    return cheap(joined.withColumn(metric, F.coalesce(metric, touch * F.col("group_rate"))).drop("group_rate"))
 
 
 def decile_fill(df: DataFrame, metric: str, by: str) -> DataFrame:
@@ -62,12 +66,13 @@ def decile_fill(df: DataFrame, metric: str, by: str) -> DataFrame:
 
     Deciles are cut at the group's exact quantiles, right-closed, equal cuts merged; rows without `by` are a bucket.
     """
+    df = once(df)
     cuts = quantiles(df, ["pos"], by, [k / 10 for k in range(11)], "cuts")
     inner = F.filter(F.array_distinct("cuts"), lambda e: e < F.col(by))
     placed = df.join(small(cuts), "pos", "left").withColumn("bucket", F.when(F.col(by).isNull(), -1).otherwise(F.greatest(F.size(inner) - 1, F.lit(0))))
     near, whole = medians(placed, ["pos", "bucket"], metric, "near"), medians(df, ["pos"], metric, "whole")
     out = placed.join(small(near), ["pos", "bucket"], "left").join(small(whole), "pos", "left")
-    return out.withColumn(metric, F.coalesce(metric, "near", "whole")).drop("cuts", "bucket", "near", "whole")
+    return cheap(out.withColumn(metric, F.coalesce(metric, "near", "whole")).drop("cuts", "bucket", "near", "whole"))
 
 
 #: Shares of the ranges in a combined range.
