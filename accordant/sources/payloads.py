@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accordant.operators.clean import header_map, nan_to_null, number, recode, renamed
@@ -174,8 +174,11 @@ def stat_file(spark: SparkSession, path: str, data_src: str, mapping: list[tuple
 
 def headed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Table rows (keys, row_no, cells, heads) as (keys, row_no, place, header, value): names from a first row of header cells only, else X1, X2 ..."""
-    first = rows.filter("row_no = 0").select(*keys, F.when(F.col("heads"), F.col("cells")).alias("names"))
-    each = rows.join(first, keys).filter("names is null or row_no > 0").select(*keys, "row_no", "names", F.posexplode("cells").alias("at", "value"))
+    # the first row reaches the others by a window, so that rows are made and dealt out once; it is a list, for keys with several tables
+    first = F.collect_list(F.when(F.col("row_no") == 0, F.struct(F.when(F.col("heads"), F.col("cells")).alias("names"))))
+    known = rows.dropna(subset=keys).withColumn("first", first.over(Window.partitionBy(*keys)))
+    known = known.select(*keys, "row_no", "cells", F.explode("first").alias("first")).select(*keys, "row_no", "cells", "first.names")
+    each = known.filter("names is null or row_no > 0").select(*keys, "row_no", "names", F.posexplode("cells").alias("at", "value"))
     name = F.coalesce(F.get("names", F.col("at")), F.concat(F.lit("X"), (F.col("at") + 1).cast("string")))
     return each.select(*keys, "row_no", (F.col("at") + 1).alias("place"), name.alias("header"), "value")
 

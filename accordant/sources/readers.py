@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +74,7 @@ class _Cells(HTMLParser):
             self.cell, self.span = [], int(span) if span.isdigit() else 1
 
     def close_cell(self):
-        if self.cell is not None and self.open:
+        if self.cell is not None and self.open and self.open[-1]:
             self.open[-1][-1] += [" ".join("".join(self.cell).split())] * self.span
         self.cell = None
 
@@ -88,22 +89,81 @@ class _Cells(HTMLParser):
             self.cell.append(data)
 
 
+#: A tag without anything that needs the parser: attributes are plain, or quoted without angle brackets.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z-]*(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`/]+))?)*)[ \t\n]*>""")
+ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z-]*)(?:=(?:"([^"<>]*)"|'([^'<>]*)'|([^\s"'<>=`/]+)))?""")
+CELL_TAGS = {"td", "th", "tr", "table"}
+#: Elements whose content the parser reads in its own way.
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "plaintext", "noscript", "svg", "math"}
+
+
+def _plain_cells(html: str) -> tuple[list, set[int]] | None:
+    """`tables` and `plain` of _Cells for a page of plain tags, by one split instead of a parser; None for pages with anything else."""
+    parts = TAG.split(html)
+    if 4 * html.count("<") != len(parts) - 1 or "&" in html:
+        return None
+    tables, opened, cell, span, plain = [], [], None, 1, set()
+    for slash, name, attrs, text in zip(parts[1::4], parts[2::4], parts[3::4], parts[4::4]):
+        name = name.lower()
+        if slash and attrs or name in RAW:
+            return None
+        if name in CELL_TAGS:
+            begins = not slash and name in ("td", "th") and opened and opened[-1]
+            if slash or begins:
+                if cell is not None and opened and opened[-1]:
+                    opened[-1][-1].extend([" ".join(cell.split())] * span)
+                cell = None
+            if begins:
+                cell, span = "", 1
+                if name == "td":
+                    plain.add(id(opened[-1][-1]))
+                if attrs:
+                    wide = {k.lower(): v or w or x for k, v, w, x in ATTRIBUTE.findall(attrs)}.get("colspan") or "1"
+                    span = int(wide) if wide.isdigit() else 1
+            elif name == "tr":
+                if not slash and opened:
+                    opened[-1].append([])
+            elif name == "table":
+                if not slash:
+                    tables.append([])
+                    opened.append(tables[-1])
+                elif opened:
+                    opened.pop()
+        if cell is not None and text:
+            cell += text
+    if cell is not None and opened and opened[-1]:
+        opened[-1][-1].extend([" ".join(cell.split())] * span)
+    return tables, plain
+
+
+def _cells(html: str) -> tuple[list, set[int]]:
+    """The tables of a page, and which of their rows have a td."""
+    plain = _plain_cells(html)
+    if plain is None:
+        parser = _Cells()
+        parser.feed(html)
+        parser.close_cell()
+        plain = parser.tables, parser.plain
+    return plain
+
+
 def tables(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, row_no, cells, heads) of every table row; a colspan repeats its cell, short rows are padded, heads tells rows of header cells only."""
+    schema = "page_id long, table_no int, row_no int, cells array<string>, heads boolean"
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page, html in zip(batch.page_id, batch.html):
-                parser = _Cells()
-                parser.feed(html or "")
-                parser.close_cell()
-                for t, table in enumerate(parser.tables):
+            for page, html in zip(*[c.to_pylist() for c in batch.columns]):
+                found, plain = _cells(html or "")
+                for t, table in enumerate(found):
                     width = max(map(len, table), default=0)
-                    rows += [(page, t, k, r + [""] * (width - len(r)), bool(r) and id(r) not in parser.plain) for k, r in enumerate(table)]
-            yield pd.DataFrame(rows, columns=["page_id", "table_no", "row_no", "cells", "heads"])
+                    rows += [(page, t, k, r + [""] * (width - len(r)), bool(r) and id(r) not in plain) for k, r in enumerate(table)]
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["page_id", "table_no", "row_no", "cells", "heads"])
 
-    return pages.select("page_id", "html").filter(F.col("html").rlike("(?i)<table")).mapInPandas(run, "page_id long, table_no int, row_no int, cells array<string>, heads boolean")
+    return pages.select(F.col("page_id").cast("long"), "html").filter(F.col("html").rlike("(?i)<table")).mapInArrow(run, schema)
 
 
 def joined_headers(first: Column, second: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions import select
 from accordant.operators import board, clean, identity, impute, rank, scope, score
-from accordant.sources import payloads, publish
+from accordant.sources import payloads, publish, readers
 
 
 def board_rows(n, ties):
@@ -251,6 +251,33 @@ def test_rules_of_scopes_meet_lines_without_a_shuffle(spark):
     assert "hashpartitioning" not in plan
 
 
+def test_pages_of_plain_tags_need_no_parser():
+    """The short way through a page of plain tags gives the parser's cells, and leaves all other pages to it."""
+    draw = random.Random(3)
+    bits = ["<table>", "</table>", "<TR>", "<tr class=a>", "</tr>", "<td>", "<td colspan=2>", "<td title='x colspan=3' COLSPAN=\"2\">", "<th colspan>", "</td>", "</th >", "<b>", "</b>", " x  y ", "1 > 0", "\n", "<td colspan='x'>", "<p id=q>"]
+    odd = ["&amp;", "<!-- <td> -->", "<br/>", "<script>a<b</script>", "<td a=b/>", "</td x=1>", "< 2", "<td", "<title>t", "<td\rcolspan=2>", "<x:y>"]
+    short = 0
+    for n in range(3000):
+        html = "".join(draw.choice(bits + (odd if n % 2 else [])) for _ in range(draw.randrange(40)))
+        parser = readers._Cells()
+        parser.feed(html)
+        parser.close_cell()
+        plain, got = readers._plain_cells(html), readers._cells(html)
+        short += plain is not None
+        assert got[0] == parser.tables, html
+        assert [[id(r) in got[1] for r in t] for t in got[0]] == [[id(r) in parser.plain for r in t] for t in parser.tables]
+    assert 1500 <= short < 2500
+
+
+def test_headers_come_with_one_reading(spark):
+    """Names reach a page's rows without reading the rows twice; keys with two first rows keep both, keys without one have no rows."""
+    rows = spark.createDataFrame([(1, 0, ["a", "b"], True), (1, 1, ["x", "y"], False), (2, 0, ["p"], False), (2, 0, ["n"], True), (2, 1, ["q"], False), (3, 1, ["z"], False), (None, 0, ["o"], True)], "page_id long, row_no int, cells array<string>, heads boolean")
+    out = payloads.headed(rows, ["page_id"])
+    got = sorted((r.page_id, r.row_no, r.place, r.header, r.value) for r in out.collect())
+    assert got == sorted([(1, 1, 1, "a", "x"), (1, 1, 2, "b", "y"), (2, 0, 1, "X1", "p"), (2, 0, 1, "X1", "n"), (2, 1, 1, "X1", "q"), (2, 1, 1, "n", "q")])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
 def test_fills_read_their_lines_once(spark):
     """Behind a chain of fills stands one stage, not the lines again for each of them."""
     lines = spark.createDataFrame([("A", k % 5, str(k % 3), float(k) if k % 4 else None, float(k + 1), None if k % 7 else 2.0, 1.0 * k) for k in range(60)], "pos string, id long, data_src string, x double, y double, z double, s double")
