@@ -393,3 +393,28 @@ def test_pipeline_stages_on_odd_and_empty_rows(spark, sf, odd):
                 assert out.columns == docs.columns and out.count() <= docs.count()
     # a document that is repeated stays with all its rows; copies under other ids or none go
     assert sorted(str(r.doc_id) for r in near_dedup.drop_near_copies(odd).collect()) == sorted(map(str, [1, 4, 4, 5, 6, 7]))
+
+
+def test_labels_meet_no_texts(spark, monkeypatch):
+    """Beyond the size of a broadcast, too, no text is shuffled to find the sample, which is the same; ids that repeat are in it as often as before."""
+    from accordant.llm import toxicity
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(k % 300, f"text {k}") for k in range(400)], "doc_id long, text string")
+        labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+        known = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+        want = toxicity.bounded_sample(docs.join(known, "doc_id").select("doc_id", "text", "toxic"), "doc_id", 50, per="toxic")
+        seen, plain, fitted = [], toxicity.bounded_sample, []
+        monkeypatch.setattr(toxicity, "bounded_sample", lambda df, *rest, **more: (seen.append(df), plain(df, *rest, **more))[1])
+        monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 50)
+        monkeypatch.setattr(toxicity, "Bag", lambda texts, toxic: fitted.extend(zip(texts, toxic)))
+        toxicity.fit(docs, labels)
+        assert fitted == [(r.text, r.toxic) for r in want] and len(fitted) == 100
+        for df in seen:
+            assert "text" not in df.columns or "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+        assert any("text" in df.columns for df in seen)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
