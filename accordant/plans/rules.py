@@ -8,6 +8,8 @@ from accordant.operators import board as boards
 from accordant.operators import impute, score, settings
 from accordant.sources import payloads, publish, readers
 
+from accordant.sources.stage import staged
+
 from .queries import LINES, SCORED, lines, query, rounded, table
 
 KINDS = ["rec", "pass_yds", "xp", "fg_50", "rush_fd", "jumps", "dst_sacks"]
@@ -135,7 +137,7 @@ select id, pos, data_src, round(coalesce(qty, 0) + coalesce(yds, 0) * 0.001 + co
 def scored_lines(spark, sf):
     """Fills in the order of their rates (disc needs qty, qty needs yds), then points with an overlay for one group."""
     fills = boards.Fills(rates={"disc": "qty", "qty": "yds"}, touches={}, level="none")
-    rows = lines(spark, sf).select("id", "pos", "data_src", "qty", "yds", "disc")
+    rows = staged(lines(spark, sf).select("id", "pos", "data_src", "qty", "yds", "disc"), "lines")
     out = boards.scored_lines(rows, {"disc": 2.0, "qty": 1.0, "yds": 0.001}, {"SMALL": {"disc": 5.0}}, fills)
     return out.withColumn("points", F.round("points", 6))
 
