@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,16 +14,25 @@ from pyspark.sql import types as T
 MAD_SCALE = 1.4826
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it: conditional branches and lambdas share nothing else."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def array_median(values: Column) -> Column:
     """Middle of an array, the mean of the two middle values for even sizes; null if empty."""
-    s, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2 + 1).cast("int"))) / 2)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return F.when(n > 0, (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2 + 1).cast("int"))) / 2)
+
+    return once(F.array_sort(values), middle)
 
 
 def mad(values: Column) -> Column:
     """Median absolute deviation, scaled to a normal sd; null for fewer than two values."""
-    middle = array_median(values)
-    return F.when(F.size(values) > 1, MAD_SCALE * array_median(F.transform(values, lambda x: F.abs(x - middle))))
+    spread = once(array_median(values), lambda middle: array_median(F.transform(values, lambda x: F.abs(x - middle))))
+    return F.when(F.size(values) > 1, MAD_SCALE * spread)
 
 
 def hodges_lehmann(values: Column) -> Column:

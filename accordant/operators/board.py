@@ -103,11 +103,15 @@ def defence_points(lines: DataFrame, season: Season, points: str = "points") ->
     if season.allowed not in lines.columns or not season.brackets:
         return lines
     allowed = F.col(season.allowed)
+    other = ~F.col("pos").eqNullSafe(F.lit(season.defence))
     if season.weekly:
+        lines = lines.filter(other | allowed.isNotNull())
         own = score.bracket(allowed, season.brackets)
     else:
         spreads = season.spreads.select("id", F.col("intercept").alias("__a"), F.col("slope").alias("__b"))
         lines = lines.join(sized(staged(spreads, "spreads")), "id", "left")
+        # what a total is null without is known before it: a filter by the total would work it out twice
+        lines = lines.filter(other | (allowed.isNotNull() & F.col("__a").isNotNull() & F.col("__b").isNotNull()))
         own = score.season_total(["id", "data_src"], allowed / SEASON_GAMES, F.col("__a") + F.col("__b") * (allowed / SEASON_GAMES), season.brackets)
     return lines.withColumn(points, F.when(F.col("pos") == season.defence, F.col(points) + own).otherwise(F.col(points))).drop("__a", "__b")
 
@@ -138,8 +142,7 @@ def scored_lines(lines: DataFrame, rules: dict[str, float], overlays: dict[str,
         points = F.when(F.col("pos") == pos, score.points({m: v for m, v in (rules | own).items() if m in lines.columns})).otherwise(points)
     if season is None:
         return lines.select("id", "pos", "data_src", points.alias("points"))
-    out = defence_points(lines.withColumn("points", points), season)
-    return out.filter("points is not null").select("id", "pos", "data_src", "points")
+    return defence_points(lines.withColumn("points", points), season).select("id", "pos", "data_src", "points")
 
 
 #: Digits of points and spreads, and of the bounds, that ranks are taken on: ranks of equal values don't hang on the last bit.

@@ -74,10 +74,15 @@ METHODS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 }
 
 
+def by_entity(scored: DataFrame) -> DataFrame:
+    """scored, dealt out by entity. The number of tasks is named: an entity is few bytes and much work, and Spark would join tasks by their bytes."""
+    return scored.repartition(int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+
+
 def consensus(scored: DataFrame, weights: DataFrame, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
     """Methods as rows (avg_type), with borrowed spreads and entities of finite, positive points only."""
-    # one exchange by entity serves the aggregations of all methods
-    scored, rows = scored.repartition(*KEYS), None
+    # one exchange serves the aggregations of all methods
+    scored, rows = by_entity(scored), None
     for name in methods:
         df = METHODS[name](scored, weights).withColumn("avg_type", F.lit(name))
         rows = df if rows is None else rows.unionByName(df)

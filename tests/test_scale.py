@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordant.functions import select
-from accordant.operators import board, clean, identity, impute, rank, scope, score
+from accordant.operators import board, clean, consensus, identity, impute, rank, scope, score
 from accordant.sources import payloads, publish, readers
 
 
@@ -201,6 +201,33 @@ def test_season_totals_by_row(spark):
     assert got == want and got["n"] is None and got["m"] is None
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_draw_is_worked_out_once(spark):
+    """Two digests a game: not once more for every tier, nor for a filter by the total."""
+    tiers = [(5.0, 10.0), (15.0, 7.0), (25.0, 4.0)]
+    df = spark.createDataFrame([("a", "DST", "s", 340.0)], "id string, pos string, data_src string, dst_pts_allowed double")
+    total = score.season_total(["id"], F.col("dst_pts_allowed") / 17, F.lit(3.0), tiers)
+    assert optimized(df.select(total.alias("points"))).count("md5(") == 2
+    spreads = spark.createDataFrame([("a", 3.0, 0.1), ("b", None, 0.1)], "id string, intercept double, slope double")
+    rows = df.unionByName(spark.createDataFrame([("b", "DST", "s", 340.0), ("c", "DST", "s", 340.0), ("a", "DST", "t", None), ("a", None, "s", None)], df.schema)).withColumn("points", F.lit(1.0))
+    out = board.defence_points(rows, board.Season(brackets=tiers, spreads=spreads))
+    assert optimized(out).count("md5(") == 2
+    assert sorted((r.id, r.pos or "") for r in out.collect()) == [("a", ""), ("a", "DST")]
+
+
+def test_work_of_entities_is_not_dealt_by_bytes(spark):
+    """Few bytes an entity are much work: the exchange names its number of tasks. An array is sorted once for its median, once more for the deviations."""
+    scored = spark.createDataFrame([(k, "a", s, float(k + s)) for k in range(50) for s in range(3)], "id int, pos string, data_src int, points double")
+    sources = spark.createDataFrame([(0, 1.0)], "data_src int, weight double")
+    average = consensus.consensus(scored, sources, ("average",))
+    assert average.count() == 50
+    assert consensus.by_entity(scored).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert optimized(consensus.robust(scored)).count("array_sort(") <= 3
+
+
 def test_landed_team_and_passer_tables(spark):
     landed = spark.createDataFrame([("a", "b", "T1", 1.0, 0.3), ("b", None, "T2", 2.0, 0.3), (None, "c", "T3", 3.0, 0.3)], "id string, nfl_id string, team string, Intercept double, season_mean double")
     assert {r.id: (r.intercept, r.slope) for r in payloads.team_spreads(landed).collect()} == {"a": (1.0, 0.3), "b": (2.0, 0.3), "c": (3.0, 0.3)}
