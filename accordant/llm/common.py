@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -66,11 +67,21 @@ def bounded_sample(df: DataFrame, key: str, rows: int, per: str | None = None, m
     return sorted(out, key=lambda r: (r["__per"], r["__n"]))
 
 
+def at_path(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column of the batch, or a field of a struct in it by names with / between them."""
+    name, *inside = path.split("/")
+    out = batch.column(name)
+    for name in inside:
+        out = out.field(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, chars: int, texts: tuple[str, ...] = ("text",)) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many characters in their texts: bounds what one step holds besides the largest text."""
+    """Parts of a batch with about so many characters in their texts: bounds what one step holds besides the largest text. Lengths are taken in Arrow, so no text is made a Python string for them."""
     begun = size = 0
-    for k, each in enumerate(zip(*[batch.column(t).to_pylist() for t in texts])):
-        size += sum(len(t or "") for t in each)
+    columns = [c for c in (at_path(batch, t) for t in texts) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+    for k, each in enumerate(zip(*[pc.utf8_length(c).to_pylist() for c in columns])):
+        size += sum(n or 0 for n in each)
         if size >= chars:
             yield batch.slice(begun, k + 1 - begun)
             begun, size = k + 1, 0
@@ -81,19 +92,22 @@ def slices(batch: pa.RecordBatch, chars: int, texts: tuple[str, ...] = ("text",)
 def over_texts(docs: DataFrame, run: Callable[..., dict], fields: str, keep: list[str] | None = None, chars: int = 2_000_000, texts: tuple[str, ...] = ("text",)) -> DataFrame:
     """docs' columns `keep` (all of them if None), and beside them the `fields` that run makes of a slice of the texts.
 
-    run takes one list a column of `texts` and gives one sequence a field. The kept columns stay in Arrow from end to end:
+    run takes one list a column of `texts` and gives one sequence a field. A text that is also kept (a column, or a field
+    of a struct: doc/text) is sent once and read where it is kept. The kept columns stay in Arrow from end to end:
     no value of theirs passes through Python or numpy, so a number beside a null keeps all its digits. They travel in one
     struct, so their names cannot clash with those of the texts; a kept column of a field's name gives way to the field.
     """
     kept = docs.columns if keep is None else keep
     made = StructType.fromDDL(fields)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), *[F.col(f"`{t}`") for t in texts])
+    inside = {t: f"__row/{t}" if t.split("/")[0] in kept else t for t in texts}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), *[F.col(f"`{t}`") for t in texts if inside[t] == t])
+    paths = tuple(inside.values())
     kinds = {f.name: to_arrow_type(f.dataType) for f in made}
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, chars, texts):
-                got = run(*[part.column(t).to_pylist() for t in texts])
+            for part in slices(batch, chars, paths):
+                got = run(*[at_path(part, t).to_pylist() for t in paths])
                 yield pa.RecordBatch.from_arrays([part.column("__row"), *[pa.array(got[n], kind) for n, kind in kinds.items()]], ["__row", *kinds])
 
     out = rows.mapInArrow(mapped, StructType([StructField("__row", rows.schema["__row"].dataType), *made]))

@@ -130,27 +130,26 @@ def fit(docs: DataFrame) -> Centroids:
     return Centroids([r.text for r in sample], [r.lang for r in sample])
 
 
-def languages(docs: DataFrame, model: Centroids, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (all, if None) with lang_pred, score and rejected."""
+def languages(docs: DataFrame, model: Centroids, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """docs' columns `keep` (all, if None) with lang_pred, score and rejected; text is a column, or a field of a kept one (doc/text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: list[str | None]) -> dict:
+    def run(texts: list[str | None], letters: list[bool | None]) -> dict:
         lang, score, out = np.full(len(texts), "und", object), np.zeros(len(texts)), np.ones(len(texts), bool)
-        known = np.array([k for k, t in enumerate(texts) if t is not None], "i8")
+        known = np.array([k for k, has in enumerate(letters) if has], "i8")
         for k in range(0, len(known), 128):
             own = known[k : k + 128]
             lang[own], score[own], out[own] = shared.value.predict([texts[j] for j in own])
         return {"lang_pred": lang, "score": score, "rejected": out}
 
-    # texts without a letter go as null
-    told = docs.withColumn("__told", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
-    return over_texts(told, run, "lang_pred string, score double, rejected boolean", docs.columns if keep is None else keep, texts=("__told",))
+    told = docs.withColumn("__letters", F.col(text.replace("/", ".")).rlike(r"\p{L}"))
+    return over_texts(told, run, "lang_pred string, score double, rejected boolean", docs.columns if keep is None else keep, texts=(text, "__letters"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs without those that the model, learned from them, rejects; same columns, whatever their names."""
-    row = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    scored = languages(row, fit(docs), ["doc"])
+    row = docs.select(F.struct(*docs.columns).alias("doc"))
+    scored = languages(row, fit(docs), ["doc"], "doc/text")
     return scored.filter(~F.col("rejected") & (F.col("lang_pred") != "und")).select("doc.*")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordant.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
+from accordant.llm import bpe, common, decontaminate, exact_dedup, language_id, near_dedup
 from accordant.llm.common import table
 from accordant.llm.components import components
 
@@ -418,3 +418,14 @@ def test_labels_meet_no_texts(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_a_kept_text_is_sent_once(spark):
+    """Rows go to Python with their text in the kept struct only, whatever slices and nulls they come in."""
+    docs = spark.createDataFrame([(k, None if k % 7 == 0 else f"text {k}" if k % 3 else "12", "x") for k in range(50)], "doc_id long, text string, __letters string").repartition(3)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    out = common.over_texts(rows, lambda texts: {"n": [len(t or "") for t in texts]}, "n long", ["doc"], 40, ("doc/text",))
+    assert {(r.doc.doc_id, r.n) for r in out.collect()} == {(r.doc_id, len(r.text or "")) for r in docs.collect()}
+    sent = language_id.keep_known(docs.withColumn("lang", F.lit("a")))._jdf.queryExecution().analyzed().toString()
+    assert "__told" not in sent and "MapInArrow" in sent
+    assert next(line for line in sent.splitlines() if "__row" in line and "Project" in line and "AS __row" in line).count("text#") == 0
