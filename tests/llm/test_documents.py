@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordant.llm import bpe, common, decontaminate, exact_dedup, language_id, near_dedup
+from accordant.llm import components as components_module
 from accordant.llm.common import table
 from accordant.llm.components import components
 
@@ -308,6 +309,21 @@ def test_components(spark):
     assert got == {**dict.fromkeys([*range(41), 100, 200, 300], 0), 500: 500, 501: 500}
 
 
+def test_components_shrink_from_round_to_round(spark, monkeypatch):
+    """Chains of random numbers, rings and a star: the rounds together write a few times the links, not all of them in every round."""
+    draw, written = random.Random(9), []
+    node = draw.sample(range(-(10**6), 10**6), 4000)
+    links = list(zip(node[:1500], node[1:1501])) + [(node[2000], n) for n in node[2001:3000]] + [(node[3000 + k], node[3000 + (k + 1) % 900]) for k in range(900)] + [(5, 5), (None, 7)]
+    real = components_module.materialize
+    monkeypatch.setattr(components_module, "materialize", lambda df: written.append(real(df)) or written[-1])
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {n: min(group) for group in (node[:1501], node[2000:3000], node[3000:3900]) for n in group}
+    assert got == want
+    sides = [n for n in ((t.count(), t.columns) for t in written) if n[1] == ["a", "b"]]
+    assert sum(n for n, _ in sides) < 3 * sides[0][0] and len(sides) > 3
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
