@@ -22,7 +22,12 @@ all pairs):
    exact repeats depends on the choice of a star. Near repeats meet again without the documents that share the 13 words
    only, and are compared with the star of the new key.
 
-Near repeats are found with a probability, then: tests measure it with decoys. Windows whose least token stands within SIDE
+5. Where the star of a second key failed too, its other windows are split by every token within NEAREST of their key
+that the star has not: two windows that share no more than the star does are as unlike as each is to the star. Each token is
+a key with a star of its own, and so on, until no key is left that two documents have beside its star. Every round
+leaves out the tokens of the stars before, so boilerplate divides no windows twice.
+
+Near repeats are found with a probability, then, which is that of the hash functions and not of the stars: tests measure it with decoys. Windows whose least token stands within SIDE
 tokens of the window's edge give no key, as the words beyond the edge need not belong to the passage.
 
 Classes of documents follow from the verified links as connected components. Equal texts are one node throughout. A node
@@ -59,30 +64,34 @@ SIDE = 4
 SLICE_CHARS = 1_500_000
 #: Hash functions and tokens of the second key, on either side of the first.
 SIDES, NEAREST = 4, 22
+#: Rows up to which no key can have too many for one task.
+FEW_ROWS = 50_000
 #: Unequal tokens up to which the next equal run is looked for first.
 NEAR = 32
 
 
 def compact_windows(values: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """l, c, r of all compact windows of at least `width` values in the stretches [begin, end); ties are split at random places, which keeps the tree flat."""
-    key = (values & np.uint64(0xFFFFFFFFFFFF0000)) | (mix(np.arange(len(values), dtype="u8")) & np.uint64(0xFFFF))
+    # a place, scattered, stands in the low bits of its value, so the least key tells where it is
+    bits = max(20, len(values).bit_length())
+    low, scatter, back = np.uint64((1 << bits) - 1), np.uint64(BASE), np.uint64(INVERSE)
+    key = (values & ~low) | (np.arange(len(values), dtype="u8") * scatter & low)
     wide = end - begin >= width
     l, r = begin[wide], end[wide] - 1
     if not len(l):
         return (np.zeros(0, "i8"),) * 3
-    # least[k][i] is the place of the least key in i .. i + 2**k - 1
-    least = [np.arange(len(key), dtype="i4")]
+    # least[k][i] is the least key in i .. i + 2**k - 1
+    least = [key]
     for k in range(1, int((r - l + 1).max()).bit_length()):
-        a, b = least[-1][: -(1 << k - 1)], least[-1][1 << k - 1 :]
-        least.append(np.where(key[b] < key[a], b, a))
+        least.append(np.minimum(least[-1][: -(1 << k - 1)], least[-1][1 << k - 1 :]))
     out = []
     while len(l):
         k = np.frexp((r - l + 1).astype("f8"))[1] - 1
-        c = np.empty(len(l), "i8")
-        for level in np.unique(k):
-            own = k == level
-            a, b = least[level][l[own]], least[level][r[own] - (1 << level) + 1]
-            c[own] = np.where(key[b] < key[a], b, a)
+        least_of = np.empty(len(l), "u8")
+        for level in range(int(k.min()), int(k.max()) + 1):
+            own = np.flatnonzero(k == level)
+            least_of[own] = np.minimum(least[level][l[own]], least[level][r[own] - (1 << level) + 1])
+        c = (least_of * back & low).astype("i8")
         out.append((l, c, r))
         l, r = np.concatenate((l, c + 1)), np.concatenate((c - 1, r))
         wide = r - l + 1 >= width
@@ -183,18 +192,20 @@ def padded(begin: int, end: int, n: int) -> tuple[int, int]:
     return max(0, min(begin, end - WIDTH)), end
 
 
-def aligned(a: np.ndarray, b: np.ndarray, at: int, bt: int) -> tuple[int, int, tuple[int, int, int, int] | None]:
+def aligned(a: np.ndarray, b: np.ndarray, at: int, bt: int, begin: int = 0, end: int | None = None) -> tuple[int, int, tuple[int, int, int, int] | None]:
     """The equal run of a around a[at] == b[bt], and the widest passage around it as tokens [a0, a1) and [b0, b1) if there is one.
 
-    Equal runs are chained over whatever lies between them; a passage ends with equal tokens unless it needs others to have WIDTH.
+    Equal runs are chained over whatever lies between them; a passage ends with equal tokens unless it needs others to have
+    WIDTH. [begin, end) is as far as `reach` says that its equal tokens can stand in a.
     """
-    room = int(min(len(a), len(b)) * (1 / LEAST - 1) + 1e-6)  # more unequal tokens no passage of these texts can have
+    end = len(a) if end is None else end
+    room = int(min(end - begin, len(b)) * (1 / LEAST - 1) + 1e-6)  # more unequal tokens no passage of these stretches can have
     left, right = equal_run(a[:at][::-1], b[:bt][::-1]), equal_run(a[at:], b[bt:])
     lo, hi = at - left, at + right
     if min(len(a), len(b)) < WIDTH:
         return lo, hi, None
-    before = chain(a[:lo][::-1], b[: bt - left][::-1], room)
-    after = chain(a[hi:], b[bt + right :], room)
+    before = chain(a[begin:lo][::-1], b[: bt - left][::-1], room)
+    after = chain(a[hi:end], b[bt + right :], room)
     na, nb, same = (before[:, None, k] + after[None, :, k] + left + right for k in range(3))
     fits = same >= LEAST * (np.maximum(na, WIDTH) + np.maximum(nb, WIDTH) - same)
     if not fits.any():
@@ -225,6 +236,20 @@ def promising(common: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.maximum(best[at], far) >= -1e-9
 
 
+def reach(common: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the part around each place that a stretch with a share of LEAST or more of common tokens can lie in.
+
+    With P as in `promising`, a stretch [l, r) around the place has P[r] >= P[l]. So r is no further than the last place
+    where P is at least the least P before the place, and l no further than the first where it is at most the largest after it.
+    """
+    total = np.concatenate(([0.0], np.cumsum(common - LEAST)))
+    right = np.maximum.accumulate(total[::-1])  # ascending, from the end
+    left = np.minimum.accumulate(total)
+    begin = len(total) - np.searchsorted(left[::-1], right[::-1][at + 1] + 1e-9, "right")
+    end = len(total) - 1 - np.searchsorted(right, left[at] - 1e-9, "left")
+    return begin, end
+
+
 def passages_of(x: np.ndarray, y: np.ndarray, common: np.ndarray, anchors: np.ndarray) -> list[tuple]:
     """For the anchors (c in the high, d in the low 32 bits) of two token arrays the passages found: (a0, a1, b0, b1, c), nulls for anchors in none."""
     spots = np.sort(anchors)
@@ -236,10 +261,11 @@ def passages_of(x: np.ndarray, y: np.ndarray, common: np.ndarray, anchors: np.nd
     found: list[tuple[int, int, int, int]] = []
     failed: list[tuple[int, int, int]] = []  # stretches of a and their shift
     rows = []
-    for c, d, good in zip(c.tolist(), d.tolist(), go.tolist()):
+    begin, end = reach(common, np.minimum(c, len(x) - 1))
+    for c, d, good, begin, end in zip(c.tolist(), d.tolist(), go.tolist(), begin.tolist(), end.tolist()):
         known = next((p for p in found if p[0] <= c < p[1] and p[2] <= d < p[3]), None)
         if known is None and good and not any(lo <= c < hi and c - d == shift for lo, hi, shift in failed):
-            lo, hi, known = aligned(x, y, c, d)
+            lo, hi, known = aligned(x, y, c, d, begin, end)
             if known:
                 found.append(known)
             else:
@@ -313,20 +339,75 @@ def keyed_anew(left: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(texts, "node").select("node", "places", "text").mapInPandas(run, "node long, key long, at int, exact boolean")
 
 
+def surroundings(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, c, near) for places of left(node, places): the distinct tokens within NEAREST on either side of the key around c."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, SLICE_CHARS):
+                doc, token = shingles(part.text.tolist())
+                edges = np.searchsorted(doc, np.arange(len(part) + 1))
+                rows = []
+                for k, (node, places) in enumerate(zip(part.node.tolist(), part.places)):
+                    own = token[edges[k] : edges[k + 1]].view("i8")
+                    for c in np.asarray(places).tolist():
+                        sides = own[max(0, c - SIDE - NEAREST) : max(0, c - SIDE)], own[c + SIDE + 1 : c + SIDE + 1 + NEAREST]
+                        rows.append((node, c, np.unique(np.concatenate(sides))))
+                yield pd.DataFrame(rows, columns=["node", "c", "near"])
+
+    return left.join(texts, "node").select("node", "places", "text").mapInPandas(run, "node long, c int, near array<long>")
+
+
+def closer(rows: DataFrame, found: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """Passages beside found(a, b, a0, a1, b0, b1, c) of windows rows(node, c, star, d) whose star they failed with, as step 5 says; tried(node, star, c, d) are known.
+
+    Windows with one star, at one place of it, are a group, whatever number of keys they share with it.
+    """
+    more, groups = found.limit(0), None
+    rows = materialize(rows.select(F.xxhash64("star", "d").alias("group"), "node", "c", "star", "d").distinct())
+    while True:
+        known = found.unionByName(more).select(F.col("a").alias("node"), F.col("b").alias("star"), "c").distinct()
+        open_ = rows.filter("node <> star").join(known, ["node", "star", "c"], "left_anti").select("group").distinct()
+        # the star's other places go on, too
+        others = rows.filter("node <> star or c <> d")
+        several = others.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("group")
+        rows = materialize(others.join(open_.join(several, "group"), "group", "left_semi"))
+        if not rows.limit(1).count():
+            return more
+        if groups is None:
+            spots = rows.select("node", "c").unionByName(rows.select(F.col("star").alias("node"), F.col("d").alias("c"))).distinct()
+            near = materialize(surroundings(materialize(spots.groupBy("node").agg(F.collect_set("c").alias("places"))), texts))
+            own, on, of = near, ["node", "c"], ["star", "d"]
+        else:
+            own, on, of = groups.withColumnRenamed("group", "above"), ["above", "node", "c"], ["above", "star", "d"]
+        stars = own.withColumnsRenamed({"node": "star", "c": "d", "near": "star_near"})
+        groups = materialize(rows.join(own, on).join(stars, of).select("group", "node", "c", F.array_except("near", "star_near").alias("near")))
+        split = groups.select("group", "node", "c", F.explode("near").alias("token")).select(F.xxhash64("group", "token").alias("key"), F.col("group").alias("above"), "node", "c")
+        met = starred(materialize(split), "c")
+        rows = materialize(met.select(F.xxhash64("above", "star", "d").alias("group"), "above", "node", "c", "star", "d").distinct())
+        fresh = materialize(rows.filter("node <> star").select("node", "star", "c", "d").distinct().join(tried, ["node", "star", "c", "d"], "left_anti"))
+        if not fresh.limit(1).count():
+            continue
+        tried = tried.unionByName(fresh)
+        more = more.unionByName(materialize(verify(materialize(anchored(fresh)), texts)).filter("a0 is not null"))
+
+
 def starred(rows: DataFrame, place: str) -> DataFrame:
     """rows(node, key, ...), a written table, of keys that stand in several documents, the star's too, each with star and d: the least node and its place.
 
-    Keys with 1/HOT of all rows or more, HOT at most, are found by a sketch, counted, and joined by broadcast, so none of
+    In a table of more than FEW_ROWS, keys with 1/HOT of all rows or more, HOT at most, are found by a sketch, counted, and joined by broadcast, so none of
     their rows is shuffled. The rows of the others are dealt by key.
     """
     star = F.min(F.struct("node", place)).alias("s"), F.max("node").alias("last")
+    shared = lambda groups: groups.filter("s.node <> last").select("key", F.col("s.node").alias("star"), F.col(f"s.{place}").alias("d"))
+    if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        return rows.join(shared(rows.groupBy("key").agg(*star)), "key")
     named = rows.agg(F.expr(f"approx_top_k(key, {2 * HOT}, {TRACKED})").alias("top"), F.count("*").alias("n"))
     named = materialize(named.select(F.explode("top.item").alias("key"), "n"))
     hot = rows.join(F.broadcast(named), "key").groupBy("key").agg(*star, F.count("*").alias("size"), F.first("n").alias("n"))
     hot = F.broadcast(materialize(hot.filter(F.col("size") * HOT >= F.col("n")).drop("size", "n")))
     # one exchange serves the aggregation and the join
     rest = rows.join(hot, "key", "left_anti").repartition("key")
-    shared = lambda groups: groups.filter("s.node <> last").select("key", F.col("s.node").alias("star"), F.col(f"s.{place}").alias("d"))
     return rest.join(shared(rest.groupBy("key").agg(*star)), "key").unionByName(rows.join(F.broadcast(shared(hot)), "key"))
 
 
@@ -351,16 +432,19 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     some = materialize(texts.join(sized(some), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     checked = materialize(verify(pairs, some))
     found = checked.filter("a0 is not null")
-    # keys with a window that no verified passage covers: all their places are keyed anew
-    covered = found.select(F.col("a").alias("node"), "c").distinct()
-    open_ = materialize(others.join(covered, ["node", "c"], "left_anti").select("key").distinct())
+    # keys with a window that no passage verified with their star covers: all their places are keyed anew
+    covered = found.select(F.col("a").alias("node"), F.col("b").alias("star"), "c").distinct()
+    open_ = materialize(others.join(covered, ["node", "star", "c"], "left_anti").select("key").distinct())
     left = materialize(met.join(sized(open_), "key", "left_semi").select("node", "c").distinct().groupBy("node").agg(F.collect_set("c").alias("places")))
-    anew = materialize(starred(materialize(keyed_anew(left, some).filter("key is not null and node is not null")), "at").filter("node <> star"))
-    same = anew.filter("exact").select("node", "star", F.col("at").alias("start"), "d")
-    tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = anew.filter("not exact").select("node", "star", F.col("at").alias("c"), "d")
-    more = anchored(more.join(tried, (F.col("node") == F.col("a")) & (F.col("star") == F.col("b")), "left_anti"))
-    found = found.unionByName(materialize(verify(materialize(more), some)).filter("a0 is not null"))
+    anew = materialize(starred(materialize(keyed_anew(left, some).filter("key is not null and node is not null")), "at"))
+    same = anew.filter("exact and node <> star").select("node", "star", F.col("at").alias("start"), "d")
+    # linked pairs are known, failed ones at these places: at others they are tried again
+    tried = materialize(others.select("node", "star", "c", "d").distinct())
+    linked = found.select(F.col("a").alias("node"), F.col("b").alias("star")).distinct()
+    second = anew.filter("not exact").select("node", "star", F.col("at").alias("c"), "d")
+    more = materialize(second.filter("node <> star").select("node", "star", "c", "d").distinct().join(linked, ["node", "star"], "left_anti").join(tried, ["node", "star", "c", "d"], "left_anti"))
+    found = found.unionByName(materialize(verify(materialize(anchored(more)), some)).filter("a0 is not null"))
+    found = found.unionByName(closer(second, found, some, tried.unionByName(more)))
     links = found.select("a", "b").unionByName(same.select(F.col("node").alias("a"), F.col("star").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = F.lit(SHINGLE - 1)
     span = lambda df, node, a, b: df.select(F.col(node).alias("node"), F.col(a).alias("begin"), (F.col(b) + last).alias("end"))

@@ -148,6 +148,26 @@ def test_near_passages_among_decoys(spark):
     assert not any(got[k].duplicated for k in got if k not in near)
 
 
+def test_near_passages_behind_stars_of_either_key(spark):
+    """Near passages whose every key and second key also stands in 80 and more documents, unlike each other, that share 44 words of them only."""
+    draw = random.Random(21)
+    fresh = lambda n: [draw.choice("bcdfgh") + str(draw.randrange(10**6)) for _ in range(n)]
+    docs, pairs = [], []
+    for _ in range(2):
+        p = fresh(100)
+        docs += [fresh(25) + p[at : at + 44] + fresh(25) for at in range(57) for _ in range(16)]
+        q = list(p)
+        for at in (draw.randrange(28, 40), draw.randrange(60, 72)):
+            q[at] = fresh(1)[0]
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [fresh(30) + p + fresh(30), fresh(20) + q + fresh(40)]
+    rows = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.passage_classes(rows).collect()}
+    assert sum(got[a].class_id == got[b].class_id == a for a, b in pairs) == len(pairs)
+    near = {k for pair in pairs for k in pair}
+    assert not any(got[k].duplicated for k in got if k not in near)
+
+
 def test_passages_of_shared_and_negative_ids(spark):
     draw = random.Random(3)
     fresh = lambda n: [str(draw.randrange(10**6)) for _ in range(n)]
