@@ -28,6 +28,8 @@ are ignored (`drop_near_copies` carries them).
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +54,8 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the text and 64-bit hash of each shingle, repeats included, in the order of the texts."""
     docs = [words(t) for t in texts]
     n = np.array([len(d) for d in docs], "i8")
-    codes = np.array([h for d in docs for h in map(xxhash.xxh3_64_intdigest, d)], "u8")
+    # digests are big-endian bytes: no Python number is made of each
+    codes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(docs))), ">u8").astype("u8")
     begin, count = np.cumsum(n) - n, np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
     doc = np.repeat(np.arange(len(docs)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)

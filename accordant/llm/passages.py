@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .arrays import BASE, INVERSE, mix, powers
 from .bpe import slices
-from .common import materialize, sized, table
+from .common import BROADCAST_ROWS, materialize, sized, table
 from .components import components
 from .decontaminate import words
 from .exact_dedup import HOT, TRACKED, digest
@@ -66,8 +66,8 @@ SLICE_CHARS = 1_500_000
 SIDES, NEAREST = 4, 22
 #: Rows up to which no key can have too many for one task.
 FEW_ROWS = 50_000
-#: Unequal tokens up to which the next equal run is looked for first.
-NEAR = 32
+#: Unequal tokens up to which the next equal run is looked for first: those of one changed word, then more.
+NEAR = (2 * SHINGLE, 32)
 
 
 def compact_windows(values: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,15 +128,15 @@ def keyed_windows(texts: list[str | None]) -> tuple[np.ndarray, ...]:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(node, fn, key, c, before, after) of all windows of docs(node, text)."""
+    """(node, key, c) of all windows of docs(node, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch, SLICE_CHARS):
-                own, fn, key, c, before, after = keyed_windows(part.text.tolist())
-                yield pd.DataFrame({"node": part.node.to_numpy()[own], "fn": fn.astype("i1"), "key": key, "c": c.astype("i4"), "before": before.astype("i4"), "after": after.astype("i4")})
+                own, _, key, c, *_ = keyed_windows(part.text.tolist())
+                yield pd.DataFrame({"node": part.node.to_numpy()[own], "key": key, "c": c.astype("i4")})
 
-    return docs.mapInPandas(run, "node long, fn tinyint, key long, c int, before int, after int")
+    return docs.mapInPandas(run, "node long, key long, c int")
 
 
 def equal_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -153,19 +153,20 @@ def equal_run(a: np.ndarray, b: np.ndarray) -> int:
 
 def nearest(a: np.ndarray, b: np.ndarray, room: int) -> tuple[int, int] | None:
     """The places (i, j) of equal tokens a[i] == b[j] with the least i + j, which is `room` at most; of equal ones the least i."""
-    near = min(NEAR, room)
-    # most gaps are a changed word: a small table is faster than arrays
-    ahead = b[: near + 1].tolist()
-    first = {t: j for j, t in zip(range(len(ahead) - 1, -1, -1), reversed(ahead))}
-    least, found = near + 1, None
-    for i, t in enumerate(a[: near + 1].tolist()):
-        if i >= least:
-            break
-        j = first.get(t)
-        if j is not None and i + j < least:
-            least, found = i + j, (i, j)
-    if found or room <= NEAR:
-        return found
+    # most gaps are a changed word: a small table is faster than arrays, and the smallest serves most
+    for near in NEAR:
+        near = min(near, room)
+        ahead = b[: near + 1].tolist()
+        first = {t: j for j, t in zip(range(len(ahead) - 1, -1, -1), reversed(ahead))}
+        least, found = near + 1, None
+        for i, t in enumerate(a[: near + 1].tolist()):
+            if i >= least:
+                break
+            j = first.get(t)
+            if j is not None and i + j < least:
+                least, found = i + j, (i, j)
+        if found or room <= near:
+            return found
     x, (y, place) = a[: room + 1], np.unique(b[: room + 1], return_index=True)
     if not len(x) or not len(y):
         return None
@@ -275,7 +276,7 @@ def passages_of(x: np.ndarray, y: np.ndarray, common: np.ndarray, anchors: np.nd
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """For pairs(a, b, anchors: c in the high, d in the low 32 bits) the passages found: (a, b, a0, a1, b0, b1, c), and c alone with null for anchors in none."""
+    """For pairs(a, b, anchors: c in the high, d in the low 32 bits) the passages found: (a, b, a0, a1, b0, b1, places: c of the anchors in it)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, y, ordered = None, np.zeros(0, "u8"), np.zeros(0, "u8")
@@ -291,12 +292,36 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     x = token[edges[k] : edges[k + 1]]
                     at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
                     common = ordered[at] == x
-                    rows += [(a, b, *row) for row in passages_of(x, y, common, np.asarray(anchors, "i8"))]
-                yield pd.DataFrame(rows, columns=["a", "b", "a0", "a1", "b0", "b1", "c"]).astype({k: "Int64" for k in ("a0", "a1", "b0", "b1")})
+                    found: dict[tuple, list[int]] = {}
+                    for *passage, c in passages_of(x, y, common, np.asarray(anchors, "i8")):
+                        if passage[0] is not None:
+                            found.setdefault(tuple(passage), []).append(c)
+                    rows += [(a, b, *passage, places) for passage, places in found.items()]
+                yield pd.DataFrame(rows, columns=["a", "b", "a0", "a1", "b0", "b1", "places"])
 
-    one = pairs.join(texts.withColumnRenamed("node", "a"), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "anchors", "text", "text_b").mapInPandas(run, "a long, b long, a0 int, a1 int, b0 int, b1 int, c int")
+    dealt = texts.repartition("node")  # one exchange serves both joins
+    one = pairs.join(dealt.withColumnRenamed("node", "a"), "a")
+    two = one.join(dealt.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return two.select("a", "b", "anchors", "text", "text_b").mapInPandas(run, "a long, b long, a0 int, a1 int, b0 int, b1 int, places array<int>")
+
+
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """texts that pairs(a, b), a written table, needs if it has few rows: the others are not dealt. All of them if it has many."""
+    if pairs.limit(BROADCAST_ROWS // 2 + 1).count() > BROADCAST_ROWS // 2:
+        return texts
+    return texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """(node, star, c) of the windows in found passages."""
+    return found.select(F.col("a").alias("node"), F.col("b").alias("star"), F.explode("places").alias("c"))
+
+
+def without(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """rows, a written table, that are not in known. Few rows are broadcast to known first, so that it is not dealt whole for them."""
+    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = known.join(F.broadcast(rows.select(*on)), on, "left_semi")
+    return rows.join(known, on, "left_anti")
 
 
 def second_keys(token: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,15 +384,14 @@ def surroundings(left: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def closer(rows: DataFrame, found: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
-    """Passages beside found(a, b, a0, a1, b0, b1, c) of windows rows(node, c, star, d) whose star they failed with, as step 5 says; tried(node, star, c, d) are known.
+    """Passages beside found(a, b, a0, a1, b0, b1, places) of windows rows(node, c, star, d) whose star they failed with, as step 5 says; tried(node, star, c, d) are known.
 
     Windows with one star, at one place of it, are a group, whatever number of keys they share with it.
     """
     more, groups = found.limit(0), None
     rows = materialize(rows.select(F.xxhash64("star", "d").alias("group"), "node", "c", "star", "d").distinct())
     while True:
-        known = found.unionByName(more).select(F.col("a").alias("node"), F.col("b").alias("star"), "c").distinct()
-        open_ = rows.filter("node <> star").join(known, ["node", "star", "c"], "left_anti").select("group").distinct()
+        open_ = without(rows.filter("node <> star"), covered(found.unionByName(more)), ["node", "star", "c"]).select("group").distinct()
         # the star's other places go on, too
         others = rows.filter("node <> star or c <> d")
         several = others.groupBy("group").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("group")
@@ -377,19 +401,20 @@ def closer(rows: DataFrame, found: DataFrame, texts: DataFrame, tried: DataFrame
         if groups is None:
             spots = rows.select("node", "c").unionByName(rows.select(F.col("star").alias("node"), F.col("d").alias("c"))).distinct()
             near = materialize(surroundings(materialize(spots.groupBy("node").agg(F.collect_set("c").alias("places"))), texts))
-            own, on, of = near, ["node", "c"], ["star", "d"]
+            own, on, of = near.repartition("node", "c"), ["node", "c"], ["star", "d"]  # one exchange serves both joins
         else:
-            own, on, of = groups.withColumnRenamed("group", "above"), ["above", "node", "c"], ["above", "star", "d"]
+            own, on, of = groups.withColumnRenamed("group", "above").repartition("above", "node", "c"), ["above", "node", "c"], ["above", "star", "d"]
         stars = own.withColumnsRenamed({"node": "star", "c": "d", "near": "star_near"})
         groups = materialize(rows.join(own, on).join(stars, of).select("group", "node", "c", F.array_except("near", "star_near").alias("near")))
         split = groups.select("group", "node", "c", F.explode("near").alias("token")).select(F.xxhash64("group", "token").alias("key"), F.col("group").alias("above"), "node", "c")
         met = starred(materialize(split), "c")
         rows = materialize(met.select(F.xxhash64("above", "star", "d").alias("group"), "above", "node", "c", "star", "d").distinct())
-        fresh = materialize(rows.filter("node <> star").select("node", "star", "c", "d").distinct().join(tried, ["node", "star", "c", "d"], "left_anti"))
+        fresh = materialize(without(rows.filter("node <> star"), tried, ["node", "star", "c", "d"]).select("node", "star", "c", "d").distinct())
         if not fresh.limit(1).count():
             continue
         tried = tried.unionByName(fresh)
-        more = more.unionByName(materialize(verify(materialize(anchored(fresh)), texts)).filter("a0 is not null"))
+        pairs = materialize(anchored(fresh))
+        more = more.unionByName(materialize(verify(pairs, texts_of(pairs, texts))))
 
 
 def starred(rows: DataFrame, place: str) -> DataFrame:
@@ -398,17 +423,27 @@ def starred(rows: DataFrame, place: str) -> DataFrame:
     In a table of more than FEW_ROWS, keys with 1/HOT of all rows or more, HOT at most, are found by a sketch, counted, and joined by broadcast, so none of
     their rows is shuffled. The rows of the others are dealt by key.
     """
-    star = F.min(F.struct("node", place)).alias("s"), F.max("node").alias("last")
-    shared = lambda groups: groups.filter("s.node <> last").select("key", F.col("s.node").alias("star"), F.col(f"s.{place}").alias("d"))
+    ends = F.min("node").alias("star"), F.max("node").alias("last")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        # One exchange serves the aggregation and the join, as the count names every column. Ends are plain numbers, so they
+        # are hashed and not sorted; the place is looked for in rows of shared keys only.
+        rows = rows.repartition("key")
+        shared = rows.groupBy("key").agg(*ends, F.expr(f"count({', '.join(rows.columns)})").alias("n")).filter("n > 1 and star <> last")
+        met = rows.join(shared.select("key", "star").hint("shuffle_hash"), "key")
+        return met.withColumn("d", F.min(F.when(F.col("node") == F.col("star"), F.col(place))).over(Window.partitionBy("key")))
+
     if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
-        return rows.join(shared(rows.groupBy("key").agg(*star)), "key")
+        return dealt(rows)
     named = rows.agg(F.expr(f"approx_top_k(key, {2 * HOT}, {TRACKED})").alias("top"), F.count("*").alias("n"))
     named = materialize(named.select(F.explode("top.item").alias("key"), "n"))
-    hot = rows.join(F.broadcast(named), "key").groupBy("key").agg(*star, F.count("*").alias("size"), F.first("n").alias("n"))
-    hot = F.broadcast(materialize(hot.filter(F.col("size") * HOT >= F.col("n")).drop("size", "n")))
-    # one exchange serves the aggregation and the join
-    rest = rows.join(hot, "key", "left_anti").repartition("key")
-    return rest.join(shared(rest.groupBy("key").agg(*star)), "key").unionByName(rows.join(F.broadcast(shared(hot)), "key"))
+    first = F.min(F.struct("node", place))
+    hot = rows.join(F.broadcast(named), "key").groupBy("key").agg(*ends, first[place].alias("d"), F.count("*").alias("size"), F.first("n").alias("n"))
+    hot = materialize(hot.filter(F.col("size") * HOT >= F.col("n")).drop("size", "n"))
+    if not hot.limit(1).count():
+        return dealt(rows)
+    settled = rows.join(F.broadcast(hot.filter("star <> last").select("key", "star", "d")), "key")
+    return dealt(rows.join(F.broadcast(hot), "key", "left_anti")).unionByName(settled)
 
 
 def anchored(rows: DataFrame) -> DataFrame:
@@ -417,24 +452,28 @@ def anchored(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("node").alias("a"), F.col("star").alias("b")).agg(F.collect_set(anchor).alias("anchors"))
 
 
-def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes(digest, node, least, rows), spans(node, begin, end) in words, links(a, b) for docs(doc_id, text)."""
+def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows(doc_id, digest), nodes(digest, node, least, rows), spans(node, begin, end) in words, links(a, b) for docs(doc_id, text)."""
     rows = materialize(docs.select("doc_id", digest().alias("digest")))
     nodes = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).withColumn("node", F.xxhash64("digest")))
-    copies = sized(materialize(rows.join(nodes, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "digest").distinct()))
-    texts = docs.join(copies, (digest() == copies["digest"]) & docs["doc_id"].eqNullSafe(copies["doc_id"]), "left_anti").select(F.xxhash64(digest()).alias("node"), "text")
+    repeated = materialize(rows.join(nodes.filter("rows > 1").select("digest", "least"), "digest").groupBy("doc_id", "digest", "least").agg(F.count("*").alias("times")))
+    own = F.col("doc_id").eqNullSafe(F.col("least"))
+    copies = sized(materialize(repeated.filter(~own).select(F.col("doc_id").alias("copy_id"), F.col("digest").alias("copy"))))
+    # a digest is a column below the join, so it is made once a text
+    texts = docs.select("doc_id", "text", digest().alias("digest")).join(copies, (F.col("digest") == F.col("copy")) & F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_anti").select(F.xxhash64("digest").alias("node"), "text")
     every = materialize(windows(texts).filter("key is not null and node is not null").select("key", "node", "c"))
     # all windows of shared keys, those of the star document too
     met = materialize(starred(every, "c"))
     others = met.filter("node <> star")
     pairs = materialize(anchored(others))
     some = materialize(met.select(F.explode(F.array("node", "star")).alias("node")).distinct())
-    some = materialize(texts.join(sized(some), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    checked = materialize(verify(pairs, some))
-    found = checked.filter("a0 is not null")
+    some = texts.join(sized(some), "node", "left_semi")
+    # a node has one row here, unless whole rows are repeated: only then texts are dealt to be reduced
+    twice = repeated.filter(own & (F.col("times") > 1)).limit(1).count()
+    some = materialize(some.groupBy("node").agg(F.first("text").alias("text")) if twice else some)
+    found = materialize(verify(pairs, some))
     # keys with a window that no passage verified with their star covers: all their places are keyed anew
-    covered = found.select(F.col("a").alias("node"), F.col("b").alias("star"), "c").distinct()
-    open_ = materialize(others.join(covered, ["node", "star", "c"], "left_anti").select("key").distinct())
+    open_ = materialize(without(others, covered(found), ["node", "star", "c"]).select("key").distinct())
     left = materialize(met.join(sized(open_), "key", "left_semi").select("node", "c").distinct().groupBy("node").agg(F.collect_set("c").alias("places")))
     anew = materialize(starred(materialize(keyed_anew(left, some).filter("key is not null and node is not null")), "at"))
     same = anew.filter("exact and node <> star").select("node", "star", F.col("at").alias("start"), "d")
@@ -443,14 +482,15 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     linked = found.select(F.col("a").alias("node"), F.col("b").alias("star")).distinct()
     second = anew.filter("not exact").select("node", "star", F.col("at").alias("c"), "d")
     more = materialize(second.filter("node <> star").select("node", "star", "c", "d").distinct().join(linked, ["node", "star"], "left_anti").join(tried, ["node", "star", "c", "d"], "left_anti"))
-    found = found.unionByName(materialize(verify(materialize(anchored(more)), some)).filter("a0 is not null"))
+    pairs = materialize(anchored(more))
+    found = found.unionByName(materialize(verify(pairs, texts_of(pairs, some))))
     found = found.unionByName(closer(second, found, some, tried.unionByName(more)))
     links = found.select("a", "b").unionByName(same.select(F.col("node").alias("a"), F.col("star").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = F.lit(SHINGLE - 1)
     span = lambda df, node, a, b: df.select(F.col(node).alias("node"), F.col(a).alias("begin"), (F.col(b) + last).alias("end"))
     spans = span(found, "a", "a0", "a1").unionByName(span(found, "b", "b0", "b1"))
     spans = spans.unionByName(span(same.withColumn("stop", F.col("start") + WIDTH), "node", "start", "stop")).unionByName(span(same.withColumn("stop", F.col("d") + WIDTH), "star", "d", "stop"))
-    return nodes, spans.distinct(), materialize(links)
+    return rows, nodes, spans.distinct(), materialize(links)
 
 
 def joined_spans(spans: DataFrame) -> DataFrame:
@@ -471,16 +511,19 @@ def passage_classes(docs: DataFrame) -> DataFrame:
     words of the text (end exclusive) of passages that stand in another document, too.
     """
     docs = docs.select("doc_id", "text")
-    nodes, spans, links = repeated_passages(docs)
+    ids, nodes, spans, links = repeated_passages(docs)
     labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    twice = materialize(nodes.filter("rows > 1").select("digest"))
+    twice = materialize(nodes.filter("rows > 1").select("digest", "least"))
     count = F.size(F.split(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " "))
-    sizes = docs.select(digest().alias("digest"), "text").join(sized(twice), "digest", "left_semi").groupBy("digest").agg(F.max(count).alias("n_words"))
+    # of equal texts the one of the least id is counted; others are told by their ids, before digests are made
+    firsts = sized(materialize(twice.select("least").distinct()))
+    firsts = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select(digest().alias("digest"), "text")
+    sizes = firsts.join(sized(twice.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.max(count).alias("n_words"))
     known = nodes.join(labels, "node", "left").join(degree, "node", "left").join(joined_spans(spans), "node", "left").join(sizes, "digest", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("least").alias("class_id"))
     known = known.join(least, "label").select("digest", "class_id", "rows", "n_words", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("n_dup_words", F.lit(0)).alias("n_dup_words"), F.coalesce("spans", F.lit("")).alias("spans"))
-    rows = docs.select("doc_id", digest().alias("digest")).join(materialize(known), "digest")
+    rows = ids.join(materialize(known), "digest")
     whole = (F.col("rows") > 1) & F.coalesce(F.col("n_words") >= WIDTH + SHINGLE - 1, F.lit(False))
     n_links = F.col("degree") + F.when(whole, F.col("rows") - 1).otherwise(0)
     own = F.when((F.col("rows") > 1) & ~whole & (F.col("degree") == 0), F.col("doc_id")).otherwise(F.col("class_id"))

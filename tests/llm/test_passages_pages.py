@@ -168,6 +168,38 @@ def test_near_passages_behind_stars_of_either_key(spark):
     assert not any(got[k].duplicated for k in got if k not in near)
 
 
+def test_stars_from_one_exchange(spark, tmp_path, monkeypatch):
+    """Stars and their places by a loop, with and without very frequent keys; rows are dealt once and structs are not sorted."""
+    draw = random.Random(8)
+    rows = [(draw.choice([5, *range(600)]) if k % 3 else 5, draw.randrange(-40, 40), draw.randrange(9)) for k in range(3000)]
+    want = []
+    for key in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == key]
+        star, d = min((r[1], r[2]) for r in own)
+        want += [(*r, star, d) for r in own if len({r[1] for r in own}) > 1]
+    spark.createDataFrame(rows, "key long, node long, c int").write.parquet(f"{tmp_path}/rows")
+    table = spark.read.parquet(f"{tmp_path}/rows")
+    met = passages.starred(table, "c")
+    assert sorted(met.select("key", "node", "c", "star", "d").collect()) == sorted(want)
+    met.write.format("noop").mode("overwrite").save()
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ReusedExchange" in plan
+    monkeypatch.setattr(passages, "FEW_ROWS", 10)
+    assert sorted(passages.starred(table, "c").select("key", "node", "c", "star", "d").collect()) == sorted(want)
+
+
+def test_passages_of_repeated_rows(spark):
+    draw = random.Random(5)
+    fresh = lambda n: [str(draw.randrange(10**6)) for _ in range(n)]
+    p = fresh(70)
+    one, two = " ".join(fresh(20) + p), " ".join(p + fresh(30))
+    rows = [(3, one), (3, one), (3, one), (9, two), (9, two), (4, two), (1, " ".join(fresh(90)))]
+    got = sorted(passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, 1, 0, ""), *[(3, 3, 3, "0:90")] * 3, (4, 3, 3, "0:100"), *[(9, 3, 3, "0:100")] * 2]
+    assert [(r.doc_id, r.class_id, r.n_links, r.spans) for r in got] == want
+
+
 def test_passages_of_shared_and_negative_ids(spark):
     draw = random.Random(3)
     fresh = lambda n: [str(draw.randrange(10**6)) for _ in range(n)]
