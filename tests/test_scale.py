@@ -4,11 +4,14 @@ import json
 import math
 import random
 
+import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from accordant.functions import select
 from accordant.operators import board, clean, consensus, identity, impute, rank, scope, score
+from accordant.plans import queries
 from accordant.sources import payloads, publish, readers
 
 
@@ -311,3 +314,37 @@ def test_fills_read_their_lines_once(spark, sf):
 
     for f in (queries.decile_fill, queries.touch_rate_fill, queries.group_rate_fill, queries.scored, rules.scored_lines):
         assert "l_partkey" not in f(spark, sf)._jdf.queryExecution().optimizedPlan().toString(), f.__name__
+
+
+def test_scopes_in_blocks_take_few_bytes(spark, tmp_path):
+    """Of many scopes, a file holds the same few line by line: a fraction of a byte a row for the scope, 4 and more when each line goes through all of them."""
+    n, m = 30_000, 40
+    rules = spark.range(n).select(F.col("id").alias("scope"), F.lit(None).cast("string").alias("pos"), F.lit("x").alias("stat"), (F.col("id") / 10).alias("points"))
+    lines = spark.range(m).select("id", F.lit("a").alias("pos"), F.when(F.col("id") != 7, F.col("id") + 0.5).alias("x")).coalesce(1)
+    score.many_rule_points(lines, rules, ["x"], ["id"]).write.parquet(f"{tmp_path}/out")
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("out/*.parquet")]
+    columns = [g.column(k) for f in files for g in (f.row_group(i) for i in range(f.num_row_groups)) for k in range(g.num_columns)]
+    assert sum(c.total_compressed_size for c in columns if c.path_in_schema == "scope") < (m - 1) * n
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == (m - 1) * (n - 1) == out.select("scope", "id").distinct().count()  # scope 0 scores nothing, line 7 has nothing
+    assert out.filter(F.abs(F.col("points") - F.col("scope") / 10 * (F.col("id") + 0.5)) > 1e-9).count() == 0
+
+
+def test_lines_deal_only_what_is_asked_for(spark, tmp_path):
+    """The scored queries neither read nor deal other metrics; rows of one line item are chosen as by all metrics."""
+    items = [(1, 7, 3, 1, 4.0, 10.0, 0.2, 0.5), (1, 7, 3, 1, 4.0, 10.0, 0.1, 0.9), (1, 7, 3, 1, 4.0, 10.0, 0.1, 0.2), (2, 7, 4, 2, 1.0, 5.0, 0.3, 0.1), (2, 8, 4, 1, None, 5.0, None, 0.1), (None, 8, 4, 1, 2.0, 5.0, None, 0.1)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "1-URGENT"), (2, "5-LOW"), (2, "5-LOW")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "A"), (8, "B")], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 4), (3, 0), (3, 0)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    own = ["id", "pos", "data_src", "qty", "yds", "disc"]
+    whole, few = (queries.lines(spark, str(tmp_path), *x).select(*own).collect() for x in ((), (queries.METRICS[:3],)))
+    assert sorted(whole, key=str) == sorted(few, key=str) and len(few) == 3
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part", "supplier"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("score_all_rules", "score_many_rules"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        assert "l_tax" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {(r.scope, r.id, r.data_src): r.points for r in df.collect()}
+        assert got == {(s, i, d): pytest.approx(v, abs=1e-7) for s, _, i, d, v in con.execute(queries.SQL[name]).fetchall()} and len(got) == 6
