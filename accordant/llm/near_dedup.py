@@ -62,8 +62,11 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(begin + n, count) - at
     out = np.zeros(len(at), "u8")
     codes = np.concatenate((codes, np.zeros(SHINGLE, "u8")))
+    short = np.flatnonzero(left < SHINGLE)  # of texts with fewer words
     for k in range(SHINGLE):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, codes[at + k], np.uint64(k)))
+        word = codes[at + k]
+        word[short[left[short] <= k]] = k
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word)
     return doc, out
 
 

@@ -67,7 +67,7 @@ SIDES, NEAREST = 4, 22
 #: Rows up to which no key can have too many for one task.
 FEW_ROWS = 50_000
 #: Unequal tokens up to which the next equal run is looked for first: those of one changed word, then more.
-NEAR = (2 * SHINGLE, 32)
+NEAR = (2 * SHINGLE, 32, 256)
 
 
 def compact_windows(values: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,9 +144,10 @@ def equal_run(a: np.ndarray, b: np.ndarray) -> int:
     n, k, block = min(len(a), len(b)), 0, 64
     while k < n:
         end = min(n, k + block)
-        other = (a[k:end] != b[k:end]).nonzero()[0]
-        if len(other):
-            return k + int(other[0])
+        other = a[k:end] != b[k:end]
+        first = int(other.argmax())
+        if other[first]:
+            return k + first
         k, block = end, 4 * block
     return n
 
@@ -157,14 +158,16 @@ def nearest(a: np.ndarray, b: np.ndarray, room: int) -> tuple[int, int] | None:
     for near in NEAR:
         near = min(near, room)
         ahead = b[: near + 1].tolist()
-        first = {t: j for j, t in zip(range(len(ahead) - 1, -1, -1), reversed(ahead))}
+        first = dict(zip(reversed(ahead), range(len(ahead) - 1, -1, -1)))
+        own = a[: near + 1].tolist()
         least, found = near + 1, None
-        for i, t in enumerate(a[: near + 1].tolist()):
-            if i >= least:
-                break
-            j = first.get(t)
-            if j is not None and i + j < least:
-                least, found = i + j, (i, j)
+        if not first.keys().isdisjoint(own):
+            for i, t in enumerate(own):
+                if i >= least:
+                    break
+                j = first.get(t)
+                if j is not None and i + j < least:
+                    least, found = i + j, (i, j)
         if found or room <= near:
             return found
     x, (y, place) = a[: room + 1], np.unique(b[: room + 1], return_index=True)
@@ -207,8 +210,9 @@ def aligned(a: np.ndarray, b: np.ndarray, at: int, bt: int, begin: int = 0, end:
         return lo, hi, None
     before = chain(a[begin:lo][::-1], b[: bt - left][::-1], room)
     after = chain(a[hi:end], b[bt + right :], room)
-    na, nb, same = (before[:, None, k] + after[None, :, k] + left + right for k in range(3))
-    fits = same >= LEAST * (np.maximum(na, WIDTH) + np.maximum(nb, WIDTH) - same)
+    whole = before[:, None] + (after + (left + right))
+    same, most = whole[..., 2], np.maximum(whole, WIDTH)
+    fits = same >= LEAST * (most[..., 0] + most[..., 1] - same)
     if not fits.any():
         return lo, hi, None
     x, y = np.unravel_index(np.where(fits, same, 0).argmax(), same.shape)
@@ -216,63 +220,75 @@ def aligned(a: np.ndarray, b: np.ndarray, at: int, bt: int, begin: int = 0, end:
     return lo, hi, spans[0] + spans[1]
 
 
-def promising(common: np.ndarray, at: np.ndarray) -> np.ndarray:
+def heights(common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P, the running sum of common - LEAST, its largest value from each place on and its least one up to each place."""
+    total = np.zeros(len(common) + 1)
+    np.cumsum(common - LEAST, out=total[1:])
+    return total, np.maximum.accumulate(total[::-1])[::-1], np.minimum.accumulate(total)
+
+
+def promising(common: np.ndarray, at: np.ndarray, known: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
     """Whether some stretch of WIDTH tokens or more around each place has a share of LEAST or more of common tokens.
 
-    No passage around the place can exist without one. With P the running sum of common - LEAST, a stretch [l, r) is rich
+    No passage around the place can exist without one. With P as in `heights` (known, if they are), a stretch [l, r) is rich
     enough if P[r] >= P[l]: the best r for every l is a running maximum from the right, the best l for a place a running
     minimum from the left.
     """
     n = len(common)
     if n < WIDTH:
         return np.zeros(len(at), bool)
-    total = np.concatenate(([0.0], np.cumsum(common - LEAST)))
-    right = np.maximum.accumulate(total[::-1])[::-1]
-    left = np.minimum.accumulate(total)
+    total, right, left = known or heights(common)
     wide = right[WIDTH:] - total[: n - WIDTH + 1]  # the best stretch of WIDTH or more from each l
     # places of the last WIDTH beginnings up to the place
-    best = np.concatenate((np.full(WIDTH - 1, -1.0), wide, np.full(WIDTH, -1.0)))
-    best = np.lib.stride_tricks.sliding_window_view(best, WIDTH).max(1)
+    best = np.full(n + WIDTH, -1.0)
+    best[WIDTH - 1 : n] = wide
+    best = np.lib.stride_tricks.sliding_window_view(best, WIDTH)[at].max(1)
     far = np.where(at >= WIDTH, right[at + 1] - left[np.maximum(at - WIDTH, 0)], -1.0)
-    return np.maximum(best[at], far) >= -1e-9
+    return np.maximum(best, far) >= -1e-9
 
 
-def reach(common: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def reach(common: np.ndarray, at: np.ndarray, known: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the part around each place that a stretch with a share of LEAST or more of common tokens can lie in.
 
-    With P as in `promising`, a stretch [l, r) around the place has P[r] >= P[l]. So r is no further than the last place
+    With P as in `heights` (known, if they are), a stretch [l, r) around the place has P[r] >= P[l]. So r is no further than the last place
     where P is at least the least P before the place, and l no further than the first where it is at most the largest after it.
     """
-    total = np.concatenate(([0.0], np.cumsum(common - LEAST)))
-    right = np.maximum.accumulate(total[::-1])  # ascending, from the end
-    left = np.minimum.accumulate(total)
-    begin = len(total) - np.searchsorted(left[::-1], right[::-1][at + 1] + 1e-9, "right")
-    end = len(total) - 1 - np.searchsorted(right, left[at] - 1e-9, "left")
+    total, right, left = known or heights(common)
+    begin = len(total) - np.searchsorted(left[::-1], right[at + 1] + 1e-9, "right")
+    end = len(total) - 1 - np.searchsorted(right[::-1], left[at] - 1e-9, "left")
     return begin, end
 
 
-def passages_of(x: np.ndarray, y: np.ndarray, common: np.ndarray, anchors: np.ndarray) -> list[tuple]:
-    """For the anchors (c in the high, d in the low 32 bits) of two token arrays the passages found: (a0, a1, b0, b1, c), nulls for anchors in none."""
+def passages_of(x: np.ndarray, y: np.ndarray, common: np.ndarray, anchors: np.ndarray) -> dict[tuple[int, int, int, int], list[int]]:
+    """The passages (a0, a1, b0, b1) that hold anchors (c in the high, d in the low 32 bits) of two token arrays, with c of these anchors."""
     spots = np.sort(anchors)
     c, d = spots >> 32, spots & 0xFFFFFFFF
-    go = (c < len(x)) & (d < len(y))
-    go[go] = (x[c[go]] == y[d[go]]) & promising(common, c[go])
-    if not go.any():
-        return [(None, None, None, None, k) for k in c.tolist()]
-    found: list[tuple[int, int, int, int]] = []
+    inside = (c < len(x)) & (d < len(y))
+    c, d = c[inside], d[inside]
+    equal = x[c] == y[d]
+    if not equal.any():
+        return {}
+    known = heights(common)
+    good = np.zeros(len(c), bool)
+    good[equal] = promising(common, c[equal], known)
+    if not good.any():
+        return {}
+    found: dict[tuple[int, int, int, int], list[int]] = {}
     failed: list[tuple[int, int, int]] = []  # stretches of a and their shift
-    rows = []
-    begin, end = reach(common, np.minimum(c, len(x) - 1))
-    for c, d, good, begin, end in zip(c.tolist(), d.tolist(), go.tolist(), begin.tolist(), end.tolist()):
-        known = next((p for p in found if p[0] <= c < p[1] and p[2] <= d < p[3]), None)
-        if known is None and good and not any(lo <= c < hi and c - d == shift for lo, hi, shift in failed):
-            lo, hi, known = aligned(x, y, c, d, begin, end)
-            if known:
-                found.append(known)
-            else:
-                failed.append((lo, hi, c - d))
-        rows.append((*(known or (None,) * 4), c))
-    return rows
+    begin, end = reach(common, c, known)
+    for c, d, good, begin, end in zip(c.tolist(), d.tolist(), good.tolist(), begin.tolist(), end.tolist()):
+        for (a0, a1, b0, b1), places in found.items():
+            if a0 <= c < a1 and b0 <= d < b1:
+                places.append(c)
+                break
+        else:
+            if good and not any(lo <= c < hi and c - d == shift for lo, hi, shift in failed):
+                lo, hi, passage = aligned(x, y, c, d, begin, end)
+                if passage:
+                    found.setdefault(passage, []).append(c)
+                else:
+                    failed.append((lo, hi, c - d))
+    return found
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -292,10 +308,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     x = token[edges[k] : edges[k + 1]]
                     at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
                     common = ordered[at] == x
-                    found: dict[tuple, list[int]] = {}
-                    for *passage, c in passages_of(x, y, common, np.asarray(anchors, "i8")):
-                        if passage[0] is not None:
-                            found.setdefault(tuple(passage), []).append(c)
+                    found = passages_of(x, y, common, np.asarray(anchors, "i8"))
                     rows += [(a, b, *passage, places) for passage, places in found.items()]
                 yield pd.DataFrame(rows, columns=["a", "b", "a0", "a1", "b0", "b1", "places"])
 

@@ -111,6 +111,27 @@ def test_bound_before_alignment():
         assert (passages.promising(common, np.arange(n)) == want).all()
 
 
+def test_steps_of_verification_equal_plain_forms():
+    """Nearest equal tokens by trying all pairs of places, equal runs token by token, and passages with the anchors that they hold."""
+    draw = np.random.default_rng(9)
+    for n, room, kinds in [(0, 9, 3), (8, 3, 3), (12, 30, 40), (60, 25, 900), (300, 200, 20_000), (700, 600, 400_000)] * 4:
+        a, b = (draw.integers(0, kinds, k).astype("u8") for k in (n, n + 5))
+        near = min(((i + j, i, j) for i, j in zip(*np.nonzero(a[: room + 1, None] == b[None, : room + 1])) if i + j <= room), default=None)
+        assert passages.nearest(a, b, room) == (near and tuple(map(int, near[1:])))
+        run = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        assert passages.equal_run(a, b) == run and passages.equal_run(a, a) == len(a)
+    own, other, third = (draw.integers(0, 1 << 60, n).astype("u8") for n in (90, 70, 60))
+    a, b = np.concatenate((own[:20], other, own[20:], third)), np.concatenate((third, own[:9], other))
+    at = lambda c, d: c << 32 | d
+    anchors = np.array([at(25, 74), at(40, 89), at(170, 10), at(0, 60), at(9, 0), at(500, 3), at(3, 500)])
+    got = passages.passages_of(a, b, np.isin(a, b), anchors)
+    assert got == {(0, 90, 60, 139): [0, 25, 40], (160, 220, 0, 60): [170]}
+    assert passages.passages_of(a, b, np.isin(a, b), anchors[4:]) == {}
+    short = ["", None, "a", "a b c d", "a b c d e", "A b, c d e f"]
+    doc, token = passages.shingles(short)
+    assert doc.tolist() == [2, 3, 4, 5, 5] and token[2] == token[3] and len(set(token.tolist())) == 4
+
+
 def test_pairs_that_meet_in_one_hash_function(spark):
     draw = random.Random(6)
     fresh = lambda n: [draw.choice("bcdfgh") + str(draw.randrange(10**6)) for _ in range(n)]
